@@ -65,6 +65,7 @@ def _t_quantile_ctes(source: str, df: str, p: float = 0.975) -> str:
 _TAG = _tag_sql("w")
 
 # name -> (names it builds on, body)
+# Total orders are numbered with rank(): DuckDB 2.0 loses a row when it pushes a bound below row_number() - 1.
 _NAMED: dict[str, tuple[tuple[str, ...], str]] = {
     "lines": ((), """
         SELECT doc_id, source, lang, CAST(i - 1 AS BIGINT) AS line_no, parts[i] AS line
@@ -85,17 +86,17 @@ _NAMED: dict[str, tuple[tuple[str, ...], str]] = {
             FROM tokens GROUP BY doc_id, line_no) t ON l.doc_id = t.doc_id AND l.line_no = t.line_no"""),
     "freqs": (("tokens",), "SELECT lemma_pos, count(*) AS freq FROM tokens GROUP BY lemma_pos"),
     "ranked": (("freqs",), """
-        SELECT row_number() OVER (ORDER BY freq DESC, lemma_pos DESC) AS rank, freq, lemma_pos FROM freqs"""),
+        SELECT rank() OVER (ORDER BY freq DESC, lemma_pos DESC) AS rank, freq, lemma_pos FROM freqs"""),
     "basis": (("freqs",), f"""
         SELECT rk - {EXCLUDE_FIRST} AS basis_index, lemma_pos FROM (
-            SELECT lemma_pos, row_number() OVER (ORDER BY freq DESC, lemma_pos DESC) - 1 AS rk FROM freqs
+            SELECT lemma_pos, rank() OVER (ORDER BY freq DESC, lemma_pos DESC) - 1 AS rk FROM freqs
             WHERE regexp_matches(lemma_pos, '^(--anon|[a-zA-Z])+_[A-Z]+$')
               AND NOT regexp_matches(lemma_pos, '_(STOP|PREP|PRON|CONJ)')
               AND NOT regexp_matches(lemma_pos, '^[a-z]_[A-Z]+$'))
         WHERE rk >= {EXCLUDE_FIRST} AND rk < {EXCLUDE_FIRST + DIMENSION}"""),
     "targets": (("freqs",), f"""
         SELECT rk AS voc_index, lemma_pos FROM (
-            SELECT lemma_pos, row_number() OVER (ORDER BY freq DESC, lemma_pos DESC) - 1 AS rk FROM freqs
+            SELECT lemma_pos, rank() OVER (ORDER BY freq DESC, lemma_pos DESC) - 1 AS rk FROM freqs
             WHERE freq >= {FREQ_MIN})
         WHERE rk < {VOCABULARY}"""),
     "cells": (("tokens", "targets", "basis"), f"""
@@ -113,9 +114,9 @@ _NAMED: dict[str, tuple[tuple[str, ...], str]] = {
                 CROSS JOIN (SELECT sum(n) AS t FROM cells)))
         WHERE ppmi > 0"""),
     "nouns": (("targets",), """
-        SELECT row_number() OVER (ORDER BY voc_index) - 1 AS i, lemma_pos FROM targets WHERE lemma_pos LIKE '%\\_SUBST' ESCAPE '\\'"""),
+        SELECT rank() OVER (ORDER BY voc_index) - 1 AS i, lemma_pos FROM targets WHERE lemma_pos LIKE '%\\_SUBST' ESCAPE '\\'"""),
     "verbs": (("targets",), """
-        SELECT row_number() OVER (ORDER BY voc_index) - 1 AS i, lemma_pos FROM targets WHERE lemma_pos LIKE '%\\_VERB' ESCAPE '\\'"""),
+        SELECT rank() OVER (ORDER BY voc_index) - 1 AS i, lemma_pos FROM targets WHERE lemma_pos LIKE '%\\_VERB' ESCAPE '\\'"""),
     "pairs": (("nouns", "verbs"), f"""
         SELECT l.lemma_pos AS lv_pos, n.lemma_pos AS nominal_pos, f.lemma_pos AS fvc_pos
         FROM verbs l JOIN nouns n ON l.i < {LIGHT_VERBS} AND n.i < {NOMINALS}
@@ -238,7 +239,7 @@ def _sql(needs: tuple[str, ...], select: str, extra: str = "") -> str:
 
     for name in needs:
         add(name)
-    named = [f"{n} AS ({_NAMED[n][1]})" for n in listed]
+    named = [f"{n} AS MATERIALIZED ({_NAMED[n][1]})" for n in listed]  # ranks must see all rows
     if extra:
         named.append(extra)
     return (f"WITH {','.join(named)}\n" if named else "") + select
@@ -351,7 +352,7 @@ ORACLES: dict[str, str] = {
     "token_freq": _sql(("freqs",), "SELECT lemma_pos, freq FROM freqs"),
     "freq_rank": _sql(("ranked",), "SELECT rank, freq, lemma_pos FROM ranked"),
     "freq_fold_numerals": _sql(("freqs", "lexicon"), """
-        SELECT row_number() OVER (ORDER BY freq DESC, lemma_pos DESC) AS rank, freq, lemma_pos FROM (
+        SELECT rank() OVER (ORDER BY freq DESC, lemma_pos DESC) AS rank, freq, lemma_pos FROM (
             SELECT sum(freq)::BIGINT AS freq, CASE WHEN split_part(lemma_pos, '_', 1) IN (SELECT lemma FROM lexicon)
                    THEN '--anonnumeral_' || split_part(lemma_pos, '_', 2) ELSE lemma_pos END AS lemma_pos FROM freqs GROUP BY 2)"""),
     "basis_select": _sql(("basis",), f"SELECT {_big('basis_index')}, lemma_pos FROM basis"),
@@ -371,7 +372,7 @@ ORACLES: dict[str, str] = {
     "vector_lookup": _sql(("ppmi", "nouns"), f"SELECT {_CELL}, {_r('ppmi')} FROM ppmi WHERE lemma_pos IN (SELECT lemma_pos FROM nouns)"),
     "dim_subset": _sql(("ppmi", "basis"), f"""
         SELECT lemma_pos, new_index::BIGINT AS basis_index, {_r('ppmi')} FROM ppmi JOIN (
-            SELECT basis_index, row_number() OVER (ORDER BY basis_index DESC) - 1 AS new_index FROM basis WHERE lemma_pos LIKE '%\\_SUBST' ESCAPE '\\')
+            SELECT basis_index, rank() OVER (ORDER BY basis_index DESC) - 1 AS new_index FROM basis WHERE lemma_pos LIKE '%\\_SUBST' ESCAPE '\\')
         USING (basis_index)"""),
     # similarity and validation
     "cosine_pairs": _sql(("dense",), f"SELECT id1, id2, {_r('list_inner_product(a, b) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 1e-8)', 'cosine')} FROM dense"),

@@ -46,9 +46,11 @@ def big(column: str, name: str | None = None):
     return F.col(column).cast("long").alias(name or column)
 
 
-def spelled(cells: DataFrame, nested: str):
+def spelled(vectors: DataFrame, nested: str, value: str) -> DataFrame:
     """A nested vector as text, so that it compares as one value."""
-    return cells.withColumn(nested, F.array_join(F.transform(nested, lambda p: F.concat_ws(":", p[0], p[1])), " "))
+    return vectors.withColumn(
+        nested, F.array_join(F.transform(nested, lambda p: F.concat_ws(":", p["basis_index"], p[value])), " ")
+    )
 
 
 # Sources and sinks
@@ -249,7 +251,7 @@ def cooccurrence(spark, sf):
 def count_vectors(spark, sf):
     space = Space(spark, sf)
     vectors = cooc.assemble_vectors(space.cells, space.targets)
-    return spelled(vectors, "vector").select(big("voc_index"), "lemma_pos", "vector")
+    return spelled(vectors, "vector", "n").select(big("voc_index"), "lemma_pos", "vector")
 
 
 @query
