@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semaspan.operators.sentences import longer_than
 from semaspan.plans.joins import lookup_join
 
 
@@ -30,15 +29,16 @@ def cooccurrences(
     """
     at = F.col("_at")
     start = F.greatest(at - window + 1, F.lit(1))  # slice positions count from 1
-    placed = longer_than(sentences, min_length, tokens).select(
-        *keys, tokens, F.posexplode(tokens).alias("_at", "lemma_pos")
+    # short sentences become null here: as a filter the condition would tokenise every line again
+    placed = sentences.select(*keys, tokens).select(
+        *keys, tokens, F.posexplode(F.when(F.size(tokens) > min_length, F.col(tokens))).alias("_at", "lemma_pos")
     )
     near = placed.select(*keys, "lemma_pos", F.slice(tokens, start, at + window + 2 - start).alias("_near"))
     voc = targets.select("lemma_pos", "voc_index")
-    dims = basis.select(F.col("lemma_pos").alias("_context"), "basis_index")
+    # a computed key: Spark would copy the basis' pattern filters to every context token
+    dims = basis.select(F.concat(F.lit(""), "lemma_pos").alias("_context"), "basis_index")
     hits = lookup_join(near, voc, "lemma_pos", max_rows=max_targets, salts=16)
-    pairs = hits.select(*keys, "voc_index", "lemma_pos", F.explode("_near").alias("_context"))
-    pairs = pairs.filter(F.col("_context") != F.col("lemma_pos")).drop("lemma_pos")
+    pairs = hits.select(*keys, "voc_index", F.explode(F.array_remove("_near", F.col("lemma_pos"))).alias("_context"))
     cells = (
         lookup_join(pairs, dims, "_context", max_rows=max_basis, salts=16)
         .groupBy(*keys, "voc_index", "basis_index")

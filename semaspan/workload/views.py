@@ -16,6 +16,7 @@ from semaspan.operators.constructions import candidate_groups, object_constructi
 from semaspan.operators.cooccurrence import cooccurrences
 from semaspan.operators.vocabulary import select_basis, target_words, token_frequencies
 from semaspan.operators.weighting import ppmi
+from semaspan.plans.scans import spread
 from semaspan.session import settle
 
 FREQ_MIN = 10
@@ -57,7 +58,7 @@ def tag_of(word: Column) -> Column:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, lang, line_no, line) of all documents."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     split = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
