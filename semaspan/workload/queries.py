@@ -318,7 +318,7 @@ def dot_pairs(spark, sf):
 @query
 def ratings_normalise(spark, sf):
     ratings = Space(spark, sf).ratings
-    word = {c: F.initcap(tk.lemma_of(F.col(c))) for c in ("word1", "word2")}
+    word = {c: F.translate(tk.lemma_of(F.col(c)), "aehint", "AEHINT") for c in ("word1", "word2")}
     code = F.when(F.col("human") < 20, "N").when(F.col("human") < 40, "A").otherwise("V")
     plain = ratings.select(word["word1"].alias("word1"), word["word2"].alias("word2"), "human", code.alias("pos"))
     small = F.when(code == "N", "n").when(code == "A", "j").otherwise("v")
@@ -584,7 +584,7 @@ def bm_permutation(spark, sf):
 
 
 def _tests(spark, sf) -> DataFrame:
-    """One test per user: is the mean score of the first kind the greater one? Many p-values tie at 1."""
+    """One p-value per pair, in families of one event type."""
     found = hyp.brunner_munzel(views.scores(spark, sf)).select("pair", F.round("p_greater", 9).alias("p_value"))
     return found.withColumn("family", F.substring_index("pair", "_", 1))
 
