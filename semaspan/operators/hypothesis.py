@@ -35,7 +35,8 @@ def _rank_statistics(counts: DataFrame, groups: Sequence[str], value: str) -> Da
     # placements: pooled rank less rank inside the own side
     px, py = F.col("_pooled") - F.col("_in_x"), F.col("_pooled") - F.col("_in_y")
     nx, ny = F.sum("_x"), F.sum("_y")
-    mean_x, mean_y = F.sum(F.col("_x") * F.col("_pooled")) / nx, F.sum(F.col("_y") * F.col("_pooled")) / ny
+    mean_x = F.try_divide(F.sum(F.col("_x") * F.col("_pooled")), nx)
+    mean_y = F.try_divide(F.sum(F.col("_y") * F.col("_pooled")), ny)
     means = ranks.groupBy(*keys).agg(
         nx.alias("_nx"), ny.alias("_ny"), mean_x.alias("_mx"), mean_y.alias("_my")
     )
@@ -44,8 +45,8 @@ def _rank_statistics(counts: DataFrame, groups: Sequence[str], value: str) -> Da
     dy = py - F.col("_my") + (F.col("_ny") + 1) / 2
     return centred.groupBy(*keys).agg(
         F.max("_nx").alias("nx"), F.max("_ny").alias("ny"), F.max("_mx").alias("mx"), F.max("_my").alias("my"),
-        (F.sum(F.col("_x") * dx * dx) / (F.max("_nx") - 1)).alias("sx"),
-        (F.sum(F.col("_y") * dy * dy) / (F.max("_ny") - 1)).alias("sy"),
+        F.try_divide(F.sum(F.col("_x") * dx * dx), F.max("_nx") - 1).alias("sx"),
+        F.try_divide(F.sum(F.col("_y") * dy * dy), F.max("_ny") - 1).alias("sy"),
     )
 
 
@@ -58,7 +59,7 @@ def _brunner_munzel_columns() -> dict[str, Column]:
         "statistic": nx * ny * shift / ((nx + ny) * F.sqrt(spread)),
         "df": spread * spread / ((nx * sx) * (nx * sx) / (nx - 1) + (ny * sy) * (ny * sy) / (ny - 1)),
         "relative_effect": shift / (nx + ny) + 0.5,
-        "_se": F.sqrt(sx / (nx * ny * ny) + sy / (ny * nx * nx)),
+        "_se": F.sqrt(F.try_divide(sx, nx * ny * ny) + F.try_divide(sy, ny * nx * nx)),
     }
 
 
@@ -181,7 +182,7 @@ def paired_t(pairs: DataFrame, groups: Sequence[str] = (), x: str = "lvc", y: st
     sums = pairs.groupBy(*groups).agg(
         F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd")
     )
-    error = F.col("_sd") / F.sqrt("n")
+    error = F.try_divide(F.col("_sd"), F.sqrt("n"))
     tested = sums.withColumns({
         "df": (F.col("n") - 1).cast("double"),
         "_error": error,
@@ -204,8 +205,8 @@ def paired_cohen_d(pairs: DataFrame, groups: Sequence[str] = (), x: str = "lvc",
     sums = pairs.groupBy(*groups).agg(
         F.count(d).alias("n"), F.avg(d).alias("_mean"), F.stddev_samp(d).alias("_sd"), F.corr(x, y).alias("_r")
     )
-    within = F.col("_sd") / F.sqrt(2 * (1 - F.col("_r")))
-    return sums.select(*groups, "n", (F.col("_mean") / within).alias("cohen_d"))
+    within = F.try_divide(F.col("_sd"), F.sqrt(2 * (1 - F.col("_r"))))
+    return sums.select(*groups, "n", F.try_divide(F.col("_mean"), within).alias("cohen_d"))
 
 
 # Polynomials in 1/sqrt(n), n and log(n) (Royston 1995, AS R94).

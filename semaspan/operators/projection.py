@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -42,7 +44,7 @@ def scale_vector(seeds: DataFrame, cells: DataFrame, positive_category: int = 1,
         .agg(F.sum(sign * F.col("mean")).alias("weight"))
     )
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy()))
-    return scale.select("basis_index", "weight", (F.col("weight") / length).alias("unit"))
+    return scale.select("basis_index", "weight", F.try_divide("weight", length).alias("unit"))
 
 
 def project_cells(cells: DataFrame, scale: DataFrame, key: str | Sequence[str] = "lemma_pos", value: str = "ppmi",
@@ -163,9 +165,6 @@ def scale_endpoints(means: DataFrame, scale: DataFrame, max_basis: int | None =
 def dense_vectors(cells: DataFrame, words: DataFrame, dimension: int, value: str = "ppmi",
                   key: str = "lemma_pos") -> DataFrame:
     """(key, features): arrays of length `dimension` for PCA, zero where a word has no cell."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def fill(places: pd.Series, values: pd.Series) -> pd.Series:
         def one(at, x):
@@ -190,8 +189,6 @@ def pca_2d(vectors: DataFrame, key: str, features: str = "features") -> DataFram
     The sign of a component is free; here its largest loading is positive. Only the two component
     vectors, of the basis dimension each, reach the driver.
     """
-    import numpy as np
-
     raw = vectors.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_raw"))
     centring = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred").fit(raw)
     centred = centring.transform(raw)

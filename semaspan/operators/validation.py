@@ -84,7 +84,7 @@ def spearman(scores: DataFrame, measures: Sequence[str] = MEASURES, human: str =
 def with_spearman_p(rho: DataFrame) -> DataFrame:
     """Add the two-sided p of a rank correlation `rho` over `n` pairs; null below three pairs."""
     df = (F.col("n") - 2).cast("double")
-    t = F.col("rho") * F.sqrt(df / ((1 - F.col("rho")) * (1 + F.col("rho"))))
+    t = F.col("rho") * F.sqrt(F.try_divide(df, (1 - F.col("rho")) * (1 + F.col("rho"))))
     p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(t_two_sided(t, df))
     return rho.withColumn("p_value", F.when(F.col("n") > 2, p))
 
@@ -102,7 +102,7 @@ def coverage(ratings: DataFrame, words: DataFrame, max_words: int | None = None)
     return pairs.select(
         "pairs",
         "pairs_scored",
-        F.round(F.col("pairs_scored") / F.col("pairs") * 100, 2).alias("percent_scored"),
+        F.round(F.try_divide(F.col("pairs_scored"), F.col("pairs")) * 100, 2).alias("percent_scored"),
         missing.scalar().alias("words_missing"),
     )
 

@@ -49,4 +49,4 @@ def read_groups(spark: SparkSession, folder: str, value: str = "sentence", patte
 def read_group_values(spark: SparkSession, folder: str, value: str = "score", pattern: str = "*.txt") -> DataFrame:
     """(construction, value) with one number per line."""
     lines = read_groups(spark, folder, "_text", pattern).filter(F.trim("_text") != "")
-    return lines.select("construction", F.trim("_text").cast("double").alias(value))
+    return lines.select("construction", F.trim("_text").try_cast("double").alias(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +28,16 @@ def read_freqs(spark: SparkSession, path: str) -> DataFrame:
     Three columns are rank, frequency and token; four are rank, lemma, tag and frequency.
     """
     first = _first_line(spark, path).strip()
-    sep = "|" if "|" in first else " "
-    if len(first.split(sep)) == 3:
-        return _csv(spark, path, "rank long, freq long, lemma_pos string", sep)
-    table = _csv(spark, path, "rank long, lemma string, pos string, freq long", sep)
-    return table.select("rank", "freq", F.concat_ws("_", "lemma", "pos").alias("lemma_pos"))
+    # blanks in front of a line are padding, so lines are trimmed before they are split
+    mark = "|" if "|" in first else " "
+    cells = F.split(F.trim("value"), re.escape(mark))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.transform(cells, lambda c: F.trim(c)).alias("c"))
+    c = [F.get("c", i) for i in range(4)]
+    if len(first.split(mark)) == 3:
+        freq, token = c[1], c[2]
+    else:
+        freq, token = c[3], F.concat_ws("_", c[1], c[2])
+    return lines.select(c[0].try_cast("long").alias("rank"), freq.try_cast("long").alias("freq"), token.alias("lemma_pos"))
 
 
 def read_vector_space(spark: SparkSession, path: str) -> DataFrame:
@@ -69,11 +76,11 @@ def read_ratings(spark: SparkSession, path: str, form: str, word1: str = "word1"
         cells = F.split("value", r"\t+")
         table = lines.filter(F.col("value") != header)
         wanted = {"word1": word1, "word2": word2, "human": human, "pos": pos}
-        table = table.select(*[cells[names.index(c)].alias(n) for n, c in wanted.items()])
+        table = table.select(*[F.get(cells, names.index(c)).alias(n) for n, c in wanted.items()])
     else:
         cells = F.split("value", r"\s" if form == "suffix" else r"\t+")
-        table = lines.select(cells[0].alias("word1"), cells[1].alias("word2"), cells[2].alias("human"))
-    return table.withColumn("human", F.col("human").cast("double"))
+        table = lines.select(*[F.get(cells, i).alias(n) for i, n in enumerate(("word1", "word2", "human"))])
+    return table.withColumn("human", F.col("human").try_cast("double"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
