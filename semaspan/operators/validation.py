@@ -11,6 +11,7 @@ from semaspan.functions.distributions import t_two_sided
 from semaspan.operators.vectors import pair_measures
 from semaspan.plans.joins import lookup_join
 from semaspan.plans.ordered import mid_ranks
+from semaspan.session import settle
 
 MEASURES = ("cosine", "euclidean", "dot")
 
@@ -71,6 +72,7 @@ def spearman(scores: DataFrame, measures: Sequence[str] = MEASURES, human: str =
     long = scores.select(F.col(human).cast("double").alias("_human"), F.explode(named).alias("_m"))
     # adding 0.0 makes a negative zero equal to zero in joins and groups
     long = long.select((F.col("_human") + 0.0).alias("_human"), "_m.measure", (F.col("_m._score") + 0.0).alias("_score"))
+    long = settle(long)  # read for two rankings and for the join of the ranks
     model = mid_ranks(long, ["measure"], "_score", "_model_rank").drop("n")
     people = mid_ranks(long, ["measure"], "_human", "_human_rank").drop("n")
     ranked = lookup_join(long, model, ["measure", "_score"])

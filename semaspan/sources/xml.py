@@ -29,6 +29,7 @@ WRITTEN_AND_SPOKEN = Dialect("s", "pos", "hw", None)
 SPOKEN_2014 = Dialect("u", "class", "lemma", "PUNC")
 
 _ATTRIBUTES = r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*"""
+_CUT = " _cut='1'"
 
 
 def read_xml_sentences(spark: SparkSession, path: str | list[str], dialect: Dialect = WRITTEN_AND_SPOKEN) -> DataFrame:
@@ -51,11 +52,20 @@ def _unescaped(text: Column) -> Column:
     return F.when(text.contains("&"), parsed).otherwise(text)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute, null if the tag has none."""
-    pattern = rf"""\s{name}\s*=\s*("[^"]*"|'[^']*')"""
-    quoted = F.regexp_extract(tag, pattern, 1)
-    return F.when(quoted != "", _unescaped(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+def _with(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _attribute(name: str):
+    """Value of an attribute by name in the text between a tag's name and its end; null without one."""
+    pattern = rf"""\s{name}\s*=\s*(["'])(.*?)\1"""
+
+    def value(attributes: Column, found: Column) -> Column:
+        # nothing found is either an empty value or no attribute
+        return F.when(found != "", _unescaped(found)).when(attributes.rlike(pattern), "")
+
+    return (lambda attributes: F.regexp_extract(attributes, pattern, 2)), value
 
 
 def sentence_tokens(xml: Column, dialect: Dialect = WRITTEN_AND_SPOKEN) -> Column:
@@ -64,31 +74,45 @@ def sentence_tokens(xml: Column, dialect: Dialect = WRITTEN_AND_SPOKEN) -> Colum
     kind is "word" or "punctuation". The first word after the start of a `trunc` element is the
     truncated one.
     """
-    bare = F.regexp_replace(xml, r"(?s)<!--.*?-->", "<!>")
     if dialect.punctuation_lemma is None:
         word, names = r"<w(?=[\s/>])", "w|c"
     else:
         word = rf"""<w(?=[\s/>])(?![^>]*\s{dialect.lemma}\s*=\s*["']{dialect.punctuation_lemma}["'])"""
         names = "w"
-    marked = F.regexp_replace(bare, rf"(?s)(<trunc(?=[\s/>]).*?{word})", "$1 _cut='1'")
-    elements = F.regexp_extract_all(marked, F.lit(rf"(?s)(<(?:{names}){_ATTRIBUTES}\s*/?>[^<]*)"), 1)
+    element = F.lit(rf"<({names})({_ATTRIBUTES})\s*/?>([^<]*)")
+    find_pos, read_pos = _attribute(dialect.pos)
+    find_lemma, read_lemma = _attribute(dialect.lemma)
+
+    def bare(x: Column) -> Column:
+        return F.when(x.contains("<!--"), F.regexp_replace(x, r"(?s)<!--.*?-->", "<!>")).otherwise(x)
+
+    def marked(x: Column) -> Column:
+        return F.when(x.contains("<trunc"), F.regexp_replace(x, rf"(?s)(<trunc(?=[\s/>]).*?{word})", f"$1{_CUT}")).otherwise(x)
+
+    def elements(x: Column) -> Column:
+        return F.arrays_zip(*[F.regexp_extract_all(x, element, i).alias(n) for i, n in enumerate(("name", "attributes", "text"), 1)])
+
+    def found(e: Column) -> Column:
+        return F.struct(
+            e["name"].alias("name"), e["attributes"].alias("attributes"), e["text"].alias("text"),
+            find_pos(e["attributes"]).alias("pos"), find_lemma(e["attributes"]).alias("lemma"),
+        )
 
-    def parsed(element: Column) -> Column:
-        tag = F.regexp_extract(element, rf"(?s)^(<(?:{names}){_ATTRIBUTES}\s*/?>)", 1)
-        lemma = _attribute(tag, dialect.lemma)
+    def token(e: Column) -> Column:
         if dialect.punctuation_lemma is None:
-            punctuation = element.startswith("<c")
+            punctuation = e["name"] == "c"
         else:
-            punctuation = F.coalesce(lemma == dialect.punctuation_lemma, F.lit(False))
+            punctuation = e["lemma"] == dialect.punctuation_lemma
         return F.struct(
             F.when(punctuation, "punctuation").otherwise("word").alias("kind"),
-            _attribute(tag, dialect.pos).alias("pos"),
-            lemma.alias("lemma"),
-            _unescaped(F.substring(element, F.length(tag) + 1, F.length(element))).alias("text"),
-            tag.contains(" _cut='1'").alias("truncated"),
+            read_pos(e["attributes"], e["pos"]).alias("pos"),
+            read_lemma(e["attributes"], e["lemma"]).alias("lemma"),
+            _unescaped(e["text"]).alias("text"),
+            e["attributes"].startswith(_CUT).alias("truncated"),
         )
 
-    return F.transform(elements, parsed)
+    located = _with(_with(_with(xml, bare), marked), elements)
+    return F.transform(F.transform(located, found), token)
 
 
 def kept_tokens(tokens: Column, punctuation: bool = False, unclassified: bool = False, truncated: bool = False,
@@ -127,5 +151,7 @@ def prepare_corpus(sentences: DataFrame, dialect: Dialect = WRITTEN_AND_SPOKEN,
     corpus can be aligned by number.
     """
     tokens = rendered_tokens(kept_tokens(sentence_tokens(F.col("xml"), dialect), **kept), lemmatise, pos_tags)
-    lines = sentences.withColumn("_tokens", tokens).filter(F.size("_tokens") > 0)
-    return lines.withColumn("value", F.concat(F.array_join("_tokens", " "), F.lit(" "))).drop("_tokens", "xml")
+    # an exploded array of no or one line drops empty sentences; a filter would parse each of them again
+    line = _with(tokens, lambda t: F.when(F.size(t) > 0, F.concat(F.array_join(t, " "), F.lit(" "))))
+    rest = [c for c in sentences.columns if c != "xml"]
+    return sentences.select(*rest, F.explode(F.array_compact(F.array(line))).alias("value"))

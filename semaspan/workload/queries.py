@@ -19,7 +19,7 @@ from semaspan.operators import validation as val
 from semaspan.operators import vectors as vec
 from semaspan.operators import vocabulary as voc
 from semaspan.operators import weighting as wgt
-from semaspan.session import scratch_folder
+from semaspan.session import scratch_folder, settle
 from semaspan.sources import corpus, sinks, tables, xml
 from semaspan.workload import views
 from semaspan.workload.views import DIMENSION, MAX_PAIRS, MIN_LENGTH, SENTENCE, VOCABULARY, Space
@@ -586,7 +586,7 @@ def bm_permutation(spark, sf):
 def _tests(spark, sf) -> DataFrame:
     """One p-value per pair, in families of one event type."""
     found = hyp.brunner_munzel(views.scores(spark, sf)).select("pair", F.round("p_greater", 9).alias("p_value"))
-    return found.withColumn("family", F.substring_index("pair", "_", 1))
+    return settle(found.withColumn("family", F.substring_index("pair", "_", 1)))
 
 
 @query
