@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semaspan.functions.distributions import normal_quantile, normal_upper, t_quantile, t_two_sided, t_upper
 from semaspan.plans.joins import lookup_join
 from semaspan.plans.ordered import group_quantiles, ordered, running
+from semaspan.session import settle
 
 
 def _rank_statistics(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -102,49 +104,85 @@ def brunner_munzel_permutation(scores: DataFrame, n_perm: int, seed: int = 1, pa
     """Studentised permutation test per pair (Neubert and Brunner 2007).
 
     (pair, statistic, p_greater, relative_effect, ci_lower, ci_upper, fvc_n, lvc_n). In permutation k
-    the rows of a pair are ordered by md5(seed|k|pair|row) and the first fvc_n become FVC. Rows are
-    ordered over the whole cluster, so a large pair is split over many tasks like any other.
+    the rows of a pair are ordered by md5(seed|k|pair|row) and the first fvc_n become FVC.
+
+    A histogram of the draws finds the cut of each permutation, so no draw is sorted except near the
+    cuts, and a row finds its own labels. Labels are counted per distinct value before the shuffle.
     """
-    asked = brunner_munzel(scores, pair, kind, score, confidence).select(
-        pair, F.col("statistic").alias("_seen"), "relative_effect", "fvc_n", "lvc_n"
-    )
-    copies = scores.select(
-        pair, (F.col(score) + 0.0).alias("_value"), F.col(row).alias("_row"),
-        F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("_perm"),
-    )
-    copies = copies.select(
-        pair, "_perm", "_value", F.lit(1).alias("_one"),
-        F.md5(F.concat_ws("|", F.lit(seed), "_perm", pair, "_row")).alias("_draw"),
+    values = scores.select(pair, (F.col(score) + 0.0).alias("_value"), F.col(row).alias("_row"))
+    sums = _rank_statistics(_side_counts(scores, pair, kind, score), [pair], "_value")
+    asked = settle(sums.withColumns(_brunner_munzel_columns()).select(
+        pair, F.when((F.col("nx") >= 2) & (F.col("ny") >= 2), F.col("statistic")).alias("_seen"),
+        "relative_effect", "_se", F.col("nx").cast("long").alias("nx"), F.col("ny").cast("long").alias("ny"),
+    ))
+    tested = asked.filter("_seen IS NOT NULL").select(pair, "_seen", "nx", "ny")
+
+    def draw(k: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(seed), k, pair, "_row"))
+
+    size = asked.count() * n_perm  # entries of the per-pair tables below: few are broadcast, many are not
+    cuts = _permutation_cuts(values, tested, draw, n_perm, pair, size)
+    labelled = lookup_join(values, cuts, pair, max_rows=size, salts=8).select(
+        pair, "_value", F.posexplode(F.transform("_cuts", lambda cut, k: draw(k + 1) <= cut)).alias("_perm", "_first")
     )
-    drawn = running(ordered(copies, [pair, "_perm", "_draw"]), [pair, "_perm"], {"_place": ("sum", "_one")})
-    labelled = lookup_join(drawn, asked.select(pair, "fvc_n"), pair, salts=8)
-    first = F.col("_place") <= F.col("fvc_n")
+    first = F.col("_first")
     counts = labelled.groupBy(pair, "_perm", "_value").agg(F.count_if(first).alias("_x"), F.count_if(~first).alias("_y"))
-    sums = _rank_statistics(counts, [pair, "_perm"], "_value")
     columns = _brunner_munzel_columns()
     # a draw whose sides do not overlap is as far out as any
     far = F.signum(columns["relative_effect"] - 0.5) * 1e308
-    draws = sums.select(pair, "_perm", F.coalesce(columns["statistic"], far).alias("_w"))
-    shares = lookup_join(draws, asked, pair).groupBy(pair).agg(F.avg(F.when(F.col("_w") >= F.col("_seen"), 1.0).otherwise(0.0)).alias("_share"))
+    drawn = _rank_statistics(counts, [pair, "_perm"], "_value").select(pair, "_perm", F.coalesce(columns["statistic"], far).alias("_w"))
+    draws = settle(lookup_join(drawn, tested.select(pair, "_seen"), pair))
+    shares = draws.groupBy(pair).agg(F.avg(F.when(F.col("_w") >= F.col("_seen"), 1.0).otherwise(0.0)).alias("_share"))
     half = (1 - confidence) / 2
     reach = group_quantiles(draws, [pair], "_w", {"_low": half, "_high": 1 - half}).drop("n")
-    scale = brunner_munzel_errors(scores, pair, kind, score)
-    valid = F.col("_seen").isNotNull()
-    return asked.join(shares, pair, "left").join(reach, pair, "left").join(scale, pair, "left").select(
+    return asked.join(shares, pair, "left").join(reach, pair, "left").select(
         pair,
         F.col("_seen").alias("statistic"),
-        F.when(valid, F.col("_share")).alias("p_greater"),
-        "relative_effect",
-        F.when(valid, F.col("relative_effect") - F.col("_high") * F.col("_se")).alias("ci_lower"),
-        F.when(valid, F.col("relative_effect") - F.col("_low") * F.col("_se")).alias("ci_upper"),
-        "fvc_n", "lvc_n",
+        F.col("_share").alias("p_greater"),
+        F.when((F.col("nx") >= 2) & (F.col("ny") >= 2), F.col("relative_effect")).alias("relative_effect"),
+        (F.col("relative_effect") - F.col("_high") * F.col("_se")).alias("ci_lower"),
+        (F.col("relative_effect") - F.col("_low") * F.col("_se")).alias("ci_upper"),
+        F.col("nx").alias("fvc_n"),
+        F.col("ny").alias("lvc_n"),
     )
 
 
-def brunner_munzel_errors(scores: DataFrame, pair: str = "pair", kind: str = "kind", score: str = "score") -> DataFrame:
-    """(pair, _se): standard error of the relative effect."""
-    sums = _rank_statistics(_side_counts(scores, pair, kind, score), [pair], "_value")
-    return sums.select(pair, _brunner_munzel_columns()["_se"].alias("_se"))
+def _permutation_cuts(values: DataFrame, tested: DataFrame, draw, n_perm: int, pair: str,
+                      size: int) -> DataFrame:
+    """(pair, _cuts): for each permutation the draw of the last row that becomes FVC.
+
+    Draws are counted by their first two digits, which leaves 256 counts per permutation. Only rows
+    of the bucket that holds the cut are ordered. The array has one entry per permutation.
+    """
+    perms = F.sequence(F.lit(1), F.lit(n_perm))
+
+    def bucket(k: Column) -> Column:
+        return F.substring(draw(k), 1, 2)
+
+    kept = lookup_join(values, tested.select(pair), pair, "left_semi", max_rows=size, salts=8)
+    counted = (
+        kept.select(pair, "_row", F.explode(perms).alias("_perm"))
+        .groupBy(pair, "_perm", bucket(F.col("_perm")).alias("_bucket"))
+        .agg(F.count("*").alias("_n"))
+    )
+    upto = F.sum("_n").over(W.partitionBy(pair, "_perm").orderBy("_bucket"))
+    edges = (
+        lookup_join(counted.withColumn("_upto", upto), tested.select(pair, "nx"), pair)
+        .filter((F.col("_upto") >= F.col("nx")) & (F.col("_upto") - F.col("_n") < F.col("nx")))
+        .select(pair, F.struct("_perm", "_bucket", (F.col("nx") - F.col("_upto") + F.col("_n")).alias("_need")).alias("_edge"))
+        .groupBy(pair)
+        .agg(F.array_sort(F.collect_list("_edge")).alias("_edges"))
+    )
+    near = (
+        lookup_join(values, edges, pair, max_rows=size, salts=8)
+        .select(pair, "_row", F.explode("_edges").alias("_e"))
+        .select(pair, "_row", "_e.*")
+        .filter(bucket(F.col("_perm")) == F.col("_bucket"))
+        .select(pair, "_perm", "_need", draw(F.col("_perm")).alias("_draw"), F.lit(1).alias("_one"))
+    )
+    placed = running(ordered(near, [pair, "_perm", "_draw"]), [pair, "_perm"], {"_place": ("sum", "_one")})
+    cut = placed.filter("_place = _need").select(pair, F.struct("_perm", "_draw").alias("_c"))
+    return cut.groupBy(pair).agg(F.transform(F.array_sort(F.collect_list("_c")), lambda c: c["_draw"]).alias("_cuts"))
 
 
 def bonferroni(tests: DataFrame, families: Sequence[str] = (), p: str = "p_value") -> DataFrame:

@@ -114,7 +114,8 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(pair, kind, row, score) from all events."""
-    return table(spark, sf, "events").select(
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
+    return events.select(
         F.concat_ws("_", "event_type", F.col("user_id") % 5).alias("pair"),
         F.when(F.col("event_id") % 2 == 1, "LVC").otherwise("FVC").alias("kind"),
         F.col("event_id").alias("row"),
