@@ -24,23 +24,25 @@ def cooccurrences(
     """(keys, lemma_pos, basis_index, n): how often a context word stands near a target word.
 
     Counts every pair of positions of one sentence at most `window` apart, except pairs of the same
-    word. Each token row takes only its own neighbourhood along, at most 2 * window + 1 tokens; with
-    bounded vocabularies nothing moves before the partial counts.
+    word. The window is symmetric, so it is opened around the context words: they are the smaller share
+    of a corpus, as the basis leaves out the most frequent words. Each of them takes only its own
+    neighbourhood along, at most 2 * window + 1 tokens; with bounded vocabularies nothing moves before
+    the partial counts.
     """
     at = F.col("_at")
     start = F.greatest(at - window + 1, F.lit(1))  # slice positions count from 1
     # short sentences become null here: as a filter the condition would tokenise every line again
     placed = sentences.select(*keys, tokens).select(
-        *keys, tokens, F.posexplode(F.when(F.size(tokens) > min_length, F.col(tokens))).alias("_at", "lemma_pos")
+        *keys, tokens, F.posexplode(F.when(F.size(tokens) > min_length, F.col(tokens))).alias("_at", "_context")
     )
-    near = placed.select(*keys, "lemma_pos", F.slice(tokens, start, at + window + 2 - start).alias("_near"))
+    near = placed.select(*keys, "_context", F.slice(tokens, start, at + window + 2 - start).alias("_near"))
     voc = targets.select("lemma_pos", "voc_index")
-    # a computed key: Spark would copy the basis' pattern filters to every context token
+    # a computed key: Spark would copy the basis' pattern filters to every token of the corpus
     dims = basis.select(F.concat(F.lit(""), "lemma_pos").alias("_context"), "basis_index")
-    hits = lookup_join(near, voc, "lemma_pos", max_rows=max_targets, salts=16)
-    pairs = hits.select(*keys, "voc_index", F.explode(F.array_remove("_near", F.col("lemma_pos"))).alias("_context"))
+    hits = lookup_join(near, dims, "_context", max_rows=max_basis, salts=16)
+    pairs = hits.select(*keys, "basis_index", F.explode(F.array_remove("_near", F.col("_context"))).alias("lemma_pos"))
     cells = (
-        lookup_join(pairs, dims, "_context", max_rows=max_basis, salts=16)
+        lookup_join(pairs, voc, "lemma_pos", max_rows=max_targets, salts=16)
         .groupBy(*keys, "voc_index", "basis_index")
         .agg(F.count("*").alias("n"))
     )
