@@ -504,19 +504,20 @@ def strict_pairs(spark, sf):
     return cons.strict_pairs(space.groups, space.pairs)
 
 
+def _with_strays(space: Space) -> DataFrame:
+    """Every sentence also lands in the group of its first token, which often does not fit."""
+    stray = F.concat(F.split("sentence", "_")[0], F.lit("_VERB"))
+    return space.grouped_sentences.select(F.explode(F.array("construction", stray)).alias("construction"), "sentence")
+
+
 @query
 def clean_groups(spark, sf):
-    # every sentence also lands in the group of its first token, which often does not fit
-    space = Space(spark, sf)
-    stray = space.grouped_sentences.withColumn("construction", F.concat(F.split("sentence", "_")[0], F.lit("_VERB")))
-    return cons.clean_groups(cons.merge_groups(space.grouped_sentences, stray))
+    return cons.clean_groups(_with_strays(Space(spark, sf)))
 
 
 @query
 def clean_groups_compat(spark, sf):
-    space = Space(spark, sf)
-    stray = space.grouped_sentences.withColumn("construction", F.concat(F.split("sentence", "_")[0], F.lit("_VERB")))
-    return cons.clean_groups(cons.merge_groups(space.grouped_sentences, stray), mode="compat")
+    return cons.clean_groups(_with_strays(Space(spark, sf)), mode="compat")
 
 
 @query

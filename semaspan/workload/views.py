@@ -219,8 +219,8 @@ class Space:
 
     @cached_property
     def groups(self) -> DataFrame:
-        """(doc_id, line_no, construction, kind) of all occurrences."""
-        return candidate_groups(self.objects, self.verbs, SENTENCE)
+        """(doc_id, line_no, construction, kind) of all occurrences, settled like extracted group files."""
+        return settle(candidate_groups(self.objects, self.verbs, SENTENCE))
 
     @cached_property
     def grouped_sentences(self) -> DataFrame:
