@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from semaspan.functions import distributions as dist
+from semaspan.operators import hypothesis as hyp
 from semaspan.workload.queries import N_PERM
 from semaspan.workload.views import (
     DIMENSION, EXCLUDE_FIRST, FREQ_MIN, LIGHT_VERBS, MIN_LENGTH, NOMINALS, PLAIN_VERBS, TAG_BY_LENGTH,
@@ -302,6 +304,40 @@ def _bh(source: str, p: str, family: str, name: str) -> str:
     )
 
 
+def _poly_sql(coefficients: list[float], x: str) -> str:
+    """coefficients[0] + coefficients[1] * x + ... in nested form."""
+    value = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        value = f"({value} * ({x}) + {c!r}::DOUBLE)"
+    return value
+
+
+def _normal_quantile_sql(p: str) -> str:
+    """The rational approximation of the normal quantile, without its part for far tails."""
+    q, tail = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"{q} * {_poly_sql(dist._CENTRE_NUM, f'0.180625 - {q} * {q}')} / {_poly_sql(dist._CENTRE_DEN, f'0.180625 - {q} * {q}')}"
+    middle = f"{_poly_sql(dist._MIDDLE_NUM, f'{tail} - 1.6')} / {_poly_sql(dist._MIDDLE_DEN, f'{tail} - 1.6')}"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE sign({q}) * {middle} END"
+
+
+_SHAPIRO = f"""
+    placed AS (SELECT fvc - lvc AS v, row_number() OVER (ORDER BY fvc - lvc) AS i, count(*) OVER () AS n FROM paired),
+    scored AS (SELECT v, i, n, {_normal_quantile_sql('((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE))')} AS m FROM placed),
+    outer_weights AS (
+        SELECT n, mm, {_poly_sql(hyp._LAST_WEIGHT, '1 / sqrt(n)')} + m1 / sqrt(mm) AS a1,
+               {_poly_sql(hyp._SECOND_WEIGHT, '1 / sqrt(n)')} + m2 / sqrt(mm) AS a2, m1, m2
+        FROM (SELECT any_value(n) AS n, sum(m * m) AS mm, max(m) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2 FROM scored)),
+    weighted AS (
+        SELECT s.v, s.n, CASE WHEN i = s.n THEN a1 WHEN i = 1 THEN -a1 WHEN s.n > 5 AND i = s.n - 1 THEN a2 WHEN s.n > 5 AND i = 2 THEN -a2
+               WHEN s.n > 5 THEN m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))
+               ELSE m / sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)) END AS a
+        FROM scored s CROSS JOIN outer_weights),
+    w AS (SELECT any_value(n) AS n, pow(sum(a * v), 2) / (var_pop(v) * count(*)) AS w FROM weighted),
+    z AS (SELECT n, w, CASE WHEN n <= 11
+               THEN (-ln({_poly_sql(hyp._SMALL_BOUND, 'n')} - ln(1 - w)) - {_poly_sql(hyp._SMALL_MEAN, 'n')}) / exp({_poly_sql(hyp._SMALL_SD, 'n')})
+               ELSE (ln(1 - w) - {_poly_sql(hyp._LARGE_MEAN, 'ln(n)')}) / exp({_poly_sql(hyp._LARGE_SD, 'ln(n)')}) END AS z FROM w)"""
+
+
 def _interval_sql(needs: str, df: str, columns: str) -> str:
     return _sql((needs,), f"SELECT {columns} FROM quantiled", _t_quantile_ctes(needs, df))
 
@@ -504,6 +540,9 @@ ORACLES: dict[str, str] = {
                d < q1 - 3 * (q3 - q1) OR d > q3 + 3 * (q3 - q1) AS is_extreme
         FROM (SELECT id, fvc - lvc AS d FROM paired)
         CROSS JOIN (SELECT quantile_cont(fvc - lvc, 0.25) AS q1, quantile_cont(fvc - lvc, 0.75) AS q3 FROM paired)"""),
+    "shapiro_wilk": _sql(("paired",), f"""
+        SELECT n, {_r('w')}, {_r(f"CASE WHEN z >= 0 THEN 0.5 - half ELSE 0.5 + half END", 'p_value')}
+        FROM (SELECT *, {_simpson_sql('0', 'least(abs(z), 12)', lambda at: f"exp(-{at} * {at} / 2)")} / sqrt(2 * pi()) AS half FROM z)""", _SHAPIRO),
     "paired_t": _interval_sql("paired_stats", "df", f"""n, {_r('m', 'mean_difference')}, {_r('t')}, {_r('df')},
         {_r(_t_two_sided_sql('t', 'df'), 'p_two_sided')}, {_r(_t_upper_sql('t', _t_two_sided_sql('t', 'df')), 'p_greater')},
         {_r('m - t_q * sd / sqrt(n)', 'ci_lower')}, {_r('m + t_q * sd / sqrt(n)', 'ci_upper')}"""),
