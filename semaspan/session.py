@@ -1,8 +1,7 @@
-"""Session helpers: where settled tables live, and a local session for tests and benchmarks."""
+"""Session helpers: where settled and stored tables live, and a local session for tests and benchmarks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,31 +24,34 @@ def local_session(cores: str | int = "*", name: str = "semaspan", memory: str =
     return spark
 
 
-def _prepare_checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared)
-        return
-    if context.getCheckpointDir() is not None:
-        return
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="semaspan-settled-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    A cluster names it in `spark.checkpoint.dir`; without that setting it lies below the session's warehouse.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled").rstrip("/")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder."""
-    _prepare_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and continue from the written rows.
+    """Write `df` once to the shared folder and continue from the written rows and their order.
 
     Plans that read the same ordered rows more than once start from a settled table, so that a
     lost executor cannot make two readers see two different orders.
     """
-    _prepare_checkpoint_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back; later readers prune its columns."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
