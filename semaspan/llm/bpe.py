@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pieces that a worker remembers in each of its two generations; a bound on memory, not on results.
-REMEMBERED_PIECES = 150_000
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_PIECES = 200_000
+REMEMBERED_PAIRS = 600_000
 
 
 class Vocabulary:
@@ -34,16 +34,19 @@ class Vocabulary:
         self.pieces = regex.compile(pattern).findall
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks.keys()))
+        self.above = max(ranks.values(), default=0) + 1
         self.length = {t: len(b) for b, t in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
-        self.starting = ahocorasick.Automaton()
+        self.starting, self.leading = ahocorasick.Automaton(), ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if self._learn(token, rank):
                 self.starting.add_word(token[::-1].decode("latin-1"), rank)
+                self.leading.add_word(token.decode("latin-1"), rank)
         self.starting.make_automaton()
+        self.leading.make_automaton()
         for token, rank in ranks.items():
             self.shorter[rank] = next(
                 (s for n in range(len(token) - 1, 0, -1) if (s := ranks.get(token[:n])) is not None and s in self.parts), None
@@ -68,7 +71,7 @@ class Vocabulary:
 
         Undoes the latest merge of either token again and again and looks at what touches the border.
         """
-        limit = len(self.ranks) + max(self.bytes_of)
+        limit = self.above
         while True:
             over = self.merged.get((a, b))
             if over is not None and over < limit:
@@ -87,59 +90,74 @@ class Vocabulary:
             else:
                 return True
 
-    def agree(self, a: int, b: int) -> bool:
-        known = self.compatible.get((a, b))
-        if known is None:
-            if len(self.compatible) >= REMEMBERED_PAIRS:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self._agree(a, b)
-        return known
+    def _remember(self, a: int, b: int) -> bool:
+        if len(self.compatible) >= REMEMBERED_PAIRS:
+            self.compatible.clear()
+        self.compatible[a, b] = fits = self._agree(a, b)
+        return fits
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         size = len(piece)
+        known, length, shorter = self.compatible, self.length, self.shorter
+        out = [token for _, token in self.leading.iter_long(piece.decode("latin-1"))]
+        if sum(map(length.__getitem__, out)) == size:
+            for pair in zip(out, out[1:]):
+                if not (known[pair] if pair in known else self._remember(*pair)):
+                    break
+            else:  # the longest tokens one after the other are compatible, so there is nothing to step back from
+                return tuple(out)
         longest: list[int | None] = [None] * (size + 1)
         last = size - 1
         for end, token in self.starting.iter(piece[::-1].decode("latin-1")):
             at = last - end  # the reversed match ends where the token starts; the longest one comes first
             if longest[at] is None:
                 longest[at] = token
-        agree, length, shorter = self.agree, self.length, self.shorter
         out: list[int] = []
         open_ = bytearray(b"\x01") * (size + 1)
-        at, token = 0, longest[0]
-        while token is not None:
-            before = out[-1] if out else None
+        at, before, token = 0, None, longest[0]
+        while True:
             while token is not None:
                 end = at + length[token]
-                if open_[end] and (before is None or agree(before, token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at]
-                    break
+                if open_[end]:
+                    fits = True
+                    if before is not None and (fits := known.get((before, token))) is None:
+                        fits = self._remember(before, token)
+                    if fits:
+                        break
                 token = shorter[token]
-            else:  # nothing fits here: this position is closed, try the token before in a shorter form
+            if token is not None:
+                out.append(token)
+                if end == size:
+                    break
+                at, before, token = end, token, longest[end]
+            else:  # nothing fits here: this position is closed, the token before gets a shorter form
                 open_[at] = 0
                 token = out.pop()
                 at -= length[token]
+                before = out[-1] if out else None
         return tuple(out)
 
-    def ids(self, text: str) -> list[int]:
-        recent = self.recent
-        out = []
-        for piece in self.pieces(text):
-            known = recent.get(piece)
-            if known is None:
-                known = self.older.get(piece) or self.encode_piece(piece.encode())
-                if len(recent) >= REMEMBERED_PIECES:
-                    self.older, self.recent = recent, {}
-                    recent = self.recent
-                if len(piece) <= 64:
-                    recent[piece] = known
-            out.append(known)
-        return list(chain.from_iterable(out))
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of a text, as 32-bit numbers."""
+        pieces = self.pieces(text)
+        found = list(map(self.recent.get, pieces))
+        if None in found:
+            for i in [i for i, known in enumerate(found) if known is None]:
+                found[i] = self._piece(pieces[i])
+        return np.frombuffer(b"".join(found), dtype="<i4")
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.recent.get(piece) or self.older.get(piece)
+        if known is None:
+            known = np.array(self.encode_piece(piece.encode()), dtype="<i4").tobytes()
+        if len(piece) <= 64:  # longer ones seldom come again
+            if len(self.recent) >= REMEMBERED_PIECES:
+                self.older, self.recent = self.recent, {}
+            self.recent[piece] = known
+        return known
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +180,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
         for batch in batches:
             ids, ends = [], [0]
             for value in batch:
-                found = np.array(known.ids(value.as_py() or ""), dtype=np.int32)
+                found = known.ids(value.as_py() or "")
                 ids.append(found)
                 ends.append(ends[-1] + len(found))
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
