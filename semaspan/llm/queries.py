@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe
+from semaspan.llm import bpe, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.with_secrets(docs).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "literal")
+
+    def number(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+        number("literal"),
+    )
+
+
 @query
 def op3_byte_bpe(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -36,3 +54,8 @@ def op3_byte_bpe(spark, sf):
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("token_ids"), RANKS, PATTERN), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_quality_rules(spark, sf):
+    return quality_rules.quality_rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
