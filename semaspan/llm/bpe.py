@@ -11,9 +11,9 @@ the one of merging by rank.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pieces that a worker remembers in each of its two generations; a bound on memory, not on results.
-REMEMBERED_PIECES = 200_000
-REMEMBERED_PAIRS = 600_000
+REMEMBERED_PIECES = 150_000
+REMEMBERED_PAIRS = 400_000
+ROWS_AT_ONCE = 500  # texts whose ids are held before they go on
 
 
 class Vocabulary:
@@ -105,7 +106,8 @@ class Vocabulary:
         out = [token for _, token in self.leading.iter_long(piece.decode("latin-1"))]
         if sum(map(length.__getitem__, out)) == size:
             for pair in zip(out, out[1:]):
-                if not (known[pair] if pair in known else self._remember(*pair)):
+                fits = known.get(pair)
+                if not (self._remember(*pair) if fits is None else fits):
                     break
             else:  # the longest tokens one after the other are compatible, so there is nothing to step back from
                 return tuple(out)
@@ -147,12 +149,12 @@ class Vocabulary:
         if None in found:
             for i in [i for i, known in enumerate(found) if known is None]:
                 found[i] = self._piece(pieces[i])
-        return np.frombuffer(b"".join(found), dtype="<i4")
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def _piece(self, piece: str) -> bytes:
         known = self.recent.get(piece) or self.older.get(piece)
         if known is None:
-            known = np.array(self.encode_piece(piece.encode()), dtype="<i4").tobytes()
+            known = array("i", self.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:  # longer ones seldom come again
             if len(self.recent) >= REMEMBERED_PIECES:
                 self.older, self.recent = self.recent, {}
@@ -178,13 +180,11 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = vocabulary(path, pattern)
         for batch in batches:
-            ids, ends = [], [0]
-            for value in batch:
-                found = known.ids(value.as_py() or "")
-                ids.append(found)
-                ends.append(ends[-1] + len(found))
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
+                ids = [known.ids(value.as_py() or "") for value in part]
+                ends = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=ends[1:])
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
     return encoded(text)
 
@@ -196,7 +196,12 @@ def decode(ids: Column | str, path: str, pattern: str) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = vocabulary(path, pattern).bytes_of
         for batch in batches:
-            yield pa.array([b"".join(map(table.__getitem__, row.values.tolist())) if row.is_valid else b"" for row in batch], pa.binary())
+            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
+                ends = part.offsets.to_numpy()
+                first = ends[0]
+                flat = part.values.slice(first, ends[-1] - first).to_numpy().tolist()
+                filled = zip((ends[:-1] - first).tolist(), (ends[1:] - first).tolist())
+                yield pa.array([b"".join(map(table.__getitem__, flat[a:b])) for a, b in filled], pa.binary())
 
     return decoded(ids)
 
