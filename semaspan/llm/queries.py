@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, quality_rules, secrets
+from semaspan.llm import bpe, chat, licenses, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +56,20 @@ def op3_byte_bpe(spark, sf):
     )
 
 
+@query
+def op5_license_scan(spark, sf):
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("matches", lambda m: m["label"]))))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.size("matches").cast("long").alias("n_matches"),
+    )
+
+
 @query
 def op8_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
