@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, licenses, quality_rules, secrets
+from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,12 @@ def op5_license_scan(spark, sf):
     )
 
 
+@query
+def op7_nearest_neighbours(spark, sf):
+    vectors = neighbours.usable(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return neighbours.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op8_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
