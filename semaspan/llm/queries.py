@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets
+from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,12 @@ def op8_quality_rules(spark, sf):
     return quality_rules.quality_rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
+@query
+def op9_simhash_dedup(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_chat_format(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
