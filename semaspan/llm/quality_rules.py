@@ -39,6 +39,7 @@ COMMON_WORDS = {
 }
 VOCABULARY = [word for words in COMMON_WORDS.values() for word in words]
 
+FEW_REPEATED = 500  # repeated windows of a text up to which they are looked up one by one
 BASE_WORDS = 50  # base rule: fewer words fail
 BASE_REPEATED = 50  # base rule: more than this percentage of words in repeated windows fails
 LEAST_CHARS = 200  # shorter texts have no character verdict
@@ -76,20 +77,20 @@ def covered_by_repeats(sorted_windows: Column, width: int) -> Column:
     return covered["n"]
 
 
+def common_words(words: Column) -> Column:
+    """The words of VOCABULARY among the words of a text, in any case, each between spaces of its own."""
+    spaced = F.lower(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+    found = F.regexp_extract_all(spaced, F.lit("(?<= )(" + "|".join(VOCABULARY) + ")(?= )"), F.lit(1))
+    return F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, counts and histograms) of each text; one narrow pass."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.col("lang").alias("lang"), text.alias("text"), words_of(text).alias("words"))
     n = F.size("words")
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(
-                F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)).alias("w"), (i - 1).alias("i")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     length = F.length("text").cast("long")
 
@@ -104,15 +105,33 @@ def counted(docs: DataFrame) -> DataFrame:
         length.alias("n_chars"),
         left(SYMBOLS).alias("n_symbols"),
         lines.alias("lines"),
-        F.sort_array(windows).alias("windows"),
+        "words",
+        hashes.alias("hashes"),
         F.array(*classes.values()).alias("classes"),
-        F.lower(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))).alias("spaced"),
+        common_words(F.col("words")).alias("common"),
+    )
+    # windows whose hash is alone in the text are alone themselves; only the others are compared word by word
+    several = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    ordered = F.when(several, F.sort_array("hashes"))
+    rows = rows.select("*", ordered.alias("ordered")).select(
+        "*", F.array_distinct(F.filter("ordered", lambda h, i: (i > 0) & (h == F.get("ordered", i - 1)))).alias("repeated")
+    )
+    every = F.sequence(F.lit(0), F.size("hashes") - 1)
+    few = F.filter(every, lambda i: F.array_contains("repeated", F.get("hashes", i)))
+    starts = F.when(F.size("repeated") <= FEW_REPEATED, few).otherwise(every)  # a plan for long texts, the same result
+    rows = rows.withColumn("starts", F.when(F.col("repeated").isNotNull(), starts))
+    windows = F.transform(
+        "starts",
+        lambda i: F.struct(
+            F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i")
+        ),
     )
+    rows = rows.withColumn("windows", F.sort_array(windows))
     blank = F.get("classes", list(CLASSES).index("blank"))
 
-    def places(word: str) -> Column:  # each word has spaces of its own, so neighbours are both found
-        rest = F.length(F.replace("spaced", F.lit(f" {word} "), F.lit("")))
-        return ((F.length("spaced") - rest) / (len(word) + 2)).cast("long")
+    def times(word: str) -> Column:
+        rest = F.length(F.replace("common", F.lit(f" {word} "), F.lit("")))
+        return F.floor((F.length("common") - rest) / (len(word) + 2)).cast("long")
 
     def with_rest(histogram: Column, of: str) -> Column:
         return F.concat(histogram, F.array(F.col(of) - F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x)))
@@ -124,10 +143,10 @@ def counted(docs: DataFrame) -> DataFrame:
         (F.col("n_chars") - blank).alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered_by_repeats(F.col("windows"), 3).alias("n_repeat_words"),
+        F.coalesce(covered_by_repeats(F.col("windows"), 3), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_chars",
         "classes",
-        F.array(*[places(word) for word in VOCABULARY]).alias("common"),
+        F.array(*[times(word) for word in VOCABULARY]).alias("common"),
     )
     return rows.withColumns({"classes": with_rest(F.col("classes"), "n_chars"), "common": with_rest(F.col("common"), "n_words")})
 

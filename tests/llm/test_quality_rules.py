@@ -44,3 +44,13 @@ def test_empty_table_nulls_and_repeats(spark):
     rows = qr.quality_rules(docs).collect()
     assert len(rows) == 3 and not any(r.kept for r in rows)
     assert qr.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_many_repeats_take_the_other_plan(spark, monkeypatch):
+    text = " ".join(f"{i} {i + 1} {i + 2} x" for i in range(40)) * 2
+    docs = spark.createDataFrame([(1, text, "en"), (2, "a b c " * 30, "en")], "doc_id long, text string, lang string")
+    both = []
+    for few in (0, 500):
+        monkeypatch.setattr(qr, "FEW_REPEATED", few)
+        both.append(sorted((r.doc_id, r.n_repeat_words) for r in qr.quality_rules(docs).collect()))
+    assert both[0] == both[1] == [(1, brute(text)[4]), (2, 90)]
