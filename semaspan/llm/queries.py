@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets, simhash
+from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,13 @@ def op5_license_scan(spark, sf):
     )
 
 
+@query
+def op6_substring_dedup(spark, sf):
+    left = substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])
+    return left.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op7_nearest_neighbours(spark, sf):
     vectors = neighbours.usable(table(spark, sf, "embeddings").select("vec_id", "embedding"))
