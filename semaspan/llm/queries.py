@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, licenses, neighbours, quality_rules, secrets, simhash, substrings
+from semaspan.llm import bpe, chat, licenses, line_crf, neighbours, quality_rules, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +56,14 @@ def op3_byte_bpe(spark, sf):
     )
 
 
+@query
+def op4_line_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = line_crf.learned(docs, table(spark, sf, "labels").select("doc_id", "quality"))
+    scored = docs.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), line_crf.quality("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= line_crf.LEAST_SCORE).cast("int"))
+
+
 @query
 def op5_license_scan(spark, sf):
     found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
