@@ -84,10 +84,10 @@ def common_words(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, counts and histograms) of each text; one narrow pass."""
+def counted(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, lang, counts and histograms) of each text; one narrow pass. Column `doc` is carried along."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.col("lang").alias("lang"), text.alias("text"), words_of(text).alias("words"))
+    rows = docs.select(F.col(doc).alias("doc"), F.col("lang").alias("lang"), text.alias("text"), words_of(text).alias("words"))
     n = F.size("words")
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
@@ -99,7 +99,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     classes = {name: left(pattern) for name, pattern in CLASSES.items()}
     rows = rows.select(
-        "doc_id",
+        "doc",
         "lang",
         n.cast("long").alias("n_words"),
         length.alias("n_chars"),
@@ -137,7 +137,7 @@ def counted(docs: DataFrame) -> DataFrame:
         return F.concat(histogram, F.array(F.col(of) - F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x)))
 
     rows = rows.select(
-        "doc_id",
+        "doc",
         "lang",
         "n_words",
         (F.col("n_chars") - blank).alias("word_chars"),
@@ -186,13 +186,8 @@ def jensen_shannon(counts: Column, total: Column, shares: Column) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def quality_rules(docs: DataFrame, far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS) -> DataFrame:
-    """(doc_id, counts, base_failed, class_distance, word_distance, kept) for each row of `docs`.
-
-    The counts are stored once, as they are read twice: for the references and for the verdicts.
-    """
-    counts = stored(counted(docs))
-    refs = references(counts)
+def verdicts(counts: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS) -> DataFrame:
+    """(doc, counts, base_failed, class_distance, word_distance, kept) of counted texts."""
     fallback = refs.filter("lang IS NULL").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
     known = refs.filter("lang IS NOT NULL").orderBy(F.desc("ref_chars"), "lang").limit(MOST_LANGUAGES).drop("ref_chars")
     # `known` is one short row for each of at most MOST_LANGUAGES languages, `fallback` is one row
@@ -201,10 +196,29 @@ def quality_rules(docs: DataFrame, far_classes: float = FAR_CLASSES, far_words:
     words = jensen_shannon(F.col("common"), F.col("n_words"), F.coalesce("ref_common", "all_common"))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
     judged = rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         F.when(F.col("n_chars") >= LEAST_CHARS, classes).alias("class_distance"),
         F.when(F.col("n_words") >= LEAST_WORDS, words).alias("word_distance"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > far_classes) | (F.coalesce("word_distance", F.lit(0.0)) > far_words)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def quality_rules(docs: DataFrame, far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS) -> DataFrame:
+    """(doc_id, counts, base_failed, class_distance, word_distance, kept) for each row of `docs`.
+
+    The counts are stored once, as they are read twice: for the references and for the verdicts.
+    """
+    counts = stored(counted(docs))
+    return verdicts(counts, references(counts), far_classes, far_words).withColumnRenamed("doc", "doc_id")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` that the rules keep, with all their columns and without a shuffle of their texts.
+
+    The references take a pass of their own, which counts only what they need.
+    """
+    refs = stored(references(counted(docs)))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    return verdicts(counted(whole, "row"), refs).filter("kept").select("doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspan.llm import bpe, chat, licenses, line_crf, neighbours, quality_rules, secrets, simhash, substrings
+from semaspan.llm import bpe, chat, licenses, line_crf, mixing, neighbours, quality_rules, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,12 @@ def op1_secret_scan(spark, sf):
     )
 
 
+@query
+def op2_source_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mixed(docs).withColumn("rate", F.round("rate", 9))
+
+
 @query
 def op3_byte_bpe(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
