@@ -217,8 +217,10 @@ def quality_rules(docs: DataFrame, far_classes: float = FAR_CLASSES, far_words:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that the rules keep, with all their columns and without a shuffle of their texts.
 
-    The references take a pass of their own, which counts only what they need.
+    The references take a pass of their own, which counts only what they need. The judged rows are stored
+    before they are filtered: Spark would push the filter below the counts and compute them for each element.
     """
     refs = stored(references(counted(docs)))
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
-    return verdicts(counted(whole, "row"), refs).filter("kept").select("doc.*")
+    judged = stored(verdicts(counted(whole, "row"), refs).select("doc", "kept"))
+    return judged.filter("kept").select("doc.*")
