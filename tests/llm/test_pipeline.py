@@ -1,4 +1,5 @@
 import base64
+import random
 import re
 
 import corpus_pipeline as pipeline
@@ -48,8 +49,8 @@ def test_stages_against_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    text = "It is a line of words that says the same as all of them. " * 3
-    text += " ".join(f"the word {i} of and to in is" for i in range(20))
+    rng = random.Random(8)
+    text = ". ".join(" ".join("".join(rng.choices("aeinorst", k=rng.randint(2, 8))) for _ in range(12)) for _ in range(12))
     rows = [(1, text, "en", "s", 5, 1), (1, text, "en", "s", 5, 1), (2, text, "en", None, 5, 1), (None, None, None, None, None, 1), (3, "", "en", "s", 0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int")
     stages = by_stage(spark, docs)
