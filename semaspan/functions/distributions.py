@@ -1,7 +1,9 @@
 """Tail probabilities and quantiles of Student's t and the normal distribution.
 
-With t = sqrt(df) * tan(angle), the area under the t density becomes an integral of
-cos(angle) ** (df - 1), taken here by Simpson's rule. No gamma function is needed, df may be real.
+Tails are the density at their edge times the integral of how it falls from there. That integral runs to
+infinity and is taken on a scale of its own, by the double-exponential rule, so it holds for a few degrees of
+freedom, whose tails are long, as for 1e12, and stays relative however small the tail is. Near the middle the
+area from 0 is taken by Simpson's rule. Degrees of freedom may be real.
 """
 
 from __future__ import annotations
@@ -11,33 +13,61 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEPS = 2000  # Simpson intervals
-NEWTON_STEPS = 12
+STEPS = 200  # Simpson intervals between 0 and MIDDLE
+MIDDLE = 1.0
+NODES, WIDTH = 120, 0.035  # double-exponential points on either side, and their distance
+NEWTON_STEPS = 40
+SHIFT = 24  # the ratio of gamma functions is taken this far up, where its series is exact
 
 
-def _simpson(low: Column, high: Column, f) -> Column:
-    """Integral of f between two columns."""
-    width = (high - low) / F.lit(float(STEPS))
+def _central(reach: Column, f) -> Column:
+    """Integral of f from 0 to a column of at most MIDDLE."""
+    width = reach / F.lit(float(STEPS))
 
     def term(k: Column) -> Column:
         weight = F.when((k == 0) | (k == STEPS), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
-        return weight * f(low + k * width)
+        return weight * f(k * width)
 
-    points = F.sequence(F.lit(0), F.lit(STEPS))
-    return F.aggregate(points, F.lit(0.0), lambda total, k: total + term(k)) * width / F.lit(3.0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda total, k: total + term(k)) * width / 3.0
 
 
-def _cos_power(df: Column):
-    # cos(pi/2) is a tiny positive number; abs() keeps pow() real should it round below zero
-    return lambda angle: F.pow(F.abs(F.cos(angle)), df - 1)
+def _falling(excess) -> Column:
+    """Integral over w > 0 of exp(-excess(w)), where excess starts like w."""
+
+    def term(k: Column) -> Column:
+        at = (k - NODES) * F.lit(WIDTH)
+        w = F.exp(F.lit(math.pi / 2) * F.sinh(at))
+        return F.exp(-excess(w)) * w * F.lit(math.pi / 2) * F.cosh(at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * NODES)), F.lit(0.0), lambda total, k: total + term(k)) * F.lit(WIDTH)
+
+
+def _peak(df: Column) -> Column:
+    """The t density at 0: gamma((df + 1) / 2) / gamma(df / 2) / sqrt(pi * df)."""
+    a = df / 2
+    up = a + SHIFT
+    # gamma(a + 1/2) / gamma(a) by its asymptotic series at `up`, brought down by the recurrence
+    series = _polynomial([1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304], 1 / up)
+    down = F.aggregate(
+        F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(1.0), lambda total, k: total * ((a + k) / (a + k + 0.5))
+    )
+    return F.sqrt(up) * series * down / F.sqrt(df * math.pi)
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) for `df` >= 1 degrees of freedom."""
-    quarter = F.lit(math.pi / 2)
-    angle = F.atan(F.abs(t) / F.sqrt(df))
-    share = _simpson(angle, quarter, _cos_power(df)) / _simpson(F.lit(0.0), quarter, _cos_power(df))
-    return F.least(share, F.lit(1.0))
+    x = F.abs(t)
+    half = (df + 1) / 2
+    centre = 1 - 2 * _peak(df) * _central(F.least(x, F.lit(MIDDLE)), lambda y: F.exp(-half * F.log1p(y * y / df)))
+    edge = F.greatest(x, F.lit(MIDDLE))
+    slope = 2 * half * edge / (df + edge * edge)
+
+    def excess(w: Column) -> Column:
+        y = w / slope
+        return half * F.log1p(y * (2 * edge + y) / (df + edge * edge))
+
+    tail = 2 * _peak(df) * F.exp(-half * F.log1p(edge * edge / df)) / slope * _falling(excess)
+    return F.when(x <= MIDDLE, centre).otherwise(tail)
 
 
 def t_upper(t: Column, df: Column) -> Column:
@@ -47,23 +77,29 @@ def t_upper(t: Column, df: Column) -> Column:
 
 
 def t_quantile(p: float, df: Column) -> Column:
-    """The value that T stays below with probability `p` > 0.5, by Newton steps on the angle."""
-    whole = _simpson(F.lit(0.0), F.lit(math.pi / 2), _cos_power(df))
-    goal = whole * F.lit(2 * p - 1)  # area between angle 0 and the wanted angle
+    """The value that T stays below with probability `p` > 0.5, by Newton steps.
+
+    They start at the normal quantile. The distribution is concave on the right of 0 and its tails are longer
+    than the normal ones, so the steps come from below and never overshoot.
+    """
+    wanted = 2 * (1 - p)
+    half = (df + 1) / 2
 
-    def step(angle: Column, _: Column) -> Column:
-        # the area is concave in the angle, so steps from the left never overshoot
-        return angle + (goal - _simpson(F.lit(0.0), angle, _cos_power(df))) / _cos_power(df)(angle)
+    def step(x: Column, _: Column) -> Column:
+        density = _peak(df) * F.exp(-half * F.log1p(x * x / df))
+        return x + (t_two_sided(x, df) - wanted) / (2 * density)
 
-    angle = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), goal, step)
-    return F.sqrt(df) * F.tan(angle)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), normal_quantile(F.lit(p)), step)
 
 
 def normal_upper(z: Column) -> Column:
     """P(Z >= z) of the standard normal distribution."""
-    reach = F.least(F.abs(z), F.lit(12.0))
-    inside = _simpson(F.lit(0.0), reach, lambda x: F.exp(-x * x / 2)) / F.lit(math.sqrt(2 * math.pi))
-    tail = F.greatest(F.lit(0.5) - inside, F.lit(0.0))
+    x = F.abs(z)
+    peak = F.lit(1 / math.sqrt(2 * math.pi))
+    centre = 0.5 - peak * _central(F.least(x, F.lit(MIDDLE)), lambda y: F.exp(-y * y / 2))
+    edge = F.greatest(x, F.lit(MIDDLE))
+    far = peak * F.exp(-edge * edge / 2) / edge * _falling(lambda w: w + w * w / (2 * edge * edge))
+    tail = F.when(x <= MIDDLE, centre).otherwise(far)
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 

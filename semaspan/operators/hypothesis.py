@@ -67,7 +67,7 @@ def _brunner_munzel_columns() -> dict[str, Column]:
 
 def _side_counts(scores: DataFrame, pair: str, kind: str, score: str) -> DataFrame:
     # adding 0.0 makes a negative zero equal to zero
-    values = scores.select(pair, kind, (F.col(score) + 0.0).alias("_value"))
+    values = scores.filter(F.col(score).isNotNull()).select(pair, kind, (F.col(score) + 0.0).alias("_value"))
     return values.groupBy(pair, "_value").agg(
         F.count_if(F.col(kind) == "FVC").alias("_x"), F.count_if(F.col(kind) == "LVC").alias("_y")
     )
@@ -79,7 +79,8 @@ def brunner_munzel(scores: DataFrame, pair: str = "pair", kind: str = "kind", sc
 
     (pair, statistic, df, p_greater, p_two_sided, relative_effect, ci_lower, ci_upper, fvc_n, lvc_n).
     p_greater asks whether LVC scores tend to be greater. Sides that do not overlap have no variance:
-    their statistic and p are null and the relative effect is 0 or 1. So have sides below two rows.
+    their statistic and p are null and the relative effect is 0 or 1. So have sides below two rows. Null scores
+    take no part.
     """
     sums = _rank_statistics(_side_counts(scores, pair, kind, score), [pair], "_value")
     enough = (F.col("nx") >= 2) & (F.col("ny") >= 2)
@@ -109,6 +110,7 @@ def brunner_munzel_permutation(scores: DataFrame, n_perm: int, seed: int = 1, pa
     A histogram of the draws finds the cut of each permutation, so no draw is sorted except near the
     cuts, and a row finds its own labels. Labels are counted per distinct value before the shuffle.
     """
+    scores = scores.filter(F.col(score).isNotNull())
     values = scores.select(pair, (F.col(score) + 0.0).alias("_value"), F.col(row).alias("_row"))
     sums = _rank_statistics(_side_counts(scores, pair, kind, score), [pair], "_value")
     asked = settle(sums.withColumns(_brunner_munzel_columns()).select(
@@ -211,7 +213,8 @@ def benjamini_hochberg(tests: DataFrame, families: Sequence[str] = (), p: str =
     raw = seen.withColumn("_raw", F.col(p) * F.col("_tests") / rank)
     lowest = running(raw, keys, {"_low": ("min", "_raw")})
     adjusted = lowest.select(*keys, p, F.least(F.lit(1.0), F.col("_low")).alias("p_bh"))
-    return named.join(adjusted, [*keys, p], "left").select(*wanted, "p_bh")
+    # many tests may share a p-value, or have none
+    return lookup_join(named, adjusted, [*keys, p], "left", salts=8).select(*wanted, "p_bh")
 
 
 def paired_t(pairs: DataFrame, groups: Sequence[str] = (), x: str = "lvc", y: str = "fvc", confidence: float = 0.95) -> DataFrame:
@@ -255,7 +258,7 @@ _SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 _LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 _LARGE_SD = [-0.4803, -0.082676, 0.0030302]
 _SMALL_BOUND = [-2.273, 0.459]
-LARGEST_SHAPIRO_SAMPLE = 5000  # the approximation of the p-value is not calibrated beyond
+LARGEST_CALIBRATED = 5000  # the approximation of the p-value was fitted to samples up to this size
 
 
 def _poly(coefficients: list[float], x: Column) -> Column:
@@ -266,17 +269,19 @@ def _poly(coefficients: list[float], x: Column) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """(groups, n, w, p_value): normality of the values of each group, by Royston's approximation.
+    """(groups, n, w, p_value, calibrated): normality of the values of each group, by Royston's approximation.
 
-    W compares the ordered values with weights from normal order scores. W is null below three rows
-    or without spread; p is null beyond 5000 rows as well.
+    W compares the ordered values with weights from normal order scores. W and p are null below three rows
+    or without spread; `calibrated` says whether the approximation of p was fitted to samples of that size.
     """
     keys = list(groups)
     wanted = list(groups)
     named = df.filter(F.col(value).isNotNull())
     if not keys:
         keys, named = ["_sample"], named.withColumn("_sample", F.lit(0))
-    rows = ordered(named.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one")), [*keys, "_v"])
+    # equal values are parted by a row number, so that they can lie in several slices
+    values = named.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one"), F.monotonically_increasing_id().alias("_tie"))
+    rows = ordered(values, [*keys, "_v", "_tie"])
     placed = running(rows, keys, {"_i": ("sum", "_one")})
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("_mean"))
     scored = lookup_join(placed, sizes, keys, salts=8).withColumn(
@@ -324,6 +329,7 @@ def shapiro_wilk(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     three = 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75)))
     p = (
         F.when(F.col("n") == 3, F.greatest(three, F.lit(0.0)))
-        .when(F.col("n") <= LARGEST_SHAPIRO_SAMPLE, normal_upper(z))
+        .otherwise(normal_upper(z))
     )
-    return result.select(*wanted, "n", "w", F.when(F.col("w").isNotNull(), p).alias("p_value"))
+    calibrated = F.col("n") <= LARGEST_CALIBRATED
+    return result.select(*wanted, "n", "w", F.when(F.col("w").isNotNull(), p).alias("p_value"), calibrated.alias("calibrated"))

@@ -127,7 +127,7 @@ def sentence_vectors(sentences: DataFrame, cells: DataFrame, words: DataFrame, k
     flagged = lookup_join(counted, known, "lemma_pos", "left", max_rows=max_words, salts=16)
     fine = F.bool_and(F.col("_known").isNotNull() | F.col("lemma_pos").isNull()).over(W.partitionBy(*keys))
     kept = flagged.withColumn("_fine", fine).filter("_fine").select(*keys, "lemma_pos", "_times")
-    spread = lookup_join(kept, cells, "lemma_pos", "left")
+    spread = lookup_join(kept, cells, "lemma_pos", "left", salts=8)  # frequent words are in most sentences
     sums = spread.groupBy(*keys, "basis_index").agg(F.sum(F.col(value) * F.col("_times")).alias(value))
     # a null dimension only says something when the sentence has no other
     dims = F.count("basis_index").over(W.partitionBy(*keys))

@@ -49,12 +49,12 @@ def length_summary(lengths: DataFrame, construction: str = "construction", kind:
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(variable, n, min, q1, median, mean, q3, max) of numeric columns."""
+    """(variable, n, min, q1, median, mean, q3, max) of numeric columns; one without values has n = 0 and nulls."""
     named = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.explode(named).alias("_c")).select("_c.*")
     spread = long.groupBy("variable").agg(F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"))
-    return group_quantiles(long, ["variable"], "x", QUARTILES).join(spread, "variable").select(
-        "variable", "n", "min", "q1", "median", "mean", "q3", "max"
+    return spread.join(group_quantiles(long, ["variable"], "x", QUARTILES), "variable", "left").select(
+        "variable", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "min", "q1", "median", "mean", "q3", "max"
     )
 
 
@@ -78,11 +78,11 @@ def outliers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 
 def remove_outliers(df: DataFrame, groups: Sequence[str], value: str, mode: str) -> DataFrame:
-    """mode "none", "extreme" or "all". Flags depend on the value only, so equal values go together."""
+    """mode "none", "extreme" or "all". Flags depend on the value only, so equal values go together; nulls stay."""
     if mode == "none":
         return df
     flag = {"extreme": "is_extreme", "all": "is_outlier"}[mode]
-    return flag_outliers(df, groups, value).filter(~F.col(flag)).select(df.columns)
+    return flag_outliers(df, groups, value).filter(~F.coalesce(F.col(flag), F.lit(False))).select(df.columns)
 
 
 def pair_notes(scores: DataFrame, mode: str, pair: str = "pair", kind: str = "kind", score: str = "score") -> DataFrame:
@@ -93,6 +93,7 @@ def pair_notes(scores: DataFrame, mode: str, pair: str = "pair", kind: str = "ki
     """
     flagged = flag_outliers(scores, [pair, kind], score)
     removed = {"none": F.lit(False), "extreme": F.col("is_extreme"), "all": F.col("is_outlier")}[mode]
+    removed = F.coalesce(removed, F.lit(False))  # a null score is no outlier
     sides = flagged.groupBy(pair).agg(
         F.count_if((F.col(kind) == "FVC") & ~removed).alias("fvc_n"),
         F.count_if((F.col(kind) == "LVC") & ~removed).alias("lvc_n"),

@@ -65,18 +65,20 @@ def pair_scores(ratings: DataFrame, cells: DataFrame, words: DataFrame, value: s
 def spearman(scores: DataFrame, measures: Sequence[str] = MEASURES, human: str = "human") -> DataFrame:
     """(measure, n, rho, p_value) of each measure against the human ratings.
 
-    Ties share their average rank. Ranks are joined back by value; rho is the correlation of the two
+    Pairs that lack a rating or a score take no part. Ties share their average rank. Ranks are joined back by value; rho is the correlation of the two
     rank columns, its two-sided p comes from Student's t with n - 2 degrees of freedom.
     """
     named = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_score")) for m in measures])
     long = scores.select(F.col(human).cast("double").alias("_human"), F.explode(named).alias("_m"))
     # adding 0.0 makes a negative zero equal to zero in joins and groups
     long = long.select((F.col("_human") + 0.0).alias("_human"), "_m.measure", (F.col("_m._score") + 0.0).alias("_score"))
+    long = long.filter(F.col("_human").isNotNull() & F.col("_score").isNotNull())
     long = settle(long)  # read for two rankings and for the join of the ranks
     model = mid_ranks(long, ["measure"], "_score", "_model_rank").drop("n")
     people = mid_ranks(long, ["measure"], "_human", "_human_rank").drop("n")
-    ranked = lookup_join(long, model, ["measure", "_score"])
-    ranked = lookup_join(ranked, people, ["measure", "_human"])
+    # ratings have few different values, and many scores are zero
+    ranked = lookup_join(long, model, ["measure", "_score"], salts=8)
+    ranked = lookup_join(ranked, people, ["measure", "_human"], salts=8)
     rho = ranked.groupBy("measure").agg(
         F.count("*").alias("n"), F.corr("_model_rank", "_human_rank").alias("rho")
     )

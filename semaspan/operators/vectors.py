@@ -52,18 +52,20 @@ def pair_measures(
     right: str = "word2",
     floor: float = COSINE_FLOOR,
 ) -> DataFrame:
-    """dot, cosine and euclidean for each pair of words, in one pass over the pairs' cells.
+    """dot, cosine and euclidean for each pair of words, in one pass over the different pairs' cells.
 
+    Rows that list the same two words get the same numbers, whatever their key.
     The two vectors of a pair are laid over each other by summing their cells per dimension, so a
     cell that only one word has meets a zero. Words without cells count as zero vectors.
     """
-    sides = pairs.select(*key, F.explode(F.array(
+    words = [left, right]
+    sides = pairs.select(*words).distinct().select(*words, F.explode(F.array(
         F.struct(F.col(left).alias("lemma_pos"), F.lit(True).alias("_first")),
         F.struct(F.col(right).alias("lemma_pos"), F.lit(False).alias("_first")),
-    )).alias("_side")).select(*key, "_side.*")
+    )).alias("_side")).select(*words, "_side.*")
     laid = (
-        lookup_join(sides, cells, "lemma_pos")
-        .groupBy(*key, "basis_index")
+        lookup_join(sides, cells, "lemma_pos", salts=8)
+        .groupBy(*words, "basis_index")
         .agg(
             F.sum(F.when(F.col("_first"), F.col(value))).alias("_a"),
             F.sum(F.when(~F.col("_first"), F.col(value))).alias("_b"),
@@ -71,11 +73,11 @@ def pair_measures(
         .na.fill(0.0, ["_a", "_b"])
     )
     a, b = F.col("_a"), F.col("_b")
-    sums = laid.groupBy(*key).agg(
+    sums = laid.groupBy(*words).agg(
         F.sum(a * b).alias("_dot"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"),
         F.sum((a - b) * (a - b)).alias("_dd"),
     )
-    full = pairs.join(sums, list(key), "left").na.fill(0.0, ["_dot", "_aa", "_bb", "_dd"])
+    full = lookup_join(pairs, sums, words, "left", salts=8).na.fill(0.0, ["_dot", "_aa", "_bb", "_dd"])
     return full.select(
         *pairs.columns,
         F.col("_dot").alias("dot"),

@@ -22,17 +22,28 @@ def lookup_join(
     """Join `stream` with `table`, choosing the plan from what is known about the table's size.
 
     max_rows: an upper bound that holds by construction (a limit, a basis dimension). Up to
-        BROADCAST_ROWS the table is broadcast and the stream does not move.
+        BROADCAST_ROWS the table is broadcast and the stream does not move. The bound is checked while
+        the table is read: one row more and the query fails instead of sending a large table.
     salts: without such a bound both sides are shuffled. Give salts > 1 when few keys can hold a
-        large share of the stream: its rows are spread over `salts` sub-keys by a hash of their
-        other columns, and the table is repeated once for each sub-key.
+        large share of the stream: its rows are spread over sub-keys by a hash of their other columns,
+        and the table is repeated once for each sub-key. There are at least `salts` of them, more where
+        the session has many shuffle partitions.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        return stream.join(F.broadcast(table), keys, how)
+        return stream.join(F.broadcast(at_most(table, max_rows)), keys, how)
     if salts <= 1:
         return stream.join(table, keys, how)
+    salts = max(salts, int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     spread = [c for c in stream.columns if c not in keys] or keys
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def at_most(table: DataFrame, max_rows: int) -> DataFrame:
+    """`table`, failing as it is read if it holds more rows than promised."""
+    # in the one partition that the bounded rows fit, these numbers count them
+    row = F.monotonically_increasing_id()
+    broken = F.raise_error(F.lit(f"a table of at most {max_rows} rows was promised, and it holds more"))
+    return table.limit(max_rows + 1).coalesce(1).filter(F.when(row < max_rows, True).otherwise(broken.cast("boolean")))

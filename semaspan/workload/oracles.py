@@ -541,7 +541,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT id, fvc - lvc AS d FROM paired)
         CROSS JOIN (SELECT quantile_cont(fvc - lvc, 0.25) AS q1, quantile_cont(fvc - lvc, 0.75) AS q3 FROM paired)"""),
     "shapiro_wilk": _sql(("paired",), f"""
-        SELECT n, {_r('w')}, {_r(f"CASE WHEN z >= 0 THEN 0.5 - half ELSE 0.5 + half END", 'p_value')}
+        SELECT n, {_r('w')}, {_r(f"CASE WHEN z >= 0 THEN 0.5 - half ELSE 0.5 + half END", 'p_value')}, n <= 5000 AS calibrated
         FROM (SELECT *, {_simpson_sql('0', 'least(abs(z), 12)', lambda at: f"exp(-{at} * {at} / 2)")} / sqrt(2 * pi()) AS half FROM z)""", _SHAPIRO),
     "paired_t": _interval_sql("paired_stats", "df", f"""n, {_r('m', 'mean_difference')}, {_r('t')}, {_r('df')},
         {_r(_t_two_sided_sql('t', 'df'), 'p_two_sided')}, {_r(_t_upper_sql('t', _t_two_sided_sql('t', 'df')), 'p_greater')},

@@ -617,7 +617,7 @@ def paired_diff(spark, sf):
 @query
 def shapiro_wilk(spark, sf):
     differences = views.paired(spark, sf).select((F.col("fvc") - F.col("lvc")).alias("difference"))
-    return hyp.shapiro_wilk(differences, [], "difference").select("n", r6("w"), r6("p_value"))
+    return hyp.shapiro_wilk(differences, [], "difference").select("n", r6("w"), r6("p_value"), "calibrated")
 
 
 @query

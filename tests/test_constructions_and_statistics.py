@@ -1,6 +1,7 @@
 """Constructions, groups, summaries and tests against hand-made input and published values."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -224,3 +225,53 @@ def test_distributions(spark):
     ).first()
     want = (2.2621572, 0.05, 0.8183913, 12.7062047, 0.025, 1.9599640, -7.0344838, -0.2533471, 1.9659123)
     assert tuple(row) == pytest.approx(want, rel=1e-6)
+
+
+# Two-sided p of t at df degrees of freedom.
+KNOWN_T = [
+    (1.0, 1.0, 0.5), (12.706204736432095, 1.0, 0.05), (1e6, 1.0, 6.366197723673689e-07), (2.2621571627409915, 9.0, 0.05), (0.0, 9.0, 1.0),
+]
+
+
+def large_df(t, df):
+    """Two-sided p from the normal limit with its correction terms in 1 / df (Hill 1970)."""
+    a = df - 0.5
+    b = 48 * a * a
+    z2 = a * math.log1p(t * t / df)
+    u = math.sqrt(z2)
+    z = u * (1 + (((-0.4 * z2 - 3.3) * z2 - 24) * z2 - 85.5) / (0.8 * z2 * z2 + 100 + b) / b + (z2 + 3) / b)
+    return math.erfc(z / math.sqrt(2))
+
+
+def test_t_tails_at_any_df(spark):
+    cases = [*KNOWN_T, *[(t, df, large_df(t, df)) for df in (1e4, 1e6, 1e8, 1e12) for t in (0.3, 0.999, 1.0, 1.001, 1.96, 5.0, 20.0)]]
+    rows = spark.createDataFrame([(t, df) for t, df, _ in cases], "t double, df double").select("t", "df", t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    got = {(r.t, r.df): r.p for r in rows}
+    for t, df, p in cases:
+        assert got[t, df] == pytest.approx(p, rel=1e-9), (t, df)
+    reach = spark.range(1).select(*[t_quantile(0.975, F.lit(df)) for df in (1e6, 1e7, 1e12)]).first()
+    assert tuple(reach) == pytest.approx((1.959966357, 1.959964222, 1.959963985), abs=2e-9)
+    z = spark.range(1).select(*[normal_upper(F.lit(x)) for x in (0.5, 1.0, 8.5, 20.0, -8.5, 38.0)]).first()
+    assert tuple(z) == pytest.approx([math.erfc(x / math.sqrt(2)) / 2 for x in (0.5, 1.0, 8.5, 20.0, -8.5, 38.0)], rel=1e-9)
+
+
+def test_shapiro_wilk_beyond_its_calibration_and_with_ties(spark, many_slices):
+    values = [float(i % 7 if i % 10 < 3 else 3) for i in range(6000)]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in values[:5000]], "g string, v double")
+    got = {r.g: r for r in hyp.shapiro_wilk(frame, ["g"], "v").collect()}
+    assert (got["a"].calibrated, got["b"].calibrated) == (False, True)
+    assert 0 <= got["a"].p_value < 1e-10 and 0 <= got["b"].p_value < 1e-10
+
+
+def test_null_scores_take_no_part(spark):
+    rows = [("p", k, i, float(v)) for i, (k, v) in enumerate(zip(["FVC", "LVC"] * 8, [1, 2, 3, 4, 2, 6, 5, 3, 4, 8, 1, 2, 6, 9, 7, 8]))]
+    nulls = [("p", k, 100 + i, None) for i, k in enumerate(["LVC"] * 4)]
+    schema = "pair string, kind string, row long, score double"
+    plain, more = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + nulls, schema)
+    assert hyp.brunner_munzel(plain).collect() == hyp.brunner_munzel(more).collect()
+    assert hyp.brunner_munzel_permutation(plain, 20).collect() == hyp.brunner_munzel_permutation(more, 20).collect()
+    kept = summ.remove_outliers(more, ["pair"], "score", "all")
+    assert kept.count() == 20
+    assert summ.pair_notes(more, "all").first().lvc_n == summ.pair_notes(more, "none").first().lvc_n == 12
+    empty = summ.column_summary(more.withColumn("none", F.lit(None).cast("double")), ["score", "none"]).filter("variable = 'none'").first()
+    assert empty.n == 0 and empty["median"] is None
