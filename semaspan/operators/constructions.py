@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semaspan.functions.tokens import group_head, group_tail, lemma_of
+from semaspan.functions.tokens import anonymise_numerals, group_head, group_tail, has_digit, lemma_of
+from semaspan.operators.sentences import all_known
 from semaspan.plans.joins import lookup_join
 
 
@@ -119,6 +120,66 @@ def strict_pairs(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("fvc_pos", "lv_pos", "nominal_pos")
 
 
+def sentence_hits(parsed: DataFrame, pairs: DataFrame, sentence: Sequence[str] = ("file", "line_no"), tokens: str = "ws",
+                  max_pairs: int | None = None) -> DataFrame:
+    """(sentence, tokens, construction, kind): each occurrence of both kinds with its sentence, in one pass.
+
+    parsed: (sentence, tokens, annotated), where `annotated` is the array of (id, lemma, upos, deprel, head) of
+    a sentence. Heads are found inside the row, so no token is joined with another.
+    """
+
+    def lvc(noun):
+        head = F.get(F.filter("annotated", lambda t: t["id"] == noun["head"]), F.lit(0))["lemma"]
+        return F.struct(F.concat(head, F.lit("_VERB_"), noun["lemma"], F.lit("_SUBST")).alias("construction"), F.lit("LVC").alias("kind"))
+
+    def fvc(verb):
+        return F.struct(F.concat(verb["lemma"], F.lit("_VERB")).alias("construction"), F.lit("FVC").alias("kind"))
+
+    nouns = F.filter("annotated", lambda t: (t["upos"] == "NOUN") & (t["deprel"] == "obj"))
+    verbs = F.filter("annotated", lambda t: t["upos"] == "VERB")
+    found = parsed.select(*sentence, tokens, F.explode(F.concat(F.transform(nouns, lvc), F.transform(verbs, fvc))).alias("_hit"))
+    listed = pairs.select(F.concat_ws("_", "lv_pos", "nominal_pos").alias("construction"), F.lit("LVC").alias("kind")).unionByName(
+        pairs.select(F.col("fvc_pos").alias("construction"), F.lit("FVC").alias("kind"))
+    ).distinct()
+    bound = None if max_pairs is None else 2 * max_pairs
+    return lookup_join(found.select(*sentence, tokens, "_hit.*"), listed, ["construction", "kind"], "left_semi", bound, 8)
+
+
+def extract_sentences(parsed: DataFrame, pairs: DataFrame, words: DataFrame, sentence: Sequence[str] = ("file", "line_no"),
+                      file: str = "file", tokens: str = "ws", max_pairs: int | None = None, max_words: int | None = None) -> DataFrame:
+    """(construction, kind, sentence keys, sentence): the sentences of each group as they are used later.
+
+    Numerals of a file are marked in its sentences, and a sentence stays if all its tokens are in `words` or
+    marks. The corpus is read for the occurrences and for the numerals; only sentences with an occurrence move.
+    """
+    hits = sentence_hits(parsed, pairs, sentence, tokens, max_pairs)
+    numerals = parsed.select(file, F.explode(F.filter("annotated", lambda t: t["upos"] == "NUM")).alias("_t"))
+    # a file's number words; what has a digit is marked without a list
+    numerals = numerals.filter(~has_digit(F.col("_t.lemma"))).groupBy(file).agg(F.collect_set("_t.lemma").alias("_numerals"))
+    marked = lookup_join(hits, numerals, file, "left", salts=8)
+    marked = marked.withColumn(tokens, anonymise_numerals(F.col(tokens), F.col("_numerals"))).drop("_numerals")
+    known = all_known(marked, words, list(sentence), tokens, max_words)
+    return marked.join(known, list(sentence), "left_semi").select(
+        "construction", "kind", *sentence, F.array_join(tokens, " ").alias("sentence")
+    )
+
+
+def score_table(corresponding: DataFrame, scores: DataFrame, score: str = "score", max_groups: int | None = None) -> DataFrame:
+    """(pair, kind, other columns of `scores`): what the tests on pairs compare.
+
+    corresponding: (lv_pos, nominal_pos, fvc_pos, fvc_observed); scores: (construction, kind, ..., score). A pair
+    is named by its construction; the scores of one plain verb serve all pairs that correspond to it.
+    """
+    seen = corresponding.filter("fvc_observed").withColumn("pair", F.concat_ws("_", "lv_pos", "nominal_pos"))
+    roles = seen.select("pair", F.explode(F.array(
+        F.struct(F.col("pair").alias("construction"), F.lit("LVC").alias("kind")),
+        F.struct(F.col("fvc_pos").alias("construction"), F.lit("FVC").alias("kind")),
+    )).alias("_r")).select("pair", "_r.*").distinct()
+    bound = None if max_groups is None else 2 * max_groups
+    rest = [c for c in scores.columns if c not in ("construction", "kind")]
+    return lookup_join(scores.filter(F.col(score).isNotNull()), roles, ["construction", "kind"], "inner", bound, 8).select("pair", "kind", *rest)
+
+
 def clean_groups(groups: DataFrame, sentence: str = "sentence", mode: str = "token") -> DataFrame:
     """Distinct (construction, sentence) whose sentence holds the words of the construction.
 

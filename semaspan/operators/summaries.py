@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semaspan.functions.tokens import sentence_length
 from semaspan.plans.joins import lookup_join
-from semaspan.plans.ordered import group_quantiles
+from semaspan.plans.ordered import global_rank, group_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -107,6 +107,11 @@ def pair_notes(scores: DataFrame, mode: str, pair: str = "pair", kind: str = "ki
     return sides.select(pair, F.when(few, "insufficient observations").otherwise(note).alias("note"), "fvc_n", "lvc_n")
 
 
+def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Number the rows from 0 in the given order, so that reshaped rows can be told apart."""
+    return global_rank(df, order, name, start=0)
+
+
 def wide_to_long(df: DataFrame, key: str, columns: Sequence[str], name: str = "construction", value: str = "projection") -> DataFrame:
     """One row per (key, column)."""
     return df.unpivot([key], list(columns), name, value)

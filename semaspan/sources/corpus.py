@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from semaspan.session import stored
+
 
 def read_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value): one sentence per line."""
     return spark.read.text(path, lineSep="\n")
 
 
+# One short row a split; so many are some tens of MB, and the splits of a hundred TB.
+BROADCAST_SPLITS = 1_000_000
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Number the rows of a file scan from 0 inside each file: adds file and line_no.
 
     Every split of a file is read front to back by one task, so a row's place in its split is its
     increasing id less the smallest one of that split. Only one row per split is summed up over the
-    file; the lines themselves are not sorted. Number before any row is filtered.
+    file and sent to all tasks; the lines themselves neither move nor are sorted. Number before any row is
+    filtered.
     """
     placed = rows.select(
         "*",
@@ -26,7 +33,9 @@ def numbered(rows: DataFrame) -> DataFrame:
     ).withColumn("_id", F.monotonically_increasing_id())
     splits = placed.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = splits.select("file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = stored(splits.select("file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
+    if starts.count() <= BROADCAST_SPLITS:  # counted; so the lines stay where they are read
+        starts = F.broadcast(starts)
     return placed.join(starts, ["file", "_block"]).select(
         *rows.columns, "file", (F.col("_start") + F.col("_id") - F.col("_first")).alias("line_no")
     )

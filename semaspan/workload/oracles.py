@@ -166,6 +166,10 @@ _NAMED: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT lemma_pos, coalesce(p, 0) AS projection FROM targets LEFT JOIN (
             SELECT lemma_pos, sum(ppmi * weight) / (SELECT sqrt(sum(weight * weight)) FROM scale) AS p
             FROM ppmi JOIN scale USING (basis_index) GROUP BY lemma_pos) USING (lemma_pos)"""),
+    "group_scores": (("groups", "tokens", "projected"), """
+        SELECT * EXCLUDE (fine) FROM (SELECT DISTINCT construction, kind, doc_id, line_no FROM groups) JOIN (
+            SELECT doc_id, line_no, bool_and(projection IS NOT NULL) AS fine, -sum(projection) AS x
+            FROM tokens LEFT JOIN projected USING (lemma_pos) GROUP BY doc_id, line_no) USING (doc_id, line_no) WHERE fine"""),
     "found_pairs": (("ratings", "targets"), """
         SELECT * FROM ratings WHERE word1 IN (SELECT lemma_pos FROM targets) AND word2 IN (SELECT lemma_pos FROM targets)"""),
     "measured": (("found_pairs", "ppmi"), """
@@ -485,6 +489,19 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT fvc_pos, lv_pos, nominal_pos FROM pairs
         WHERE EXISTS (SELECT 1 FROM seen WHERE kind = 'LVC' AND verb = lv_pos AND nominal = nominal_pos)
           AND fvc_pos IN (SELECT verb FROM seen WHERE kind = 'FVC')"""),
+    "extract_sentences": _sql(("groups", "tokens", "lexicon", "targets"), f"""
+        SELECT construction, kind, doc_id, line_no, sentence FROM groups JOIN (
+            SELECT doc_id, line_no, string_agg(CASE WHEN {_IS_NUMBER} THEN '--anonnumeral_' || tag ELSE lemma_pos END, ' ' ORDER BY pos) AS sentence,
+                   bool_and({_IS_NUMBER} OR lemma_pos IN (SELECT lemma_pos FROM targets)) AS fine
+            FROM tokens GROUP BY doc_id, line_no) USING (doc_id, line_no) WHERE fine"""),
+    "group_projection": _sql(("group_scores",), f"SELECT construction, kind, doc_id, line_no, {_r('x', 'projection')} FROM group_scores"),
+    "score_table": _sql(("group_scores", "seen", "pairs"), f"""
+        SELECT * FROM (WITH roles AS (
+            SELECT DISTINCT lv_pos || '_' || nominal_pos AS pair, fvc_pos FROM pairs
+            JOIN seen s ON s.kind = 'LVC' AND s.verb = lv_pos AND s.nominal = nominal_pos
+            WHERE fvc_pos IN (SELECT verb FROM seen WHERE kind = 'FVC'))
+        SELECT DISTINCT pair, kind, doc_id, line_no, {_r('x', 'projection')} FROM roles JOIN group_scores g
+        ON (g.kind = 'LVC' AND g.construction = pair) OR (g.kind = 'FVC' AND g.construction = fvc_pos))"""),
     "clean_groups": _sql(("grouped",), f"""
         SELECT DISTINCT construction, sentence FROM ({_STRAY}) WHERE
             contains(' ' || sentence || ' ', ' ' || split_part(construction, '_', 1) || '_' || split_part(construction, '_', 2) || ' ')
@@ -534,7 +551,9 @@ ORACLES: dict[str, str] = {
         SELECT pair, family, {_r('p_value')}, {_r('p_bh_all')}, {_r('p_bh')} FROM (
             {_bh('(SELECT * EXCLUDE (n_tests, rk) FROM (' + _bh('tests', 'p_value', "'all'", 'p_bh_all') + '))', 'p_value', 'family', 'p_bh')})"""),
     "wide_to_long": _sql(("paired",), f"""
-        SELECT id, construction, {_r('projection')} FROM (SELECT id, 'fvc' AS construction, fvc AS projection FROM paired UNION ALL SELECT id, 'lvc', lvc FROM paired)"""),
+        SELECT row_id, construction, {_r('projection')} FROM (
+            SELECT row_id, unnest(['fvc', 'lvc']) AS construction, unnest([fvc, lvc]) AS projection
+            FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_id FROM paired))"""),
     "paired_diff": _sql(("paired",), f"""
         SELECT id, {_r('d', 'difference')}, d < q1 - 1.5 * (q3 - q1) OR d > q3 + 1.5 * (q3 - q1) AS is_outlier,
                d < q1 - 3 * (q3 - q1) OR d > q3 + 3 * (q3 - q1) AS is_extreme

@@ -510,6 +510,34 @@ def _with_strays(space: Space) -> DataFrame:
     return space.grouped_sentences.select(F.explode(F.array("construction", stray)).alias("construction"), "sentence")
 
 
+@query
+def extract_sentences(spark, sf):
+    space = Space(spark, sf)
+    return cons.extract_sentences(
+        views.parsed(spark, sf), space.pairs, space.targets, SENTENCE, "doc_id", max_pairs=MAX_PAIRS, max_words=VOCABULARY
+    )
+
+
+def _group_projections(space: Space) -> DataFrame:
+    """(construction, kind, doc_id, line_no, projection) of the different sentences of each group."""
+    keys = ["construction", "kind", *SENTENCE]
+    spelled = space.hits.groupBy(*keys).agg(F.min("ws").alias("ws"))
+    return proj.sentence_projections(spelled, _projections(space, 2), keys, max_words=VOCABULARY)
+
+
+@query
+def group_projection(spark, sf):
+    return _group_projections(Space(spark, sf)).select("construction", "kind", *SENTENCE, r6("projection"))
+
+
+@query
+def score_table(spark, sf):
+    space = Space(spark, sf)
+    matched = cons.corresponding_groups(space.groups, space.pairs)
+    table = cons.score_table(matched, _group_projections(space), "projection", MAX_PAIRS)
+    return table.select("pair", "kind", *SENTENCE, r6("projection"))
+
+
 @query
 def clean_groups(spark, sf):
     return cons.clean_groups(_with_strays(Space(spark, sf)))
@@ -604,8 +632,9 @@ def p_bh(spark, sf):
 
 @query
 def wide_to_long(spark, sf):
-    long = summ.wide_to_long(views.paired(spark, sf), "id", ["fvc", "lvc"])
-    return long.select("id", "construction", r6("projection"))
+    rows = summ.with_row_id(views.paired(spark, sf), ["id"])
+    long = summ.wide_to_long(rows, "row_id", ["fvc", "lvc"])
+    return long.select("row_id", "construction", r6("projection"))
 
 
 @query

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from semaspan.operators.constructions import candidate_groups, object_constructions, plain_verbs
+from semaspan.operators.constructions import object_constructions, plain_verbs, sentence_hits
 from semaspan.operators.cooccurrence import cooccurrences
 from semaspan.operators.vocabulary import select_basis, target_words, token_frequencies
 from semaspan.operators.weighting import ppmi
 from semaspan.plans.scans import spread
-from semaspan.session import settle
+from semaspan.session import settle, stored
 
 FREQ_MIN = 10
 EXCLUDE_FIRST = 10
@@ -112,6 +112,25 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, line_no, ws, annotated): the tokens of `annotated` as one array for each sentence."""
+
+    def token(w: Column, i: Column) -> Column:
+        def verb_at(back: int) -> Column:
+            return F.when(F.get("ws", i - back).endswith("_VERB"), i - back + 1)
+
+        tag = F.get("ws", i)
+        number = w.rlike("^[0-9]") | ((w == "on") & (F.col("line_no") == 0))
+        upos = F.when(number, "NUM").when(tag.endswith("_SUBST"), "NOUN").when(tag.endswith("_VERB"), "VERB").otherwise("X")
+        head = F.when(upos == "NOUN", F.coalesce(verb_at(1), verb_at(2), verb_at(3)))
+        return F.struct(
+            (i + 1).alias("id"), w.alias("lemma"), upos.alias("upos"),
+            F.when(head.isNotNull(), "obj").otherwise("dep").alias("deprel"), F.coalesce(head, F.lit(0)).alias("head"),
+        )
+
+    return sentences(spark, sf).select(*SENTENCE, "ws", F.transform("words", token).alias("annotated"))
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(pair, kind, row, score) from all events."""
     events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
@@ -217,13 +236,17 @@ class Space:
     def verbs(self) -> DataFrame:
         return plain_verbs(annotated(self.spark, self.sf), self.pairs, SENTENCE, MAX_PAIRS)
 
+    @cached_property
+    def hits(self) -> DataFrame:
+        """(doc_id, line_no, ws, construction, kind): all occurrences with their sentences, from one pass, stored."""
+        return stored(sentence_hits(parsed(self.spark, self.sf), self.pairs, SENTENCE, "ws", MAX_PAIRS))
+
     @cached_property
     def groups(self) -> DataFrame:
-        """(doc_id, line_no, construction, kind) of all occurrences, settled like extracted group files."""
-        return settle(candidate_groups(self.objects, self.verbs, SENTENCE))
+        """(doc_id, line_no, construction, kind) of all occurrences."""
+        return self.hits.select(*SENTENCE, "construction", "kind")
 
     @cached_property
     def grouped_sentences(self) -> DataFrame:
         """(construction, kind, doc_id, line_no, sentence)."""
-        text = prepared(self.spark, self.sf).select(*SENTENCE, F.rtrim("value").alias("sentence"))
-        return self.groups.join(text, SENTENCE).select("construction", "kind", *SENTENCE, "sentence")
+        return self.hits.select("construction", "kind", *SENTENCE, F.array_join("ws", " ").alias("sentence"))
