@@ -183,10 +183,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> LineCrf:
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    rows = docs.select("doc_id", "text").filter(lines <= SAMPLE_LINES).join(known, "doc_id")
-    # the ids are chosen before any text moves
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = rows.join(F.broadcast(chosen), "doc_id")
+    # ids are chosen before any text moves, and the few of them are sent to where the texts are
+    short = docs.select("doc_id", (lines <= SAMPLE_LINES).alias("short")).filter("short").select("doc_id").distinct()
+    chosen = known.join(short, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.select("doc_id", "text").filter(lines <= SAMPLE_LINES).join(F.broadcast(chosen), "doc_id")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +195,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> LineCrf:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = sample.select("doc_id", "quality", "text").mapInArrow(shapes, f"doc_id {kind}, quality int, x binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))  # repeated ids count once
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     return fitted([(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), r["quality"]) for r in rows])
 
 
