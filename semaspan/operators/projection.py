@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,33 +161,42 @@ def scale_endpoints(means: DataFrame, scale: DataFrame, max_basis: int | None =
     return project_cells(means, scale, "category", "mean", max_basis)
 
 
+PCA_DIMENSIONS = 4_000  # a covariance matrix of 128 MB
+
+
 def dense_vectors(cells: DataFrame, words: DataFrame, dimension: int, value: str = "ppmi",
                   key: str = "lemma_pos") -> DataFrame:
     """(key, features): arrays of length `dimension` for PCA, zero where a word has no cell."""
-    @F.pandas_udf("array<double>")
-    def fill(places: pd.Series, values: pd.Series) -> pd.Series:
-        def one(at, x):
-            out = np.zeros(dimension)
-            if at is not None and len(at):
-                out[np.asarray(at, dtype=int)] = x
-            return out
-        return pd.Series([one(at, x) for at, x in zip(places, values)])
-
-    pairs = cells.groupBy(key).agg(
-        F.collect_list(F.struct(F.col("basis_index").alias("i"), F.col(value).cast("double").alias("x"))).alias("_pairs")
-    )
+    place = F.struct(F.col("basis_index").cast("int").alias("i"), F.col(value).cast("double").alias("x"))
+    pairs = cells.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("_pairs"))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n)
+
+    def filled(pair: Column, nth: Column) -> Column:
+        before = F.when(nth > 0, F.get("_pairs", nth - 1)["i"]).otherwise(-1)
+        return F.concat(zeros(pair["i"] - before - 1), F.array(pair["x"]))
+
+    last = F.get("_pairs", F.size("_pairs") - 1)["i"]
+    rows = F.concat(F.transform("_pairs", filled), F.array(zeros(F.lit(dimension - 1) - last)))
     joined = words.select(key).join(pairs, key, "left")
-    return joined.select(
-        key, fill(F.transform("_pairs", lambda p: p["i"]), F.transform("_pairs", lambda p: p["x"])).alias("features")
-    )
+    return joined.select(key, F.when(F.col("_pairs").isNull(), zeros(F.lit(dimension))).otherwise(F.flatten(rows)).alias("features"))
+
+
+def with_scale_ends(cells: DataFrame, means: DataFrame, value: str = "ppmi", key: str = "lemma_pos") -> DataFrame:
+    """Cells of words, and those of the two category means under the names scale_end_1 and scale_end_2."""
+    ends = means.select(F.concat(F.lit("scale_end_"), F.col("category").cast("string")).alias(key), "basis_index", F.col("mean").alias(value))
+    return cells.select(key, "basis_index", value).unionByName(ends)
 
 
 def pca_2d(vectors: DataFrame, key: str, features: str = "features") -> DataFrame:
     """(key, pc1, pc2): centred vectors on their first two principal components.
 
-    The sign of a component is free; here its largest loading is positive. Only the two component
-    vectors, of the basis dimension each, reach the driver.
+    The sign of a component is free; here its largest loading is positive. The covariance matrix, of the
+    basis dimension squared, reaches the driver, so vectors are at most PCA_DIMENSIONS long.
     """
+    if (vectors.select(F.max(F.size(features))).first()[0] or 0) > PCA_DIMENSIONS:
+        raise ValueError(f"vectors of more than {PCA_DIMENSIONS} places have too large a covariance matrix")
     raw = vectors.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_raw"))
     centring = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred").fit(raw)
     centred = centring.transform(raw)

@@ -346,6 +346,45 @@ def _interval_sql(needs: str, df: str, columns: str) -> str:
     return _sql((needs,), f"SELECT {columns} FROM quantiled", _t_quantile_ctes(needs, df))
 
 
+def _pca_sql(values: str, dimension: int, key: str, needs: tuple[str, ...] = (), squarings: int = 18) -> str:
+    """First two principal components by squaring the covariance matrix until one direction is left.
+
+    values: SQL of (vec_id, i, x), with a row for each place of each vector.
+    The rows of a symmetric matrix are its columns, so a square is the dot products of its rows.
+    """
+    parts = [f"""
+        long AS MATERIALIZED (
+            SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM ({values})),
+        centred AS MATERIALIZED (SELECT vec_id, list(x ORDER BY i) AS x FROM long GROUP BY vec_id),
+        c1 AS MATERIALIZED (
+            SELECT list(r ORDER BY i) AS m FROM (
+                SELECT i, list(c ORDER BY j) AS r FROM (
+                    SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS c FROM long a JOIN long b USING (vec_id) GROUP BY a.i, b.i)
+                GROUP BY i))"""]
+    for c in (1, 2):
+        trace = f"list_sum(list_transform(range({dimension}), lambda i: m[i + 1][i + 1]))"
+        parts.append(f"s{c}_0 AS MATERIALIZED (SELECT list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) AS m FROM c{c})")
+        for k in range(squarings):
+            parts.append(
+                f"q{c}_{k} AS MATERIALIZED (SELECT list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q))) AS m FROM s{c}_{k}),"
+                f"s{c}_{k + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) AS m FROM q{c}_{k})"
+            )
+        # the longest row of what is left, at length one, its largest loading positive
+        parts.append(f"""
+            r{c} AS MATERIALIZED (SELECT r FROM (SELECT unnest(m) AS r FROM s{c}_{squarings}) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+            l{c} AS MATERIALIZED (
+                SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))
+                    * sign(r[list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r, lambda y: abs(y))))])) AS v FROM r{c})""")
+        if c == 1:
+            parts.append(f"""
+            e1 AS MATERIALIZED (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS size FROM c1, l1),
+            c2 AS MATERIALIZED (
+                SELECT list_transform(range({dimension}), lambda i: list_transform(range({dimension}), lambda j: m[i + 1][j + 1] - size * v[i + 1] * v[j + 1])) AS m
+                FROM e1)""")
+    scores = f"{_r('list_dot_product(x, l1.v)', 'pc1')}, {_r('list_dot_product(x, l2.v)', 'pc2')}"
+    return _sql(needs, ("" if needs else "WITH " + ",".join(parts)) + f" SELECT vec_id AS {key}, {scores} FROM centred, l1, l2", ",".join(parts) if needs else "")
+
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "corpus_scan": _sql(("lines",), "SELECT doc_id, line_no, line FROM lines"),
@@ -464,6 +503,13 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, line_no, bool_and(projection IS NOT NULL) AS fine, -sum(projection) AS x
             FROM tokens LEFT JOIN projected USING (lemma_pos) GROUP BY doc_id, line_no) USING (doc_id, line_no)
         WHERE coalesce(fine, true)"""),
+    "pca_2d": _pca_sql("SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings", 64, "vec_id"),
+    "pca_words": _pca_sql(f"""
+        SELECT vec_id, i, coalesce(any_value(v), 0) AS x
+        FROM (SELECT DISTINCT lemma_pos AS vec_id FROM seeds UNION ALL SELECT DISTINCT 'scale_end_' || category FROM means)
+        CROSS JOIN (SELECT unnest(range({DIMENSION})) AS i) LEFT JOIN (
+            SELECT lemma_pos AS vec_id, basis_index AS i, ppmi AS v FROM ppmi UNION ALL SELECT 'scale_end_' || category, basis_index, mean FROM means)
+        USING (vec_id, i) GROUP BY vec_id, i""", DIMENSION, "word", ("seeds", "ppmi", "means")),
     "scale_endpoints": _sql(("means", "scale"), f"""
         SELECT {_big('category')}, {_r('sum(mean * weight) / (SELECT sqrt(sum(weight * weight)) FROM scale)', 'projection')}
         FROM means JOIN scale USING (basis_index) GROUP BY category"""),
