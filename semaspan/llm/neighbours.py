@@ -32,9 +32,9 @@ REPLICAS = 3  # lists that a vector goes to, at most
 REPLICA_RATIO = 1.12  # and these are no further than so many times its nearest one
 QUERY_RATIO = 1.1  # lists within so many times the nearest centroid's distance are searched
 LEAST_LISTS = 48  # and so many lists at least, as long as there are that many
-LEAST_SHARE = 1 / 16  # or this share of the lists, if that is more
+LEAST_SHARE = 1 / 4  # or this share of the lists, if that is more: vectors without clusters lose neighbours at less
 SHARE = 20_000  # vectors of a list that one task scans, about
-NEIGHBOURS, BEAM = 16, 128  # edges of the centroid graph, and how many centroids a walk keeps
+NEIGHBOURS, BEAM = 16, 128  # edges of the centroid graph, and how many centroids a walk keeps at least
 SEED = 11
 
 
@@ -87,8 +87,9 @@ class CentroidGraph:
         self.edges = [np.array(sorted(e - {i}), dtype=np.int64) for i, e in enumerate(edges)]
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 32)).astype(np.int64))
 
-    def nearest(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids met on the walk, nearest first, with their distances."""
+    def nearest(self, query: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids met on the walk, nearest first, with their distances; `least` of them are wanted."""
+        beam = max(BEAM, least)
 
         def far(nodes: np.ndarray) -> np.ndarray:
             return np.sqrt(((self.centroids[nodes] - query) ** 2).sum(1))
@@ -98,19 +99,19 @@ class CentroidGraph:
         met = list(zip(far(self.entries).tolist(), self.entries.tolist()))
         open_ = list(met)
         heapq.heapify(open_)
-        best = [-d for d, _ in heapq.nsmallest(BEAM, met)]
+        best = [-d for d, _ in heapq.nsmallest(beam, met)]
         heapq.heapify(best)
         while open_:
             d, node = heapq.heappop(open_)
-            if len(best) >= BEAM and d > -best[0]:
+            if len(best) >= beam and d > -best[0]:
                 break
             new = self.edges[node][~seen[self.edges[node]]]
             seen[new] = True
             for e, other in zip(far(new).tolist(), new.tolist()):
-                if len(best) < BEAM or e < -best[0]:
+                if len(best) < beam or e < -best[0]:
                     heapq.heappush(open_, (e, other))
                     heapq.heappush(best, -e)
-                    if len(best) > BEAM:
+                    if len(best) > beam:
                         heapq.heappop(best)
                 met.append((e, other))
         met.sort()
@@ -131,9 +132,9 @@ def lists_of_vectors(v: np.ndarray, centroids: np.ndarray) -> list[list[int]]:
 
 def lists_of_queries(v: np.ndarray, graph: CentroidGraph) -> list[list[int]]:
     out = []
+    least = max(LEAST_LISTS, math.ceil(LEAST_SHARE * len(graph.centroids)))
     for query in v:
-        nodes, dist = graph.nearest(query)
-        least = max(LEAST_LISTS, math.ceil(LEAST_SHARE * len(graph.centroids)))
+        nodes, dist = graph.nearest(query, least)
         out.append(nodes[: max(least, int((dist <= QUERY_RATIO * dist[0]).sum()))].tolist())
     return out
 

@@ -54,3 +54,27 @@ def test_hot_list_is_parted(spark, monkeypatch):
     vectors = nn.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = nn.search(vectors, F.col("vec_id") == 100).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1, 11)) and all(r.score == 0 for r in got)
+
+
+def test_recall_where_a_small_share_of_many_lists_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(nn, "LIST_SIZE", 10)
+    random = np.random.default_rng(9)
+    v = random.normal(size=(8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = np.arange(len(v))
+    table = nn.usable(spark.createDataFrame(list(zip(ids.tolist(), v.tolist())), "vec_id long, embedding array<double>"))
+    centroids, _ = nn.fitted(table)
+    asked = nn.lists_of_queries(v[:50], nn.CentroidGraph(centroids))
+    assert len(centroids) == 800 and max(map(len, asked)) < 400
+    got = nn.search(table, F.col("vec_id") % 100 == 0).collect()
+    want = brute(ids, v, range(0, 8000, 100))
+    hits = sum(r.vec_id in dict(want[r.query_id]) for r in got)
+    assert hits / (10 * len(want)) >= 0.9, hits / (10 * len(want))
+
+
+def test_walk_meets_as_many_lists_as_are_wanted():
+    random = np.random.default_rng(4)
+    centroids, query = random.normal(size=(3000, 64)), random.normal(size=64)
+    nodes, _ = nn.CentroidGraph(centroids).nearest(query, 750)
+    best = np.argsort(((centroids - query) ** 2).sum(1))[:750]
+    assert len(set(nodes[:750].tolist()) & set(best.tolist())) >= 740
