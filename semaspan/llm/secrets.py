@@ -58,7 +58,8 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|placeholder|none|null|true|false|your.*|<.*>|\$\{.*\}|%.*%)$")
 LEAST_LITERAL = 8
-LONGEST_CONSTANT = 4096  # a longer value is a text of its own and no secret; it isn't propagated
+LONGEST_VALUE = 4096  # characters up to which a value is kept as text; of longer ones, counts of characters and both ends
+MOST_COUNTED = 1e12  # counts of characters are scaled down beyond
 THRESHOLD = 0.45
 
 _PAIR = re.compile(
@@ -79,11 +80,78 @@ def literal_score(value: str) -> float:
     """0 to 1: long, mixed and unpredictable strings score high, words and placeholders low."""
     if len(value) < LEAST_LITERAL or " " in value or PLACEHOLDER.match(value):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value)
+    return counts_score(Counter(value), len(value))
+
+
+def counts_score(counts: dict[str, float], length: float) -> float:
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values() if n / length)
+    mixed = any(c.isdigit() for c in counts) + any(c.isupper() for c in counts) + any(c.islower() for c in counts)
     return min(1.0, entropy / 4.0) * (0.2 if mixed < 2 else 1.0)
 
 
+class Value:
+    """What is assigned: a sum of literals, each with its place, and of earlier values, which are not copied."""
+
+    __slots__ = ("parts", "known", "marked")
+
+    def __init__(self, parts: list[tuple[str, tuple[int, int]] | Value]):
+        self.parts = parts
+        self.known: tuple[str | None, Counter, float, str] | None = None  # text if it is short, counts, length, both ends
+        self.marked = 0.0  # all places in it have this score at least
+
+    def settle(self) -> None:
+        """Make `known` of this value and of those it is made of."""
+        todo = [self]
+        while todo:
+            value = todo[-1]
+            open_ = [] if value.known else [p for p in value.parts if isinstance(p, Value) and not p.known]
+            if open_:
+                todo += open_
+                continue
+            todo.pop()
+            if not value.known:
+                value.known = value._summed()
+
+    def _summed(self) -> tuple[str | None, Counter, float, str]:
+        texts = [p.known[0] if isinstance(p, Value) else p[0] for p in self.parts]
+        if None not in texts and sum(map(len, texts)) <= LONGEST_VALUE:
+            return "".join(texts), Counter(), 0.0, ""
+        counts, length, ends = Counter(), 0.0, ""
+        for part, text in zip(self.parts, texts):
+            if text is not None:
+                counts.update(text)
+                length, ends = length + len(text), ends + (text if len(text) <= 32 else text[:16] + text[-16:])
+            else:
+                counts.update(part.known[1])
+                length, ends = length + part.known[2], ends + part.known[3]
+            ends = ends if len(ends) <= 32 else ends[:16] + ends[-16:]
+        if length > MOST_COUNTED:
+            counts, length = Counter({c: n * LONGEST_VALUE / length for c, n in counts.items()}), float(LONGEST_VALUE)
+        return None, counts, length, ends
+
+    def score(self) -> float:
+        self.settle()
+        text, counts, length, ends = self.known
+        if text is not None:
+            return literal_score(text)
+        # ends that are one run of x tell nothing of what lies between
+        placeholder = PLACEHOLDER.match(ends) and len(set(ends)) > 1
+        return 0.0 if " " in counts or placeholder else counts_score(counts, length)
+
+    def places(self, score: float) -> Iterator[tuple[int, int]]:
+        """The places whose score may be less; values that were given it before are passed by."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if value.marked < score:
+                value.marked = score
+                for part in value.parts:
+                    if isinstance(part, Value):
+                        todo.append(part)
+                    else:
+                        yield part[1]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each base kind; those that are too short are dropped."""
     spans = []
@@ -102,31 +170,26 @@ def assigned_literals(text: str) -> list[tuple[str, float, int, int]]:
     literals of the sum get the score of the whole value.
     """
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    constants: dict[str, Value] = {}
     for pair in _PAIR.finditer(text):
-        value, pieces, at = "", [], pair.end()
+        parts, at = [], pair.end()
         while atom := _ATOM.match(text, at):
-            quoted = atom.lastindex != 3
             word = atom[atom.lastindex]
-            if not quoted and word in constants:
-                known, places = constants[word]
-                value, pieces = value + known, pieces + places
+            if atom.lastindex == 3 and word in constants:
+                parts.append(constants[word])
             else:
-                value, pieces = value + word, [*pieces, atom.span(atom.lastindex)]
+                parts.append((word, atom.span(atom.lastindex)))
             plus = _PLUS.match(text, atom.end())
             if not plus:
                 break
             at = plus.end()
-        if not pieces:
-            continue
-        if len(value) > LONGEST_CONSTANT:
-            constants.pop(pair["name"], None)
+        if not parts:
             continue
-        constants[pair["name"]] = (value, pieces)
+        value = constants[pair["name"]] = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
         if sensitive := name_score(pair["name"]):
-            score = sensitive * literal_score(value)
+            score = sensitive * value.score()
             if score >= THRESHOLD:
-                for place in pieces:
+                for place in value.places(score):
                     if place not in found or found[place][1] < score:
                         found[place] = (pair["name"], score)
     return [(name, score, *place) for place, (name, score) in found.items()]

@@ -1,3 +1,4 @@
+import random
 import re
 
 from semaspan.llm import secrets
@@ -59,3 +60,18 @@ def test_odd_rows_and_masks(spark):
     assert len(got) == 3 and got[1, None].m is None and got[1, None].secrets == []
     assert got[rows[3][:2]].m == "é [SECRET] and [SECRET] end"
     assert secrets.with_secrets(docs.limit(0)).count() == 0
+
+
+def test_long_values_are_scored_and_masked(spark):
+    rng = random.Random(6)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789", k=9000))
+    pieces = [key[i : i + 1000] for i in range(0, 9000, 1000)]
+    several = "".join(f'p{i} = "{p}"\n' for i, p in enumerate(pieces)) + "signing_key = " + " + ".join(f"p{i}" for i in range(9)) + "\n"
+    for text, places in ((f'signing_key = "{key}"\n', 1), (f"a = '{key}'\ncredentials = a", 1), (several, 9)):
+        spans = secrets.find(text)
+        assert [s["kind"] for s in spans] == ["literal"] * places and "".join(text[s["start"] : s["end"]] for s in spans) == key
+        row = secrets.with_secrets(spark.createDataFrame([(text,)], "text string")).select(secrets.masked("text", "secrets").alias("m")).first()
+        assert key[:50] not in row.m and row.m.count("[SECRET]") == places
+    assert not secrets.find(f"signing_key = '{'word ' * 2000}'") and not secrets.find(f"signing_key = '<{key}>'")
+    grown = "x = 'aB3xY7kQ'\n" + "x = x + x\n" * 5000 + "signing_key = x\n"
+    assert [grown[s["start"] : s["end"]] for s in secrets.find(grown)] == ["aB3xY7kQ"]
