@@ -45,7 +45,8 @@ BASE_REPEATED = 50  # base rule: more than this percentage of words in repeated
 LEAST_CHARS = 200  # shorter texts have no character verdict
 LEAST_WORDS = 50  # texts with fewer words have no word verdict
 LEAST_REFERENCE = 20_000  # characters that the reference of a language must hold
-MOST_LANGUAGES = 1_000  # so many languages, the largest ones, have a reference of their own
+MOST_LANGUAGES = 1_000  # references up to which they are broadcast; of more, so many of the largest are salted
+SALTS = 64
 FAR_CLASSES = 0.18  # Jensen-Shannon distance of character classes above which a text goes
 FAR_WORDS = 0.50  # the same for common words
 
@@ -186,12 +187,23 @@ def jensen_shannon(counts: Column, total: Column, shares: Column) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
+def with_references(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """`counts` with the reference of its language, if that has one: broadcast if they are few, else joined."""
+    if known.count() <= MOST_LANGUAGES:
+        return counts.join(F.broadcast(known.drop("ref_chars")), "lang", "left")
+    hot = known.orderBy(F.desc("ref_chars"), "lang").limit(MOST_LANGUAGES).select("lang", F.lit(True).alias("hot"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = known.drop("ref_chars").join(F.broadcast(hot), "lang", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    # rows without a language have no reference, and are dealt by salt too
+    salt = F.when(F.col("hot") | F.col("lang").isNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return counts.join(F.broadcast(hot), "lang", "left").withColumn("salt", salt).drop("hot").join(salted, ["lang", "salt"], "left").drop("salt")
+
+
 def verdicts(counts: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS) -> DataFrame:
     """(doc, counts, base_failed, class_distance, word_distance, kept) of counted texts."""
     fallback = refs.filter("lang IS NULL").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
-    known = refs.filter("lang IS NOT NULL").orderBy(F.desc("ref_chars"), "lang").limit(MOST_LANGUAGES).drop("ref_chars")
-    # `known` is one short row for each of at most MOST_LANGUAGES languages, `fallback` is one row
-    rows = counts.join(F.broadcast(known), "lang", "left").join(F.broadcast(fallback), F.lit(True), "left")
+    known = refs.filter("lang IS NOT NULL")
+    rows = with_references(counts, known).join(F.broadcast(fallback), F.lit(True), "left")  # `fallback` is one row
     classes = jensen_shannon(F.col("classes"), F.col("n_chars"), F.coalesce("ref_classes", "all_classes"))
     words = jensen_shannon(F.col("common"), F.col("n_words"), F.coalesce("ref_common", "all_common"))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
@@ -211,7 +223,7 @@ def quality_rules(docs: DataFrame, far_classes: float = FAR_CLASSES, far_words:
     The counts are stored once, as they are read twice: for the references and for the verdicts.
     """
     counts = stored(counted(docs))
-    return verdicts(counts, references(counts), far_classes, far_words).withColumnRenamed("doc", "doc_id")
+    return verdicts(counts, stored(references(counts)), far_classes, far_words).withColumnRenamed("doc", "doc_id")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

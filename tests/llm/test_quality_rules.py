@@ -54,3 +54,11 @@ def test_many_repeats_take_the_other_plan(spark, monkeypatch):
         monkeypatch.setattr(qr, "FEW_REPEATED", few)
         both.append(sorted((r.doc_id, r.n_repeat_words) for r in qr.quality_rules(docs).collect()))
     assert both[0] == both[1] == [(1, brute(text)[4]), (2, 90)]
+
+
+def test_each_language_keeps_its_reference_when_they_are_many(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(10_000, "a word " * 60, None), (10_001, "a word " * 60, "xx")], docs.schema))
+    want = sorted(map(tuple, qr.quality_rules(docs).collect()))
+    monkeypatch.setattr(qr, "MOST_LANGUAGES", 1)
+    assert sorted(map(tuple, qr.quality_rules(docs).collect())) == want
