@@ -70,8 +70,59 @@ _CHAT = rf"""
         sum(33 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
     FROM turns GROUP BY conv_id"""
 
+_HARD_NEGATIVES = """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM scores JOIN positives USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
+_COLLOCATIONS = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    numbered AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+    words AS (SELECT lang, piece, unnest(words) AS w1, unnest(range(len(words))) AS i FROM numbered),
+    grams AS (SELECT lang, w1, lead(w1) OVER z AS w2, lead(w1, 2) OVER z AS w3 FROM words WINDOW z AS (PARTITION BY piece ORDER BY i)),
+    f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL),
+    f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+    covers AS (
+        SELECT lang, w1, w2, max(f) AS longer FROM (
+            SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2 AS w1, w3 AS w2, f FROM f3) GROUP BY lang, w1, w2),
+    cuts AS (
+        SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r
+        FROM f2 c LEFT JOIN covers USING (lang, w1, w2) JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+        WHERE c.f >= 10 AND 100 * coalesce(longer, 0) < 50 * c.f
+        UNION ALL
+        SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f
+        FROM f3 c JOIN f1 x USING (lang, w1) JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+        UNION ALL
+        SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f
+        FROM f3 c JOIN f2 x USING (lang, w1, w2) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+    scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
 ORACLES = {
     "op5_license_scan": _license_sql(),
     "op6_substring_dedup": _REPEATS,
     "op10_chat_format": _CHAT,
+    "op11_hard_negatives": _HARD_NEGATIVES,
+    "op13_collocations": _COLLOCATIONS,
 }
