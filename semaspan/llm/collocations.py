@@ -1,11 +1,12 @@
 """Phrase collocations from a weighted de Bruijn graph.
 
-Texts are split into pieces at punctuation and line ends, and pieces into words. Every word of a piece starts a
-gram of up to three words. Grams of three are the edges of a graph whose nodes are pairs of words: an edge leads
-from its first two words to its last two. Only these longest grams are counted from the text; the few that a
-piece's end cuts short are counted with them and are the corrections: a pair's count is what flows out of its node,
-over all edges, plus the pieces that end with it, and a word's count is the flow of the pairs that start with it,
-plus the pieces that end with it.
+Texts are split into pieces at punctuation and line ends, and pieces into words. Words that occur too seldom to be
+part of a candidate end a piece too; a bit map of fixed size over the hashes of the others tells them apart, and
+where it errs only takes a rare word along. Every word of a piece starts a gram of up to three words. Grams of three
+are the edges of a graph whose nodes are pairs of words: an edge leads from its first two words to its last two. Only
+these longest grams are counted from the text; the few that a piece's end cuts short are counted with them and are
+the corrections: a pair's count is what flows out of its node, over all edges, plus the pieces that end with it, and
+a word's count is the flow of the pairs that start with it, plus the pieces that end with it.
 
 Edges of the least weight or more are compacted: where all flow of a node comes in on one edge and leaves on one,
 the edges are joined, so that a passage that many texts share becomes one path. Links between such edges are
@@ -22,8 +23,12 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,39 +39,125 @@ from semaspan.session import stored
 LEAST = 10  # occurrences of a candidate
 COVER = 50  # a phrase goes if a longer candidate has so many per cent of its occurrences
 BEST = 2_000  # phrases of a language
+BITS = 1 << 25  # of the map that tells rare words: 4 MB, whatever the input
+HELD = 300_000  # different grams that a task folds before it hands them on
 SEGMENT = 256  # edges of a path that are held in one row
 SALTS = 64  # parts of a language that are ranked apart
+SEED = 42
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 PAIR = ["w1", "w2"]
+# On UTF-8 bytes: A to Z in lower case, what ends a piece as line feed, and a tab as blank.
+_PLAIN = bytes.maketrans(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
+)
 
 
-def starts(text: Column) -> Column:
-    """One gram for each word of a text: the word and the two that follow in its piece, null behind its end."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    words = F.transform(F.split(lowered, ENDS, -1), lambda piece: F.filter(F.split(piece, BLANKS, -1), lambda w: w != ""))
+def pieces(text: str) -> Iterator[list[bytes]]:
+    """The words of each piece of a text."""
+    for piece in text.encode().translate(_PLAIN).split(b"\n"):
+        words = piece.split()
+        if words:
+            yield words
 
-    def grams(piece: Column) -> Column:
-        return F.transform(piece, lambda w, i: F.struct(w.alias("w1"), F.get(piece, i + 1).alias("w2"), F.get(piece, i + 2).alias("w3")))
 
-    return F.flatten(F.transform(words, grams))
+Folder = Callable[[Counter, list[bytes], bytes], None]
 
 
-def edges(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, n): counted grams of three, and of fewer words where a piece ends."""
-    spelled = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(starts(F.col(text))).alias("g"))
-    return spelled.select("lang", "g.*").groupBy("lang", "w1", "w2", "w3").agg(F.count("*").alias("n"))
+def folded(docs: DataFrame, text: str, lang: str, folder: Callable[[], Folder]) -> DataFrame:
+    """(lang, key, n): what `folder` counts in each piece, folded inside the tasks and then over all."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, counts = folder(), defaultdict(Counter)
 
-def pair_flows(counted: DataFrame) -> DataFrame:
-    """(lang, w1, w2, n): flow out of each pair's node, ends included; a null w2 marks the pieces that end with w1."""
-    return counted.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+        def held() -> pa.RecordBatch:
+            langs = [name for name, c in counts.items() for _ in range(len(c))]
+            keys = pa.array([k for c in counts.values() for k in c], pa.binary()).cast(pa.string())
+            numbers = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), keys, numbers], names=["lang", "key", "n"])
 
+        for batch in batches:
+            for words, name in zip(batch.column("text"), batch.column("lang")):
+                name = name.as_py()
+                into, spelled = counts[name], name.encode()
+                for piece in pieces(words.as_py() or ""):
+                    fold(into, piece, spelled)
+                if sum(map(len, counts.values())) > HELD:
+                    yield held()
+        if counts:
+            yield held()
 
-def word_flows(flows: DataFrame) -> DataFrame:
-    """(lang, w, n): flow through each word."""
-    return flows.groupBy("lang", F.col("w1").alias("w")).agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    return rows.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _words() -> Folder:
+    return lambda counts, words, lang: counts.update(words)
+
+
+def frequent_bits(words: DataFrame, least: int) -> np.ndarray:
+    """A map of BITS bits with that of each word (lang, key, n) of `least` occurrences or more set."""
+    place = F.xxhash64(F.concat("key", F.lit("\n"), "lang")).bitwiseAND(F.lit(BITS - 1))
+    places = words.filter(F.col("n") >= least).select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    set_ = places.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
+    bits = np.zeros(max(1, BITS // 64), np.uint64)
+    bits[set_.column("at").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def grams(bits: np.ndarray) -> Callable[[], Folder]:
+    """Counts grams of three, and of fewer words where a piece or a run of frequent words ends."""
+
+    def folder() -> Folder:
+        memo: dict[bytes, bool] = {}
+
+        def frequent(word: bytes, lang: bytes) -> bool:
+            place = xxhash.xxh64_intdigest(word + b"\n" + lang, SEED) & (BITS - 1)
+            return bool(int(bits[place >> 6]) >> (place & 63) & 1)
+
+        def fold(counts: Counter, words: list[bytes], lang: bytes) -> None:
+            run: list[bytes] = []
+            for word in [*words, None]:
+                if word is not None:
+                    known = memo.get(key := lang + b"\n" + word)
+                    if known is None:
+                        if len(memo) > HELD:
+                            memo.clear()
+                        known = memo[key] = frequent(word, lang)
+                    if known:
+                        run.append(word)
+                        continue
+                if run:
+                    counts.update(map(b" ".join, zip(run, run[1:], run[2:])))
+                    for tail in ([run[-1:]] if len(run) == 1 else [run[-2:], run[-1:]]):
+                        counts[b" ".join(tail)] += 1
+                    run = []
+
+        return fold
+
+    return folder
+
+
+def flows(edges: DataFrame, least: int) -> DataFrame:
+    """(lang, key, n) of the words, pairs and grams of three with `least` occurrences, from all the longest grams.
+
+    A pair's count is the flow out of its node, a word's count the flow of its pairs; ends of pieces are among both.
+    """
+    size = F.size(F.split("key", " "))
+    self_ = F.when(F.col("n") >= least, F.struct("key", "n"))
+
+    def summed(rows: DataFrame, shorter: Column) -> DataFrame:
+        both = F.filter(F.array(shorter, F.when(size > F.lit(1), self_)), lambda x: x.isNotNull())
+        return rows.select("lang", F.inline(both)).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+    def cut(n_words: int) -> Column:
+        return F.struct(F.substring_index("key", " ", n_words).alias("key"), "n")
+
+    # grams of three pass their count on to their pair, and stay if they are frequent; an end stays as it is
+    both = F.filter(F.array(cut(2), F.when(size == 3, self_)), lambda x: x.isNotNull())
+    pairs = edges.select("lang", F.inline(both)).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    words = summed(pairs, F.when(size < 3, cut(1)))
+    return words.filter(F.col("n") >= least)
 
 
 def compacted(heavy: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -150,14 +241,16 @@ def covering(paths: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cover: int = COVER) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all phrases of two and three words that no longer one covers."""
-    counted = stored(edges(docs, text, lang))
-    flows = stored(pair_flows(counted))
-    counts = stored(word_flows(flows))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    pairs = stored(flows.filter((F.col("n") >= least) & F.col("w2").isNotNull()))
-    frequent = counts.filter(F.col("n") >= least)
-    paths = compacted(counted.filter((F.col("n") >= least) & F.col("w3").isNotNull()), pairs)
-    paths = stored(with_word_counts(paths, frequent, ["path", "part"]).select("lang", "words", "weight", "first_flow", "last_flow", "counts"))
+    words = stored(folded(docs, text, lang, _words))
+    sizes = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    edges = folded(docs, text, lang, grams(frequent_bits(words, least)))
+    counts = stored(flows(edges, least).withColumn("w", F.split("key", " ")))
+
+    def of(size: int) -> DataFrame:
+        return counts.filter(F.size("w") == size).select("lang", *[F.col("w")[i].alias(f"w{i + 1}") for i in range(size)], "n")
+
+    frequent, pairs = of(1).withColumnRenamed("w1", "w"), of(2)
+    paths = stored(with_word_counts(compacted(of(3), pairs), frequent, ["path", "part"]).select("lang", "words", "weight", "first_flow", "last_flow", "counts"))
 
     left_over = pairs.join(covering(paths), ["lang", *PAIR], "left").filter(100 * F.coalesce("longer", F.lit(0)) < cover * F.col("n"))
     known = left_over.select("lang", F.col("n").alias("a"), *PAIR)

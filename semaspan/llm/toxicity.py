@@ -23,7 +23,6 @@ null doc_ids and labels, are not learned from. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semaspan.llm.line_crf import held_out
+from semaspan.session import stored
 
 POSITIVE_DOCS, UNLABELLED_DOCS = 3_000, 9_000
 SAMPLE_CHARS = 20_000
@@ -129,18 +129,24 @@ def fitted(documents: list[tuple[list[int], bool]], n_features: int, prior: floa
     return weights
 
 
-def telling(held: list[set[str]], positive: list[bool]) -> list[str]:
-    """The features whose shares of confirmed and of unlabelled documents differ by more than chance."""
-    inside, outside = Counter(), Counter()
-    for names, p in zip(held, positive):
-        (inside if p else outside).update(names)
-    many = sum(positive)
-    rest = len(positive) - many
-    names = sorted(n for n in inside.keys() | outside.keys() if inside[n] + outside[n] >= LEAST_DOCS)
-    a, b = (np.array([c[n] for n in names], np.float64) for c in (inside, outside))
-    both = (a + b) / (many + rest)
-    deviation = np.sqrt(both * (1 - both) * (1 / many + 1 / rest)) + 1e-12
-    return [n for n, z in zip(names, np.abs(a / many - b / rest) / deviation) if z >= LEAST_DEVIATIONS]
+def names_in(words: Column) -> Column:
+    """The different features of a text's words."""
+    stems = [F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    return F.array_distinct(F.concat(words, *stems))
+
+
+def telling(sample: DataFrame) -> list[str]:
+    """The features whose shares of confirmed and of unlabelled documents differ by more than chance.
+
+    sample: (positive, words). No more features can tell than the sample's documents hold.
+    """
+    totals = sample.agg(F.count_if("positive").alias("many"), F.count_if(~F.col("positive")).alias("rest")).first()
+    many, rest = totals["many"], totals["rest"]
+    named = sample.select("positive", F.explode(names_in(F.col("words"))).alias("name"))
+    shared = named.groupBy("name").agg(F.count_if("positive").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    both, a, b = F.col("n") / (many + rest), F.col("a") / many, (F.col("n") - F.col("a")) / rest
+    deviation = F.sqrt(both * (1 - both) * (1 / many + 1 / rest)) + 1e-12
+    return sorted(r["name"] for r in shared.filter(F.abs(a - b) >= LEAST_DEVIATIONS * deviation).select("name").collect())
 
 
 def learned(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Toxicity:
@@ -175,17 +181,20 @@ def learned(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> T
     kind = docs.schema["doc_id"].dataType.simpleString()
     shaped = texts.select("doc_id", "positive", "text").mapInArrow(shapes, f"doc_id {kind}, positive boolean, words array<string>, size int")
     once = shaped.groupBy("doc_id", "positive").agg(F.min(F.struct("size", "words")).alias("s"))  # repeated ids count once
-    # copies count once
-    rows = sorted({(r["s"]["size"], tuple(r["s"]["words"]), r["positive"]) for r in once.collect()})
+    rows = stored(once.select("positive", "s.size", "s.words").distinct())  # and copies too
     sizes = np.full(SIZES, np.log(prior / (1 - prior)))
-    positive = [p for _, _, p in rows]
-    if len(set(positive)) < 2:
+    if rows.select("positive").distinct().count() < 2:
         return Toxicity({}, sizes)
-    known_names: dict[str, list[str]] = {}
-    held = [{n for word in words for n in known_names.setdefault(word, names_of(word))} for _, words, _ in rows]
-    names = telling(held, positive)
+    names = telling(rows)
     number = {n: SIZES + i for i, n in enumerate(names)}
-    documents = [([size, *sorted(number[n] for n in x if n in number)], p) for (size, _, p), x in zip(rows, held)]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted({number[n] for word in words.as_py() for n in names_of(word) if n in number}) for words in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("size"), pa.array(held, pa.list_(pa.int32()))], names=["positive", "size", "held"])
+
+    found = rows.select("positive", "size", "words").mapInArrow(numbered, "positive boolean, size int, held array<int>").collect()
+    documents = sorted(([r["size"], *r["held"]], r["positive"]) for r in found)
     weights = fitted(documents, SIZES + len(names), prior)
     met = np.isin(np.arange(SIZES), [d[0][0] for d in documents])
     nearest = np.array([int(np.flatnonzero(met)[np.abs(np.flatnonzero(met) - i).argmin()]) for i in range(SIZES)])

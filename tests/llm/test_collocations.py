@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from semaspan.llm import collocations as co
@@ -42,14 +43,18 @@ def got(spark, docs):
     return {tuple(r) for r in co.best(co.collocations(df)).collect()}
 
 
-def test_against_plain_counting(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_against_plain_counting(spark, monkeypatch, bits):
     monkeypatch.setattr(co, "SEGMENT", 4)  # paths of several parts
+    monkeypatch.setattr(co, "HELD", 50)  # many hand-overs
+    monkeypatch.setattr(co, "BITS", bits)  # a map that lets many rare words pass, and a fine one
     rng = random.Random(2)
     words = ["of", "the", "a", "ist", "Ähre", "ähre", "Of", " ", "x-y", "'t"]
     passage = " ".join(f"p{i}" for i in range(45))
     docs = [(" ".join(rng.choices(words, k=rng.randrange(40))).replace(" a ", ", "), rng.choice(["en", "de", None])) for _ in range(300)]
     docs += [(f"{rng.choice(words)} {passage} {rng.choice(words)}", "en") for _ in range(12)] + [(passage + ".", "de")] * 11
     docs += [("ha " * 5_000, "en"), ("one two. One\ttwo;one two\x0bone two " * 4, None), ("", "en"), (None, "en"), (None, None), (" \t.,", "xx")]
+    docs += [(" ".join(rng.choices([f"rare{i}" for i in range(99)] + ["of"] * 60, k=2_000)), "en")]
     docs += [("r1 r2 r3 " * 30, "und")]  # a ring, but for its ends
     assert got(spark, docs) == want(docs)
 
@@ -57,17 +62,19 @@ def test_against_plain_counting(spark, monkeypatch):
 def test_paths_join_edges_that_carry_all_flow(spark):
     docs = [("a b c d e f g", "en")] * 12 + [("z c d e y", "en")] * 10
     df = spark.createDataFrame(docs, "text string, lang string")
-    counted = co.edges(df)
-    flows = co.pair_flows(counted)
-    pairs = flows.filter("n >= 10 AND w2 IS NOT NULL")
-    paths = co.compacted(counted.filter("n >= 10 AND w3 IS NOT NULL"), pairs).collect()
+    words = co.folded(df, "text", "lang", co._words)
+    counts = co.flows(co.folded(df, "text", "lang", co.grams(co.frequent_bits(words, 10))), 10)
+    w = F.split("key", " ")
+    pairs = counts.filter(F.size(w) == 2).select("lang", w[0].alias("w1"), w[1].alias("w2"), "n")
+    heavy = counts.filter(F.size(w) == 3).select("lang", w[0].alias("w1"), w[1].alias("w2"), w[2].alias("w3"), "n")
+    paths = co.compacted(heavy, pairs).collect()
     assert {(" ".join(r.words), r.weight, r.first_flow, r.last_flow) for r in paths} == {
         ("a b c d", 12, 12, 22), ("z c d", 10, 10, 22), ("c d e", 22, 22, 22), ("d e f g", 12, 22, 12), ("d e y", 10, 22, 10),
     }
     # flows are the counts of the shorter phrases, piece ends included
-    of = {(r.w1, r.w2): r.n for r in flows.collect()}
-    assert of[("c", "d")] == 22 and of[("f", "g")] == 12 and of[("g", None)] == 12 and of[("y", None)] == 10
-    assert {r.w: r.n for r in co.word_flows(flows).collect()} == {"a": 12, "b": 12, "c": 22, "d": 22, "e": 22, "f": 12, "g": 12, "z": 10, "y": 10}
+    of = {r.key: r.n for r in counts.collect()}
+    assert of["c d"] == 22 and of["f g"] == 12 and of["g"] == 12 and of["y"] == 10
+    assert {k: n for k, n in of.items() if " " not in k} == {"a": 12, "b": 12, "c": 22, "d": 22, "e": 22, "f": 12, "g": 12, "z": 10, "y": 10}
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
