@@ -8,6 +8,10 @@ these longest grams are counted from the text; the few that a piece's end cuts s
 the corrections: a pair's count is what flows out of its node, over all edges, plus the pieces that end with it, and
 a word's count is the flow of the pairs that start with it, plus the pieces that end with it.
 
+Tasks number their words, fold their grams as sorted numbers, and hand them on in one compressed row for each bucket
+of pairs, so the edges out of a node meet in one bucket of about BUCKET grams; those out of a pair of two very
+frequent words, of which there are few, are spread over all buckets by their third word.
+
 Edges of the least weight or more are compacted: where all flow of a node comes in on one edge and leaves on one,
 the edges are joined, so that a passage that many texts share becomes one path. Links between such edges are
 followed by pointer doubling, so a path takes as many rounds as its length has binary digits. Counts of words are
@@ -23,8 +27,9 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,13 @@ LEAST = 10  # occurrences of a candidate
 COVER = 50  # a phrase goes if a longer candidate has so many per cent of its occurrences
 BEST = 2_000  # phrases of a language
 BITS = 1 << 25  # of the map that tells rare words: 4 MB, whatever the input
-HELD = 300_000  # different grams that a task folds before it hands them on
+HELD = 2_000_000  # words that a task folds before it hands their grams on, about
+BUCKET = 1_000_000  # words of the corpus for each bucket, about
+HOT = 256  # a word is very frequent if it makes up one of so many; there are no more of them
 SEGMENT = 256  # edges of a path that are held in one row
 SALTS = 64  # parts of a language that are ranked apart
 SEED = 42
+NARROW = 1 << 21  # three numbers below this fit 63 bits
 
 PAIR = ["w1", "w2"]
 # On UTF-8 bytes: A to Z in lower case, what ends a piece as line feed, and a tab as blank.
@@ -60,104 +68,199 @@ def pieces(text: str) -> Iterator[list[bytes]]:
             yield words
 
 
-Folder = Callable[[Counter, list[bytes], bytes], None]
+class Numbers(dict):
+    """Words numbered in the order they are met."""
 
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-def folded(docs: DataFrame, text: str, lang: str, folder: Callable[[], Folder]) -> DataFrame:
-    """(lang, key, n): what `folder` counts in each piece, folded inside the tasks and then over all."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, counts = folder(), defaultdict(Counter)
+def spelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
-        def held() -> pa.RecordBatch:
-            langs = [name for name, c in counts.items() for _ in range(len(c))]
-            keys = pa.array([k for c in counts.values() for k in c], pa.binary()).cast(pa.string())
-            numbers = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), keys, numbers], names=["lang", "key", "n"])
 
-        for batch in batches:
-            for words, name in zip(batch.column("text"), batch.column("lang")):
-                name = name.as_py()
-                into, spelled = counts[name], name.encode()
-                for piece in pieces(words.as_py() or ""):
-                    fold(into, piece, spelled)
-                if sum(map(len, counts.values())) > HELD:
-                    yield held()
-        if counts:
-            yield held()
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbers, np.ndarray]]:
+    """(language, its words, their numbers in the order of the text, -1 where a piece ends), in bounded parts."""
+    numbers, texts, held = defaultdict(Numbers), defaultdict(lambda: array("i")), 0
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("lang")):
+            lang = lang.as_py()
+            number, into = numbers[lang].__getitem__, texts[lang]
+            before = len(into)
+            for piece in pieces(text.as_py() or ""):
+                into.extend(map(number, piece))
+                into.append(-1)
+            held += len(into) - before
+            if held > HELD:
+                yield from ((k, numbers[k], np.array(texts[k], np.int64)) for k in texts)
+                numbers.clear()
+                texts.clear()
+                held = 0
+    yield from ((k, numbers[k], np.array(texts[k], np.int64)) for k in texts)
+
+
+COUNTED = "lang string, key string, n long"
 
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
+def _counted(lang: str, keys: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "key", "n"]
+    )
+
+
+def words(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, key, n): the words of each language with their counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, numbers, met_ in met(batches):
+            yield _counted(name, list(numbers), np.bincount(met_[met_ >= 0], minlength=len(numbers)))
 
-def _words() -> Folder:
-    return lambda counts, words, lang: counts.update(words)
+    return spelled(docs, text, lang).mapInArrow(count, COUNTED).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def frequent_bits(words: DataFrame, least: int) -> np.ndarray:
+def frequent_bits(counts: DataFrame, least: int) -> np.ndarray:
     """A map of BITS bits with that of each word (lang, key, n) of `least` occurrences or more set."""
     place = F.xxhash64(F.concat("key", F.lit("\n"), "lang")).bitwiseAND(F.lit(BITS - 1))
-    places = words.filter(F.col("n") >= least).select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    places = counts.filter(F.col("n") >= least).select(F.shiftright(place, 6).alias("at"), bit.alias("bit"))
     set_ = places.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
     bits = np.zeros(max(1, BITS // 64), np.uint64)
     bits[set_.column("at").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
-def grams(bits: np.ndarray) -> Callable[[], Folder]:
-    """Counts grams of three, and of fewer words where a piece or a run of frequent words ends."""
-
-    def folder() -> Folder:
-        memo: dict[bytes, bool] = {}
-
-        def frequent(word: bytes, lang: bytes) -> bool:
-            place = xxhash.xxh64_intdigest(word + b"\n" + lang, SEED) & (BITS - 1)
-            return bool(int(bits[place >> 6]) >> (place & 63) & 1)
-
-        def fold(counts: Counter, words: list[bytes], lang: bytes) -> None:
-            run: list[bytes] = []
-            for word in [*words, None]:
-                if word is not None:
-                    known = memo.get(key := lang + b"\n" + word)
-                    if known is None:
-                        if len(memo) > HELD:
-                            memo.clear()
-                        known = memo[key] = frequent(word, lang)
-                    if known:
-                        run.append(word)
-                        continue
-                if run:
-                    counts.update(map(b" ".join, zip(run, run[1:], run[2:])))
-                    for tail in ([run[-1:]] if len(run) == 1 else [run[-2:], run[-1:]]):
-                        counts[b" ".join(tail)] += 1
-                    run = []
-
-        return fold
-
-    return folder
-
-
-def flows(edges: DataFrame, least: int) -> DataFrame:
-    """(lang, key, n) of the words, pairs and grams of three with `least` occurrences, from all the longest grams.
+def folded(grams: np.ndarray, n: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of `grams` (rows, 3), numbers from -1 to size - 1, in order, with their summed counts."""
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
+    first, second, third = (grams[:, i] + 1 for i in range(3))
+    wide = size + 1
+    pair = first * wide + second
+    if wide >= NARROW:  # else the three would not fit
+        names, pair = np.unique(pair, return_inverse=True)
+    key = pair * wide + third
+    if n is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[starts], np.add.reduceat(n[order], starts)
+    pair, third = np.divmod(key, wide)
+    if wide >= NARROW:
+        pair = names[pair]
+    first, second = np.divmod(pair, wide)
+    return np.stack([first, second, third], axis=1) - 1, n.astype(np.int64)
+
+
+def longest(numbers: np.ndarray) -> np.ndarray:
+    """The gram of up to three words from each word on; -1 behind the end of its piece."""
+    after = np.concatenate([numbers, [-1, -1]])
+    grams = np.stack([numbers, after[1:-1], after[2:]], axis=1)
+    grams[grams[:, 1] < 0, 2] = -1
+    return grams[numbers >= 0]
+
+
+_CODEC = "zstd"
+
+
+def packed(listed: list[bytes], grams: np.ndarray, n: np.ndarray) -> bytes:
+    """Grams and counts of one bucket, with the words they hold."""
+    used, numbers = np.unique(grams, return_inverse=True)
+    if used[0] >= 0:
+        used, numbers = np.concatenate([[-1], used]), numbers + 1
+    spelled_ = b" ".join(listed[i] for i in used[1:])  # number 0 means no word
+    numbers = numbers.reshape(grams.shape)
+    columns = np.stack([np.diff(numbers[:, 0], prepend=0), numbers[:, 1], numbers[:, 2], n]).astype("<u4")
+    # bytes of one place beside each other, as most of the high ones are zero
+    plain = np.uint32(len(grams)).tobytes() + np.ascontiguousarray(columns.view(np.uint8).reshape(-1, 4).T).tobytes() + spelled_
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, _CODEC, asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    plain = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), _CODEC, asbytes=True)
+    many = int(np.frombuffer(plain, "<u4", 1)[0])
+    planes = np.frombuffer(plain, np.uint8, 16 * many, 4).reshape(4, -1)
+    columns = np.ascontiguousarray(planes.T).view("<u4").reshape(4, many).astype(np.int64)
+    grams = np.stack([np.cumsum(columns[0]), columns[1], columns[2]], axis=1) - 1
+    return plain[4 + 16 * many :].split(), grams, columns[3]
+
+
+def bucketed(docs: DataFrame, text: str, lang: str, bits: np.ndarray, hot: set[tuple[str, str]], buckets: int) -> DataFrame:
+    """(lang, bucket, grams): the longest grams of frequent words, folded and packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, numbers, text_ in met(batches):
+            listed, tail = list(numbers), b"\n" + name.encode()
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w + tail, SEED) for w in listed), np.uint64, len(listed))
+            place = hashes & np.uint64(BITS - 1)
+            frequent = (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            kept = np.append(np.where(frequent, np.arange(len(listed)), -1), -1)  # the last one is behind the end
+            grams, n = folded(longest(kept[text_]), None, len(listed))
+            if not len(grams):
+                continue
+            hashes = np.append(hashes, np.uint64(0))
+            heavy = np.append([(name, w.decode()) in hot for w in listed], False).astype(bool)
+            mixed = hashes[grams[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + hashes[grams[:, 1]] * np.uint64(0xC2B2AE3D27D4EB4F)
+            both = heavy[grams[:, 0]] & heavy[grams[:, 1]]
+            mixed[both] += hashes[grams[both, 2]] * np.uint64(0x165667B19E3779F9)
+            bucket = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1.0))
+            parts = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+            blobs = [packed(listed, grams[rows], n[rows]) for rows in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(parts), pa.string()), pa.array(bucket[order[starts]].astype(np.int32)), pa.array(blobs, pa.binary())],
+                names=["lang", "bucket", "grams"],
+            )
+
+    return spelled(docs, text, lang).mapInArrow(pack, "lang string, bucket int, grams binary")
+
+
+def flows(rows: DataFrame, hot: set[tuple[str, str]], least: int) -> DataFrame:
+    """(lang, key, n) of the words, pairs and grams of three with `least` occurrences, from packed longest grams.
 
     A pair's count is the flow out of its node, a word's count the flow of its pairs; ends of pieces are among both.
     """
-    size = F.size(F.split("key", " "))
-    self_ = F.when(F.col("n") >= least, F.struct("key", "n"))
-
-    def summed(rows: DataFrame, shorter: Column) -> DataFrame:
-        both = F.filter(F.array(shorter, F.when(size > F.lit(1), self_)), lambda x: x.isNotNull())
-        return rows.select("lang", F.inline(both)).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
-    def cut(n_words: int) -> Column:
-        return F.struct(F.substring_index("key", " ", n_words).alias("key"), "n")
-
-    # grams of three pass their count on to their pair, and stay if they are frequent; an end stays as it is
-    both = F.filter(F.array(cut(2), F.when(size == 3, self_)), lambda x: x.isNotNull())
-    pairs = edges.select("lang", F.inline(both)).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    words = summed(pairs, F.when(size < 3, cut(1)))
-    return words.filter(F.col("n") >= least)
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, numbers, all_grams, all_n = key[0].as_py(), Numbers(), [], []
+        for batch in batches:
+            for blob in batch.column("grams"):
+                listed, grams, n = unpacked(blob.as_py())
+                number = np.append(np.fromiter(map(numbers.__getitem__, listed), np.int64, len(listed)), -1)
+                all_grams.append(number[grams])
+                all_n.append(n)
+        grams, n = folded(np.concatenate(all_grams), np.concatenate(all_n), len(numbers))
+        listed = list(numbers)
+        heavy = np.array([(name, w.decode()) in hot for w in listed] + [False])
+
+        def joined(rows: np.ndarray) -> list[bytes]:
+            return [b" ".join([listed[i] for i in row]) for row in rows.tolist()]
+
+        whole = (grams[:, 2] >= 0) & (n >= least)
+        yield _counted(name, joined(grams[whole]), n[whole])
+        starts = np.flatnonzero(np.concatenate([[True], (grams[1:, :2] != grams[:-1, :2]).any(1)]))
+        pairs, n = grams[starts, :2], np.add.reduceat(n, starts)
+        # pairs of two very frequent words have parts in other buckets
+        known = (pairs[:, 1] >= 0) & ((n >= least) | (heavy[pairs[:, 0]] & heavy[pairs[:, 1]]))
+        yield _counted(name, joined(pairs[known]), n[known])
+        starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        yield _counted(name, joined(pairs[starts, :1]), np.add.reduceat(n, starts))
+
+    parts = rows.groupBy("lang", "bucket").applyInArrow(merged, COUNTED)
+    return parts.groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(lang, total) of all words, and (lang, w, n) of the words, pairs and grams of three with `least` occurrences."""
+    known = stored(words(docs, text, lang))
+    sizes = known.groupBy("lang").agg(F.sum("n").alias("total"))
+    total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = {(r["lang"], r["key"]) for r in known.filter(F.col("n") > total / HOT).select("lang", "key").collect()}  # HOT rows at most
+    rows = bucketed(docs, text, lang, frequent_bits(known, least), hot, max(1, -(-total // BUCKET)))
+    return sizes, stored(flows(rows, hot, least).select("lang", F.split("key", " ").alias("w"), "n"))
 
 
 def compacted(heavy: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,10 +344,7 @@ def covering(paths: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cover: int = COVER) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all phrases of two and three words that no longer one covers."""
-    words = stored(folded(docs, text, lang, _words))
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    edges = folded(docs, text, lang, grams(frequent_bits(words, least)))
-    counts = stored(flows(edges, least).withColumn("w", F.split("key", " ")))
+    sizes, counts = counted(docs, text, lang, least)
 
     def of(size: int) -> DataFrame:
         return counts.filter(F.size("w") == size).select("lang", *[F.col("w")[i].alias(f"w{i + 1}") for i in range(size)], "n")

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def got(spark, docs):
 @pytest.mark.parametrize("bits", [64, 1 << 20])
 def test_against_plain_counting(spark, monkeypatch, bits):
     monkeypatch.setattr(co, "SEGMENT", 4)  # paths of several parts
-    monkeypatch.setattr(co, "HELD", 50)  # many hand-overs
+    monkeypatch.setattr(co, "HELD", 500)  # many hand-overs
+    monkeypatch.setattr(co, "BUCKET", 2_000)
+    monkeypatch.setattr(co, "NARROW", 1 << 21 if bits == 64 else 4)  # both forms of folding
     monkeypatch.setattr(co, "BITS", bits)  # a map that lets many rare words pass, and a fine one
     rng = random.Random(2)
     words = ["of", "the", "a", "ist", "Ähre", "ähre", "Of", " ", "x-y", "'t"]
@@ -62,9 +66,9 @@ def test_against_plain_counting(spark, monkeypatch, bits):
 def test_paths_join_edges_that_carry_all_flow(spark):
     docs = [("a b c d e f g", "en")] * 12 + [("z c d e y", "en")] * 10
     df = spark.createDataFrame(docs, "text string, lang string")
-    words = co.folded(df, "text", "lang", co._words)
-    counts = co.flows(co.folded(df, "text", "lang", co.grams(co.frequent_bits(words, 10))), 10)
-    w = F.split("key", " ")
+    sizes, counts = co.counted(df)
+    assert [tuple(r) for r in sizes.collect()] == [("en", 12 * 7 + 10 * 5)]
+    w = F.col("w")
     pairs = counts.filter(F.size(w) == 2).select("lang", w[0].alias("w1"), w[1].alias("w2"), "n")
     heavy = counts.filter(F.size(w) == 3).select("lang", w[0].alias("w1"), w[1].alias("w2"), w[2].alias("w3"), "n")
     paths = co.compacted(heavy, pairs).collect()
@@ -72,7 +76,7 @@ def test_paths_join_edges_that_carry_all_flow(spark):
         ("a b c d", 12, 12, 22), ("z c d", 10, 10, 22), ("c d e", 22, 22, 22), ("d e f g", 12, 22, 12), ("d e y", 10, 22, 10),
     }
     # flows are the counts of the shorter phrases, piece ends included
-    of = {r.key: r.n for r in counts.collect()}
+    of = {" ".join(r.w): r.n for r in counts.collect()}
     assert of["c d"] == 22 and of["f g"] == 12 and of["g"] == 12 and of["y"] == 10
     assert {k: n for k, n in of.items() if " " not in k} == {"a": 12, "b": 12, "c": 22, "d": 22, "e": 22, "f": 12, "g": 12, "z": 10, "y": 10}
 
@@ -90,3 +94,27 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == set() and got(spark, [(None, None)]) == set()
+
+
+@pytest.mark.parametrize("narrow", [4, 1 << 21])
+def test_folding_and_packing(monkeypatch, narrow):
+    monkeypatch.setattr(co, "NARROW", narrow)
+    monkeypatch.setattr(co, "HELD", 20)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.randrange(12))) + rng.choice([".", " ", "\n"]) + " x y" for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": [*texts, None], "lang": ["en"] * 51})
+    want_, got_, parts = Counter(), Counter(), 0
+    for text in texts:
+        for piece in co.pieces(text):
+            want_.update(tuple(piece[i : i + 3]) for i in range(len(piece)))
+    for _, numbers, met in co.met([batch]):
+        parts += 1
+        grams, n = co.folded(co.longest(met), None, len(numbers))
+        if not len(grams):
+            continue
+        again, m = co.folded(np.concatenate([grams, grams]), np.concatenate([n, n]), len(numbers))
+        assert again.tolist() == grams.tolist() and m.tolist() == (2 * n).tolist()
+        listed, back, m = co.unpacked(co.packed(list(numbers), grams, n))
+        for row, k in zip(back.tolist(), m.tolist()):
+            got_[tuple(listed[i] for i in row if i >= 0)] += k
+    assert got_ == want_ and parts > 10
