@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from semaspan.operators.principal import place, principal_scores
 from semaspan.plans.joins import lookup_join
+from semaspan.session import stored
 
 
 def category_means(seeds: DataFrame, cells: DataFrame, value: str = "ppmi") -> DataFrame:
@@ -161,9 +160,6 @@ def scale_endpoints(means: DataFrame, scale: DataFrame, max_basis: int | None =
     return project_cells(means, scale, "category", "mean", max_basis)
 
 
-PCA_DIMENSIONS = 4_000  # a covariance matrix of 128 MB
-
-
 def dense_vectors(cells: DataFrame, words: DataFrame, dimension: int, value: str = "ppmi",
                   key: str = "lemma_pos") -> DataFrame:
     """(key, features): arrays of length `dimension` for PCA, zero where a word has no cell."""
@@ -190,18 +186,18 @@ def with_scale_ends(cells: DataFrame, means: DataFrame, value: str = "ppmi", key
 
 
 def pca_2d(vectors: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """(key, pc1, pc2): centred vectors on their first two principal components.
+    """(key, pc1, pc2): centred vectors on their first two principal components, for arrays of any length.
 
-    The sign of a component is free; here its largest loading is positive. The covariance matrix, of the
-    basis dimension squared, reaches the driver, so vectors are at most PCA_DIMENSIONS long.
+    Each row is a vector of its own, also where keys repeat. The sign of a component is free; here its largest
+    loading is positive.
     """
-    if (vectors.select(F.max(F.size(features))).first()[0] or 0) > PCA_DIMENSIONS:
-        raise ValueError(f"vectors of more than {PCA_DIMENSIONS} places have too large a covariance matrix")
-    raw = vectors.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_raw"))
-    centring = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred").fit(raw)
-    centred = centring.transform(raw)
-    model = PCA(k=2, inputCol="_centred", outputCol="_pcs").fit(centred)
-    loadings = model.pc.toArray()
-    signs = [float(np.sign(loadings[np.argmax(np.abs(loadings[:, c])), c])) for c in (0, 1)]
-    scores = model.transform(centred).select(key, vector_to_array("_pcs").alias("_s"))
-    return scores.select(key, *[(F.col("_s")[c] * signs[c]).alias(f"pc{c + 1}") for c in (0, 1)])
+    rows = stored(vectors.select(key, features).withColumn("row", F.monotonically_increasing_id()))
+    cells = rows.select("row", place(F.col(features)).alias("i", "x"))
+    scores = principal_scores(cells, rows, 2)
+    return rows.select("row", key).join(scores, "row").select(key, *[F.col("scores")[c].alias(f"pc{c + 1}") for c in (0, 1)])
+
+
+def pca_of_cells(cells: DataFrame, words: DataFrame, value: str = "ppmi", key: str = "lemma_pos") -> DataFrame:
+    """(key, pc1, pc2) of the listed words, once each, straight from their cells; a word without cells is the zero vector."""
+    scores = principal_scores(cells, words.select(key).distinct(), 2, key, "basis_index", value)
+    return scores.select(key, *[F.col("scores")[c].alias(f"pc{c + 1}") for c in (0, 1)])

@@ -446,7 +446,7 @@ def pca_words(spark, sf):
     cells = proj.with_scale_ends(space.ppmi, proj.category_means(space.seeds, space.ppmi))
     ends = [(f"scale_end_{c}",) for c in (1, 2)]
     words = space.seeds.select("lemma_pos").unionByName(spark.createDataFrame(ends, "lemma_pos string"))
-    found = proj.pca_2d(proj.dense_vectors(cells, words, DIMENSION), "lemma_pos")
+    found = proj.pca_of_cells(cells, words)
     return found.select(F.col("lemma_pos").alias("word"), r6("pc1"), r6("pc2"))
 
 
