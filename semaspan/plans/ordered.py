@@ -1,4 +1,4 @@
-"""Ranks, running aggregates and exact quantiles that never put a whole group into one task.
+"""Ranks and running aggregates in global order, and exact quantiles by counting, that never put a whole group into one task.
 
 `ordered` sorts all rows with Spark's range partitioning and settles them, so each partition is one
 slice of the global order. Running values are computed inside the slices and shifted by what the
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semaspan.plans.joins import lookup_join
-from semaspan.session import settle
+from semaspan.session import settle, stored
 
 # Up to this many rows a top-k is taken with a heap per task; beyond it with a distributed sort.
 HEAP_ROWS = 10_000
@@ -103,39 +103,74 @@ def mid_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str = "mid
     return upto.select(*groups, value, "n", (F.col("_upto") - (F.col("n") - 1) / F.lit(2.0)).cast("double").alias(name))
 
 
+FIRST_BUCKETS = 30  # buckets for each doubling of a value in the first round
+BUCKETS = 1 << 16  # equal parts of a range in the later ones
+
+
+def _magnitude(x: Column) -> Column:
+    """A whole number that never falls as x rises: sign and binary logarithm in steps; infinities and NaN at the ends."""
+    steps = F.floor((F.greatest(F.lit(-1100.0), F.least(F.lit(1100.0), F.log2(F.abs(x)))) + 1101.0) * FIRST_BUCKETS)
+    return F.when(F.isnan(x), F.lit(1 << 20)).when(x == 0, F.lit(0)).when(x > 0, steps).otherwise(-steps).cast("int")
+
+
 def group_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation, plus the number of rows `n`.
 
-    Works on (group, value) counts in global order, so one group may hold any share of the rows.
+    Radix selection: each round counts values in buckets that rise with them, folded per task, and finds the bucket
+    that holds a wanted place; the next round looks into these buckets only, until each holds one value. The first
+    round's buckets follow the magnitude of values, later ones part a bucket's range evenly, so doubles take four rounds
+    at most and columns of few values fewer. Nothing is sorted but a group's buckets, of which there are no more than
+    some 130,000 however large the group. Rows with a null value or a null group take no part.
     """
     wanted = list(groups)
-    if not groups:  # one group: a settled column, so that the join below keeps an equality
+    if not groups:  # one group: a settled column, so that joins keep an equality
         groups, df = ["_all"], df.withColumn("_all", F.lit(0))
-    counts = ordered(value_counts(df, groups, value), [*groups, value])
-    upto = running(counts, groups, {"_upto": ("sum", "n")})
-    sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
-    placed = lookup_join(upto, sizes, groups, salts=8)
-    first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1  # 0-based positions of this value
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
-
-    picks = []
+    present = F.col(value).isNotNull()
+    for g in groups:
+        present = present & F.col(g).isNotNull()
+    # negative zero is the same value as zero
+    rows = stored(df.filter(present).select(*groups, (F.col(value).cast("double") + 0.0).alias("_x")))
+    buckets = [F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+
+    hist = rows.groupBy(*groups, _magnitude(F.col("_x")).alias("_bucket")).agg(*buckets)
+    upto = F.sum("_n").over(W.partitionBy(*groups).orderBy("_bucket"))
+    counted = hist.select("*", upto.alias("_upto"), F.sum("_n").over(W.partitionBy(*groups)).alias("_size"))
+    spots = []
     for name, q in quantiles.items():
         spot = (F.col("_size") - 1) * F.lit(float(q))
-        picks += [
-            at(F.floor(spot)).alias(f"_low_{name}"),
-            at(F.ceil(spot)).alias(f"_high_{name}"),
-            F.max(spot - F.floor(spot)).alias(f"_frac_{name}"),
-        ]
-    found = placed.groupBy(*groups).agg(F.max("_size").alias("n"), *picks)
-    return found.select(
+        for side, at in (("low", F.floor(spot)), ("high", F.ceil(spot))):
+            spots.append(F.struct(F.lit(name).alias("_name"), F.lit(side).alias("_side"), at.alias("_at"), (spot - F.floor(spot)).alias("_part")))
+    inside = F.filter(F.array(*spots), lambda p: (p["_at"] >= F.col("_upto") - F.col("_n")) & (p["_at"] < F.col("_upto")))
+    places = stored(counted.select(*groups, "_size", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), F.inline(inside)))
+    open_ = F.col("_lo") < F.col("_hi")
+    while not (left := places.filter(open_)).isEmpty():
+        ranges = left.select(*groups, "_lo", "_hi", "_below").distinct()
+        looked = lookup_join(rows, ranges, groups, salts=8).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        part = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS))
+        keys = [*groups, "_from", "_to"]
+        named = looked.select(*groups, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), "_below", part.alias("_bucket"), "_x")
+        upto = F.col("_below") + F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket"))
+        counted = named.groupBy(*keys, "_below", "_bucket").agg(*buckets).select("*", upto.alias("_upto"))
+        asked = left.select(*groups, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), "_size", "_name", "_side", "_at", "_part")
+        found = asked.join(counted, keys).filter((F.col("_at") >= F.col("_upto") - F.col("_n")) & (F.col("_at") < F.col("_upto")))
+        found = found.select(*groups, "_size", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), "_name", "_side", "_at", "_part")
+        places = stored(places.filter(~open_).unionByName(found))
+
+    def picked(name: str, side: str, column: str = "_lo") -> Column:
+        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(column)))
+
+    ends = [picked(q, side).alias(f"_{side}_{q}") for q in quantiles for side in ("low", "high")]
+    parts = [picked(q, "low", "_part").alias(f"_part_{q}") for q in quantiles]
+    chosen = places.groupBy(*groups).agg(F.max("_size").alias("n"), *ends, *parts)
+    return chosen.select(
         *wanted,
         "n",
         *[
-            (F.col(f"_low_{q}") + F.col(f"_frac_{q}") * (F.col(f"_high_{q}") - F.col(f"_low_{q}"))).alias(q)
+            F.when(F.col(f"_part_{q}") == 0, F.col(f"_low_{q}"))
+            .otherwise(F.col(f"_low_{q}") + F.col(f"_part_{q}") * (F.col(f"_high_{q}") - F.col(f"_low_{q}")))
+            .alias(q)
             for q in quantiles
         ],
     )

@@ -90,3 +90,32 @@ def test_bounded_tables_are_broadcast_and_unbounded_ones_are_not_forced(spark):
     free = lookup_join(stream, table, "k", salts=4)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in hinted or "broadcast" in hinted.lower()
     assert "ResolvedHint" not in free and "_salt" in free
+
+
+def test_quantiles_of_values_of_all_magnitudes(spark, many_slices):
+    rng = np.random.default_rng(8)
+    wide = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, float("inf")]])
+    near = 1.0 + rng.integers(0, 400, 500) * 2.0**-52  # neighbouring doubles
+    probs = {"a": 0.0, "q1": 0.25, "m": 0.5, "x": 0.9, "z": 1.0}
+    for group in (wide, near, np.array([3.0]), np.full(50, -2.5), rng.integers(-9, 9, 400).astype(float)):
+        rows = [("hot", float(x)) for x in group] + [("few", 1.0), ("few", 2.0), ("hot", None), (None, 4.0)]
+        got = {r.g: r for r in group_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()}
+        assert set(got) == {"hot", "few"} and got["few"].m == 1.5 and got["hot"].n == len(group)
+        with np.errstate(invalid="ignore"):
+            for name, q in probs.items():
+                spot, ranked = (len(group) - 1) * q, np.sort(group)
+                low, high = ranked[int(np.floor(spot))], ranked[int(np.ceil(spot))]
+                want = low if spot == np.floor(spot) else low + (spot - np.floor(spot)) * (high - low)
+                assert got["hot"][name] == pytest.approx(want, rel=1e-15), (name, group[:3])
+    assert group_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", probs).count() == 0
+
+
+def test_quantiles_sort_no_values(spark):
+    """Only buckets are put in order, and a group of most rows is folded before the shuffle."""
+    df = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 10 < 7, "hot").otherwise("rest").alias("g"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    found = group_quantiles(df, ["g"], "v", {"m": 0.5})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort " not in plan
+    values = [i * 7919 % 100_003 for i in range(200_000)]
+    got = {r.g: r.m for r in found.collect()}
+    assert got == {"hot": np.median([v for i, v in enumerate(values) if i % 10 < 7]), "rest": np.median([v for i, v in enumerate(values) if i % 10 >= 7])}
