@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from semaspan.plans.joins import lookup_join
+from semaspan.plans.joins import BROADCAST_ROWS, lookup_join
 from semaspan.session import settle, stored
 
 # Up to this many rows a top-k is taken with a heap per task; beyond it with a distributed sort.
@@ -145,9 +145,11 @@ def group_quantiles(
     inside = F.filter(F.array(*spots), lambda p: (p["_at"] >= F.col("_upto") - F.col("_n")) & (p["_at"] < F.col("_upto")))
     places = stored(counted.select(*groups, "_size", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), F.inline(inside)))
     open_ = F.col("_lo") < F.col("_hi")
-    while not (left := places.filter(open_)).isEmpty():
+    while n := (left := places.filter(open_)).count():
         ranges = left.select(*groups, "_lo", "_hi", "_below").distinct()
-        looked = lookup_join(rows, ranges, groups, salts=8).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        # few ranges are sent to the values, which then stay where they are
+        looked = rows.join(F.broadcast(ranges), list(groups)) if n <= BROADCAST_ROWS else lookup_join(rows, ranges, groups, salts=8)
+        looked = looked.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
         part = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS))
         keys = [*groups, "_from", "_to"]
         named = looked.select(*groups, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), "_below", part.alias("_bucket"), "_x")
