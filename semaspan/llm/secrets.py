@@ -4,7 +4,10 @@ Three fixed kinds are found by pattern. On top of them a small lexer reads sourc
 into pairs of a name and what is assigned to it: quoted strings, bare words, names of earlier constants, and
 sums of these. Constants are propagated to where they are used, and a literal is scored by how sensitive its
 target name is and by how random it looks. A literal above the threshold adds a span of kind `literal`, at
-the place where it is written, unless a fixed kind covers it already.
+the place where it is written, unless a span of a fixed kind holds it whole; where they only overlap, both stand, and
+the mask hides both. Assignments are read with and without types, as entries of mappings, subscripts, elements of
+markup, preprocessor definitions, and calls of a name with a string; values as bare words, strings with their prefixes,
+in brackets and on the next line. Each value ends where the next assignment begins, so a text is read in linear time.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and then by kind.
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -62,10 +65,23 @@ LONGEST_VALUE = 4096  # characters up to which a value is kept as text; of longe
 MOST_COUNTED = 1e12  # counts of characters are scaled down beyond
 THRESHOLD = 0.45
 
+# A name and what parts it from its value: an assignment with or without a type, a mapping, the key of a subscript, a
+# definition of the preprocessor, or the first argument of a call whose second one is a string.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,79}"
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=q)[\x20\t]*(?::=|=>|[:=])(?!=)[\x20\t]*"""
+    rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)\]?[\x20\t]*"""
+    r"""(?::[\x20\t]*[A-Za-z_][A-Za-z0-9_.\[\]|\x20]{0,79}?[\x20\t]*=(?![=>])|:=|=>|[:=])(?!=)[\x20\t]*"""
+    rf"""|\#define[\x20\t]+(?P<defined>{_NAME})[\x20\t]+(?=["'])|\([\x20\t]*["'](?P<argument>{_NAME})["'][\x20\t]*,[\x20\t]*(?=["'`])"""
 )
-_ATOM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-]+)""")
+# What may stand before the value: a line break before a string, a bracket, a scheme, the prefix of a string.
+_LEAD = re.compile(r"""(?:\\?\r?\n[\x20\t]*(?=[fFrRbBuU]{0,2}["'`]))?(?:\([\x20\t]*)?(?:(?:Bearer|Basic)[\x20\t]+)?(?:[fFrRbBuU]{1,2}(?=["'`]))?""")
+# Strings of three quotes, of one, and bare words, in which `=` stands at the end only, as padding.
+_ATOM = re.compile(
+    r"""\"\"\"((?:[^"\\]|\\.|"(?!""))*)\"\"\"|\'\'\'((?:[^'\\]|\\.|'(?!''))*)\'\'\'|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"""
+    r"""|([A-Za-z0-9+/_.\-]+(?:={1,2}(?![A-Za-z0-9+/_.\-=]))?)"""
+)
+_BARE = 6
+_TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
 _PLUS = re.compile(r"[\x20\t]*[+][\x20\t]*")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
@@ -172,10 +188,11 @@ def assigned_literals(text: str) -> list[tuple[str, float, int, int]]:
     found: dict[tuple[int, int], tuple[str, float]] = {}
     constants: dict[str, Value] = {}
     for pair in _PAIR.finditer(text):
-        parts, at = [], pair.end()
+        parts, at = [], _LEAD.match(text, pair.end()).end()
+        target = pair["name"] or pair["defined"] or pair["argument"]
         while atom := _ATOM.match(text, at):
             word = atom[atom.lastindex]
-            if atom.lastindex == 3 and word in constants:
+            if atom.lastindex == _BARE and word in constants:
                 parts.append(constants[word])
             else:
                 parts.append((word, atom.span(atom.lastindex)))
@@ -185,25 +202,29 @@ def assigned_literals(text: str) -> list[tuple[str, float, int, int]]:
             at = plus.end()
         if not parts:
             continue
-        value = constants[pair["name"]] = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
-        if sensitive := name_score(pair["name"]):
+        value = constants[target] = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
+        if sensitive := name_score(target):
             score = sensitive * value.score()
             if score >= THRESHOLD:
                 for place in value.places(score):
                     if place not in found or found[place][1] < score:
-                        found[place] = (pair["name"], score)
+                        found[place] = (target, score)
+    for tag in _TAG.finditer(text) if "</" in text else ():
+        score = name_score(tag["name"]) * Value([(tag["value"], tag.span("value"))]).score()
+        if score >= THRESHOLD:
+            found.setdefault(tag.span("value"), (tag["name"], score))
     return [(name, score, *place) for place, (name, score) in found.items()]
 
 
 def find(text: str) -> list[dict]:
     """All spans of one text, in order."""
     spans = [{"kind": kind, "start": a, "end": b, "name": None, "score": 1.0} for kind, a, b in base_spans(text)]
-    if ":" in text or "=" in text:
+    if ":" in text or "=" in text or "#define" in text or "</" in text or "(" in text:
         covered = sorted((s["start"], s["end"]) for s in spans)
         reach = list(accumulate((end for _, end in covered), max))  # how far the spans up to each one go
         for name, score, a, b in assigned_literals(text):
-            before = bisect_left(covered, (b, 0))
-            if b > a and not (before and reach[before - 1] > a):
+            before = bisect_right(covered, (a, len(text)))  # base spans that start at it or earlier
+            if b > a and not (before and reach[before - 1] >= b):
                 spans.append({"kind": "literal", "start": a, "end": b, "name": name, "score": score})
     return sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from semaspan.llm import secrets
 
@@ -75,3 +76,35 @@ def test_long_values_are_scored_and_masked(spark):
     assert not secrets.find(f"signing_key = '{'word ' * 2000}'") and not secrets.find(f"signing_key = '<{key}>'")
     grown = "x = 'aB3xY7kQ'\n" + "x = x + x\n" * 5000 + "signing_key = x\n"
     assert [grown[s["start"] : s["end"]] for s in secrets.find(grown)] == ["aB3xY7kQ"]
+
+
+def test_forms_of_assignment():
+    key = "Zx9Qw8Er7Ty6Ui5Op"
+    forms = [
+        'signing_key: str = "{}"', "signing_key: Optional[str] = '{}'", 'os.environ["SIGNING_KEY"] = "{}"', '#define SIGNING_KEY "{}"',
+        'signing_key = ("{}")', 'signing_key = """{}"""', "signingKey = `{}`;", 'signing_key =\n    "{}"', "signing_key = \\\n  '{}'",
+        "<signingKey>{}</signingKey>", 'cfg.set("signing_key", "{}")', "Authorization: Bearer {}", 'signing_key = f"{}"', "signing-key: {}", "SIGNING_KEY={}==",
+        'a = "{}"\nsigning_key: str = a', "signing_key := '{}'", "'signing_key' => '{}'",
+    ]
+    for form in forms:
+        text = "# é\n" + form.format(key) + "\nplain = 3\n"
+        found = [text[s["start"] : s["end"]] for s in secrets.find(text) if s["kind"] == "literal"]
+        assert [f.rstrip("=") for f in found] == [key], form
+    typed = 'x: str = "Zx9Qw8Er7Ty6Ui5Op"\nsigning_key: str = "pppppppp"\n'  # the type is no constant
+    assert secrets.find(typed) == []
+
+
+def test_what_overlaps_a_base_span_is_masked_whole(spark):
+    for text, rest in (
+        ('password = "abcdefghijkl!Zq9#rest-of-it"', "rest-of-it"),
+        ('signing_key = "Zx9Qw8Er7Ty6-0123456789abcdef0123-PqRsTuVwXy"', "PqRsTuVwXy"),
+    ):
+        row = secrets.with_secrets(spark.createDataFrame([(text,)], "text string")).select(secrets.masked("text", "secrets").alias("m")).first()
+        assert rest not in row.m and "[SECRET]" in row.m
+
+
+def test_long_texts_are_read_in_linear_time():
+    began = time.perf_counter()
+    for text in ("a=" * 500_000, "a='" * 300_000, 'a="""' * 200_000, "a+" * 400_000, "key: " * 200_000, "<a>" * 200_000, "x" * 300_000, "a: b " * 100_000):
+        secrets.find(text)
+    assert time.perf_counter() - began < 60
