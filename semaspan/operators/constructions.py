@@ -168,11 +168,13 @@ def score_table(corresponding: DataFrame, scores: DataFrame, score: str = "score
     """(pair, kind, other columns of `scores`): what the tests on pairs compare.
 
     corresponding: (lv_pos, nominal_pos, fvc_pos, fvc_observed); scores: (construction, kind, ..., score). A pair
-    is named by its construction; the scores of one plain verb serve all pairs that correspond to it.
+    is a construction and one plain verb and is named by its three words, so a construction with several plain verbs is
+    tested against each by itself. The scores of a construction serve all its pairs, those of a plain verb all that
+    correspond to it.
     """
-    seen = corresponding.filter("fvc_observed").withColumn("pair", F.concat_ws("_", "lv_pos", "nominal_pos"))
+    seen = corresponding.filter("fvc_observed").withColumn("pair", F.concat_ws("_", "lv_pos", "nominal_pos", "fvc_pos"))
     roles = seen.select("pair", F.explode(F.array(
-        F.struct(F.col("pair").alias("construction"), F.lit("LVC").alias("kind")),
+        F.struct(F.concat_ws("_", "lv_pos", "nominal_pos").alias("construction"), F.lit("LVC").alias("kind")),
         F.struct(F.col("fvc_pos").alias("construction"), F.lit("FVC").alias("kind")),
     )).alias("_r")).select("pair", "_r.*").distinct()
     bound = None if max_groups is None else 2 * max_groups

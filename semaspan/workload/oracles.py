@@ -542,12 +542,17 @@ ORACLES: dict[str, str] = {
             FROM tokens GROUP BY doc_id, line_no) USING (doc_id, line_no) WHERE fine"""),
     "group_projection": _sql(("group_scores",), f"SELECT construction, kind, doc_id, line_no, {_r('x', 'projection')} FROM group_scores"),
     "score_table": _sql(("group_scores", "seen", "pairs"), f"""
-        SELECT * FROM (WITH roles AS (
-            SELECT DISTINCT lv_pos || '_' || nominal_pos AS pair, fvc_pos FROM pairs
+        SELECT * FROM (WITH verbs AS (
+            SELECT fvc_pos, lead(fvc_pos) OVER (ORDER BY fvc_pos) AS other FROM (SELECT DISTINCT fvc_pos FROM pairs)),
+        listed AS (
+            SELECT lv_pos, nominal_pos, fvc_pos FROM pairs
+            UNION SELECT lv_pos, nominal_pos, other FROM pairs JOIN verbs USING (fvc_pos) WHERE other IS NOT NULL),
+        roles AS (
+            SELECT DISTINCT lv_pos || '_' || nominal_pos AS lvc, lv_pos || '_' || nominal_pos || '_' || fvc_pos AS pair, fvc_pos FROM listed
             JOIN seen s ON s.kind = 'LVC' AND s.verb = lv_pos AND s.nominal = nominal_pos
             WHERE fvc_pos IN (SELECT verb FROM seen WHERE kind = 'FVC'))
         SELECT DISTINCT pair, kind, doc_id, line_no, {_r('x', 'projection')} FROM roles JOIN group_scores g
-        ON (g.kind = 'LVC' AND g.construction = pair) OR (g.kind = 'FVC' AND g.construction = fvc_pos))"""),
+        ON (g.kind = 'LVC' AND g.construction = lvc) OR (g.kind = 'FVC' AND g.construction = fvc_pos))"""),
     "clean_groups": _sql(("grouped",), f"""
         SELECT DISTINCT construction, sentence FROM ({_STRAY}) WHERE
             contains(' ' || sentence || ' ', ' ' || split_part(construction, '_', 1) || '_' || split_part(construction, '_', 2) || ' ')

@@ -543,8 +543,8 @@ def group_projection(spark, sf):
 @query
 def score_table(spark, sf):
     space = Space(spark, sf)
-    matched = cons.corresponding_groups(space.groups, space.pairs)
-    table = cons.score_table(matched, _group_projections(space), "projection", MAX_PAIRS)
+    matched = cons.corresponding_groups(space.groups, views.with_second_verbs(space.pairs))
+    table = cons.score_table(matched, _group_projections(space), "projection", 2 * MAX_PAIRS)
     return table.select("pair", "kind", *SENTENCE, r6("projection"))
 
 

@@ -250,3 +250,10 @@ class Space:
     def grouped_sentences(self) -> DataFrame:
         """(construction, kind, doc_id, line_no, sentence)."""
         return self.hits.select("construction", "kind", *SENTENCE, F.array_join("ws", " ").alias("sentence"))
+
+
+def with_second_verbs(pairs: DataFrame) -> DataFrame:
+    """Pairs, and for each construction the next plain verb by name beside its own; a few dozen verbs are put in order."""
+    following = pairs.select("fvc_pos").distinct().select("fvc_pos", F.lead("fvc_pos").over(W.orderBy("fvc_pos")).alias("_next"))
+    second = pairs.join(following.filter("_next IS NOT NULL"), "fvc_pos").select("lv_pos", "nominal_pos", F.col("_next").alias("fvc_pos"))
+    return pairs.unionByName(second).distinct()

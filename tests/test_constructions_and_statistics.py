@@ -275,3 +275,17 @@ def test_null_scores_take_no_part(spark):
     assert summ.pair_notes(more, "all").first().lvc_n == summ.pair_notes(more, "none").first().lvc_n == 12
     empty = summ.column_summary(more.withColumn("none", F.lit(None).cast("double")), ["score", "none"]).filter("variable = 'none'").first()
     assert empty.n == 0 and empty["median"] is None
+
+
+def test_a_construction_is_tested_against_each_plain_verb_by_itself(spark):
+    groups = [("take", "walk", "walk", True), ("take", "walk", "stroll", True), ("take", "walk", "march", False), ("have", "walk", "walk", True)]
+    corresponding = spark.createDataFrame(groups, "lv_pos string, nominal_pos string, fvc_pos string, fvc_observed boolean")
+    scores = spark.createDataFrame(
+        [("take_walk", "LVC", 1.0), ("have_walk", "LVC", 2.0), ("walk", "FVC", 3.0), ("stroll", "FVC", 4.0), ("march", "FVC", 5.0), ("walk", "FVC", None)],
+        "construction string, kind string, score double",
+    )
+    got = sorted(tuple(r) for r in cons.score_table(corresponding, scores).collect())
+    assert got == [
+        ("have_walk_walk", "FVC", 3.0), ("have_walk_walk", "LVC", 2.0), ("take_walk_stroll", "FVC", 4.0), ("take_walk_stroll", "LVC", 1.0),
+        ("take_walk_walk", "FVC", 3.0), ("take_walk_walk", "LVC", 1.0),
+    ]
