@@ -17,25 +17,38 @@ def _list(words: list[str]) -> str:
 
 def _license_sql() -> str:
     phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"('{label}', {_list(licenses.template_words(t))})" for label, t in licenses.TEMPLATES.items())
+    templates = ", ".join(
+        f"('{label}', {_list(licenses.template_words(t))}, {licenses.needed_words(t)}, {licenses.block_words(t)}, "
+        f"{_list(licenses.template_words(licenses.REQUIRED.get(label, '')))}::VARCHAR[], "
+        f"{_list(licenses.template_words(licenses.EXCLUDED.get(label, '')))}::VARCHAR[])"
+        for label, t in licenses.TEMPLATES.items()
+    )
     return f"""
     WITH docs AS (SELECT doc_id, text, {_LICENSE_WORDS.format('text')} AS words FROM documents),
     phrases(phrase, label) AS (VALUES {phrases}),
-    templates(label, words) AS (VALUES {templates}),
+    templates(label, words, needed, length, required, excluded) AS (VALUES {templates}),
     places AS (
         SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1:i + len(phrase)] = phrase)) AS place
         FROM docs, phrases),
     base AS (
         SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
         FROM places GROUP BY doc_id),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-    blocks AS (SELECT doc_id, list_distinct({_LICENSE_WORDS.format('line')}) AS words FROM lines),
+    likely AS (
+        SELECT doc_id, d.words AS text, t.* FROM docs d JOIN templates t ON len(list_intersect(d.words, t.words)) >= needed),
+    starts AS (
+        SELECT *, unnest(list_filter(range(len(text)), lambda i: list_contains(words, text[i + 1]))) AS place FROM likely),
+    blocks AS (
+        SELECT doc_id, label, words, needed, required, excluded, place // {licenses.piece_words(licenses.TEMPLATES)} AS piece,
+            list_distinct(text[place + 1:place + length]) AS block
+        FROM starts),
     shared AS (
-        SELECT doc_id, label, len(list_intersect(b.words, t.words)) AS n, len(t.words) AS size
-        FROM blocks b JOIN templates t ON len(b.words) >= {licenses.THRESHOLD} * len(t.words) - 1e-9),
+        SELECT doc_id, label, piece, max(len(list_intersect(block, words)) / len(words)) AS containment
+        FROM blocks
+        WHERE len(list_intersect(block, words)) >= needed AND list_has_all(block, required) AND NOT list_has_any(block, excluded)
+        GROUP BY doc_id, label, piece),
     found AS (
-        SELECT doc_id, count(*) AS n_matches, max(n / size) AS best, list(DISTINCT label) AS labels
-        FROM shared WHERE n >= {licenses.THRESHOLD} * size - 1e-9 GROUP BY doc_id)
+        SELECT doc_id, count(*) AS n_matches, max(containment) AS best, list(DISTINCT label) AS labels
+        FROM shared GROUP BY doc_id)
     SELECT doc_id, len(docs.words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
         coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
         coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
