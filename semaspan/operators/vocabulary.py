@@ -48,8 +48,10 @@ def fold_numerals(freqs: DataFrame, lexicon: DataFrame, ranked: bool = True) ->
         "lemma_pos",
         F.when((F.size(parts) == 2) & (F.col("lemma_pos") != "one_PRON"), parts).alias("_parts"),
     ).select("freq", "lemma_pos", F.col("_parts")[0].alias("lemma"), F.col("_parts")[1].alias("tag"))
-    known = lexicon.select("lemma").withColumn("_numeral", F.lit(True))
-    marked = lookup_join(split, known, "lemma", "left")
+    # tokens without a lemma are looked up by themselves, as nulls would all meet in one task; what they find is not used
+    keyed = split.withColumn("_key", F.coalesce("lemma", F.concat(F.lit(" "), "lemma_pos")))
+    known = lexicon.select(F.col("lemma").alias("_key")).withColumn("_numeral", F.lit(True))
+    marked = lookup_join(keyed, known, "_key", "left")
     numeral = F.col("lemma").isNotNull() & (has_digit(F.col("lemma")) | F.col("_numeral").isNotNull())
     folded = (
         marked.select("freq", F.when(numeral, F.concat(F.lit(ANON_NUMERAL + "_"), "tag")).otherwise(F.col("lemma_pos")).alias("lemma_pos"))

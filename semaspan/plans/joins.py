@@ -25,8 +25,8 @@ def lookup_join(
         BROADCAST_ROWS the table is broadcast and the stream does not move. The bound is checked while
         the table is read: one row more and the query fails instead of sending a large table.
     salts: without such a bound both sides are shuffled. Give salts > 1 when few keys can hold a
-        large share of the stream: its rows are spread over sub-keys by a hash of their other columns,
-        and the table is repeated once for each sub-key. There are at least `salts` of them, more where
+        large share of the stream: its rows are spread over sub-keys by a hash of their other columns
+        (by place, if they have none), and the table is repeated once for each sub-key. There are at least `salts` of them, more where
         the session has many shuffle partitions.
     """
     keys = [on] if isinstance(on, str) else list(on)
@@ -35,8 +35,10 @@ def lookup_join(
     if salts <= 1:
         return stream.join(table, keys, how)
     salts = max(salts, int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    spread = [c for c in stream.columns if c not in keys] or keys
-    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    others = [c for c in stream.columns if c not in keys]
+    # rows of nothing but the key are told apart by their places
+    spread = F.xxhash64(*others) if others else F.monotonically_increasing_id()
+    salted = stream.withColumn("_salt", F.pmod(spread, F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

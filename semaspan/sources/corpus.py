@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semaspan.session import stored
+from semaspan.sources.group_files import group_of
 
 
 def read_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -47,12 +48,13 @@ def read_numbered_corpus(spark: SparkSession, path: str | list[str]) -> DataFram
 
 
 def read_groups(spark: SparkSession, folder: str, value: str = "sentence", pattern: str = "*.txt") -> DataFrame:
-    """(construction, value): lines of all group files under a folder, the file name as group."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
-        .select("value", F.substring_index("_metadata.file_name", ".txt", 1).alias("construction"))
-    )
-    return lines.select("construction", F.col("value").alias(value))
+    """(construction, value): lines of all group files under a folder and the folders in it.
+
+    The file name without `.txt` is the group; files `name~1.txt`, `name~2.txt` and so on hold more of `name`.
+    Names are read as `group_files.write_group_files` writes them; a name that is no such code is taken as it is.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    return lines.select(group_of(F.col("_metadata.file_name")).alias("construction"), F.col("value").alias(value))
 
 
 def read_group_values(spark: SparkSession, folder: str, value: str = "score", pattern: str = "*.txt") -> DataFrame:

@@ -397,6 +397,7 @@ ORACLES: dict[str, str] = {
         SELECT {_XML} AS xml FROM lines LEFT JOIN (
             SELECT doc_id, line_no, {_XML_BODY} AS body FROM tokens GROUP BY doc_id, line_no) USING (doc_id, line_no)"""),
     "group_scan": _sql(("grouped",), "SELECT construction, sentence FROM grouped"),
+    "group_folders": _sql(("grouped",), "SELECT construction, sentence FROM grouped"),
     "sink_roundtrip": _sql(("targets",), f"SELECT {_big('voc_index')}, lemma_pos FROM targets"),
     # tokens of XML and of lines
     "xml_tokens": _sql(("joined", "tokens"), """

@@ -20,7 +20,7 @@ from semaspan.operators import vectors as vec
 from semaspan.operators import vocabulary as voc
 from semaspan.operators import weighting as wgt
 from semaspan.session import scratch_folder, settle
-from semaspan.sources import corpus, sinks, tables, xml
+from semaspan.sources import corpus, group_files, sinks, tables, xml
 from semaspan.workload import views
 from semaspan.workload.views import DIMENSION, MAX_PAIRS, MIN_LENGTH, SENTENCE, VOCABULARY, Space
 
@@ -110,6 +110,13 @@ def xml_scan(spark, sf):
 
 @query
 def group_scan(spark, sf):
+    folder = scratch_folder(spark)
+    group_files.write_group_files(Space(spark, sf).grouped_sentences, folder)
+    return corpus.read_groups(spark, folder).select("construction", "sentence")
+
+
+@query
+def group_folders(spark, sf):
     folder = scratch_folder(spark)
     sinks.write_groups(Space(spark, sf).grouped_sentences, folder)
     return sinks.read_written_groups(spark, folder).select("construction", "sentence")

@@ -1,6 +1,7 @@
 """Readers, writers and incremental runs on small files."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,11 @@ from pyspark.sql import functions as F
 from semaspan.operators.constructions import align_renditions
 from semaspan.operators.cooccurrence import assemble_vectors
 from semaspan.operators.vectors import to_long
+from semaspan.operators.vocabulary import fold_numerals
+from semaspan.plans.joins import lookup_join
 from semaspan.sources import sinks, tables
 from semaspan.sources.corpus import read_corpus, read_group_values, read_groups, read_numbered_corpus
+from semaspan.sources.group_files import write_group_files
 from semaspan.sources.xml import (
     SPOKEN_2014, WRITTEN_AND_SPOKEN, kept_tokens, prepare_corpus, read_xml_sentences, rendered_tokens, sentence_tokens,
 )
@@ -96,6 +100,51 @@ def test_group_folders(spark, tmp_path):
     assert sorted(r.score for r in read_group_values(spark, str(tmp_path / "n")).collect()) == [-2.0, 1.5]
 
 
+NAMES = ["007", "7", "a/b", "", None, ".x", "_y", "~1", "x", "x~1", "50%", "%41", "ü ß", "a+b", "k:l", "b\\c", "n\nl", "g=h", "q.txt", "%", "%%"]
+
+
+def test_group_files(spark, tmp_path, monkeypatch, many_slices):
+    """Any group name comes back from its files, also a large group's, from folders in folders."""
+    monkeypatch.setattr("semaspan.sources.sinks.FILE_ROWS", 40)
+    rows = [(n, f"line {i}", i) for i, n in enumerate(NAMES)] + [("x", f"more {i}", 0) for i in range(200)]
+    rows += [("007", None, 1), ("007", "", 1), ("007", "twice", 1), ("007", "twice", 1)]
+    groups = spark.createDataFrame(rows, "construction string, sentence string, line int")
+    write_group_files(groups, str(tmp_path / "deep" / "er"))
+    got = map(tuple, read_groups(spark, str(tmp_path)).collect())
+    assert Counter(got) == Counter((n, s or "") for n, s, _ in rows)
+    names = {f.name for f in (tmp_path / "deep" / "er").iterdir() if not f.name.startswith(".")}
+    assert {"007.txt", "x.txt", "x~1.txt", "x%7E1.txt", "%2Ex.txt", "%.txt", "%%.txt", "ü ß.txt", "_SUCCESS"} <= names
+    assert not any(n.startswith("_staged") for n in names)
+    with pytest.raises(FileExistsError):
+        write_group_files(groups, str(tmp_path / "deep" / "er"))
+
+
+def test_group_files_of_nothing_and_of_a_failed_task(spark, tmp_path):
+    groups = spark.createDataFrame([("a", "x"), ("b", "y")], "construction string, sentence string")
+    write_group_files(groups.limit(0), str(tmp_path / "none"))
+    assert read_groups(spark, str(tmp_path / "none")).collect() == []
+    broken = F.when(F.col("construction") == "b", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("sentence"))
+    with pytest.raises(Exception, match="lost"):
+        write_group_files(groups.withColumn("sentence", broken), str(tmp_path / "failed"))
+    assert list((tmp_path / "failed").iterdir()) == []
+
+
+def test_numerals_fold_beside_tokens_without_a_lemma(spark):
+    """Tokens without one lemma and one tag stay, even where a lexicon lists what they are looked up by."""
+    freqs = spark.createDataFrame([("ten_NUM", 5), ("two_NUM", 2), ("x", 3), ("a_b_c", 4), ("_", 1)], "lemma_pos string, freq long")
+    lexicon = spark.createDataFrame([("ten",), ("two",), (" x",), (None,)], "lemma string")
+    got = {r.lemma_pos: r.freq for r in fold_numerals(freqs, lexicon, ranked=False).collect()}
+    assert got == {"--anonnumeral_NUM": 7, "x": 3, "a_b_c": 4, "_": 1}
+
+
+def test_salt_splits_a_key_without_other_columns(spark):
+    stream = spark.createDataFrame([("hot",)] * 64, "key string").coalesce(1)
+    joined = lookup_join(stream, spark.createDataFrame([("hot", 1)], "key string, n long"), "key", salts=8)
+    assert joined.count() == 64
+    salted = lookup_join(stream, spark.createDataFrame([("hot", 1)], "key string, n long").hint("shuffle_hash"), "key", salts=8)
+    assert "monotonically_increasing_id" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
 WRITTEN = """<?xml version="1.0"?>
 <text><p><s n="1"><w c5="PNP" hw="it" pos="PRON">It </w><w c5="X" hw="be" pos='VERB'>'s </w><trunc><w c5="UNC" hw="w" pos="UNC">w </w></trunc>
 <w c5="AT0" hw="the" pos="ART">the </w><!-- <w hw="not" pos="X">not</w> --><w c5="NN1" pos="SUBST">R&amp;D &lt;x&gt; </w><c c5="PUN">.</c></s></p>
