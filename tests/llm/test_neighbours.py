@@ -56,20 +56,50 @@ def test_hot_list_is_parted(spark, monkeypatch):
     assert [r.vec_id for r in got] == list(range(1, 11)) and all(r.score == 0 for r in got)
 
 
-def test_recall_where_a_small_share_of_many_lists_is_searched(spark, monkeypatch):
-    monkeypatch.setattr(nn, "LIST_SIZE", 10)
-    random = np.random.default_rng(9)
-    v = random.normal(size=(8000, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
+def searched_and_recall(spark, v):
+    """Share of the vectors that lie in the lists a query searches, and the recall over 80 or more queries."""
     ids = np.arange(len(v))
     table = nn.usable(spark.createDataFrame(list(zip(ids.tolist(), v.tolist())), "vec_id long, embedding array<double>"))
-    centroids, _ = nn.fitted(table)
-    asked = nn.lists_of_queries(v[:50], nn.CentroidGraph(centroids))
-    assert len(centroids) == 800 and max(map(len, asked)) < 400
+    sample = nn.sampled(table)
+    centroids = nn.fitted(sample, len(v))
+    held = nn.lists_of_vectors(v, centroids)
+    asked = nn.lists_of_queries(v[::100], nn.CentroidGraph(centroids), *nn.fitted_ratio(sample, centroids))
+    share = np.mean([np.mean([bool(set(lists) & set(near)) for lists in held]) for near in asked])
     got = nn.search(table, F.col("vec_id") % 100 == 0).collect()
-    want = brute(ids, v, range(0, 8000, 100))
+    want = brute(ids, v, range(0, len(v), 100))
     hits = sum(r.vec_id in dict(want[r.query_id]) for r in got)
-    assert hits / (10 * len(want)) >= 0.9, hits / (10 * len(want))
+    return share, hits / (10 * len(want))
+
+
+def test_ratio_alone_reaches_recall_on_vectors_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(nn, "LIST_SIZE", 10)
+    v = np.random.default_rng(9).normal(size=(8000, 64))
+    _, recall = searched_and_recall(spark, v / np.linalg.norm(v, axis=1)[:, None])
+    assert recall >= 0.9, recall
+
+
+def test_searched_share_of_clustered_vectors_falls_with_size(spark, monkeypatch):
+    monkeypatch.setattr(nn, "LIST_SIZE", 20)
+    random = np.random.default_rng(9)
+    shares = []
+    for clusters in (40, 200):
+        means = random.normal(size=(clusters, 32))
+        v = means[random.integers(0, clusters, clusters * 50)] + 0.2 * random.normal(size=(clusters * 50, 32))
+        share, recall = searched_and_recall(spark, v)
+        assert recall >= 0.9, recall
+        shares.append(share)
+    assert shares[0] < 0.5 and shares[1] < 0.5 * shares[0], shares
+
+
+def test_queries_of_a_hot_list_are_dealt(spark, monkeypatch):
+    """Many queries of one list meet each share of it once."""
+    monkeypatch.setattr(nn, "SHARE", 30)
+    rows = [(i, [1.0, float(i % 7)]) for i in range(200)]
+    vectors = nn.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = nn.search(vectors, F.lit(True), 3).collect()
+    ids, v = np.arange(200), np.array([x for _, x in rows])
+    want = {(q, r, i, d) for q, best in brute(ids, v, range(200), 3).items() for r, (i, d) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == 600
 
 
 def test_walk_meets_as_many_lists_as_are_wanted():
