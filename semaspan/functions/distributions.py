@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 STEPS = 200  # Simpson intervals between 0 and MIDDLE
 MIDDLE = 1.0
 NODES, WIDTH = 120, 0.035  # double-exponential points on either side, and their distance
-NEWTON_STEPS = 40
+CLOSE = 1e-12  # relative change of a quantile below which its steps end
+MOST_STEPS = 60  # a bound for the longest tails; the steps end long before
 SHIFT = 24  # the ratio of gamma functions is taken this far up, where its series is exact
 
 
@@ -77,19 +78,33 @@ def t_upper(t: Column, df: Column) -> Column:
 
 
 def t_quantile(p: float, df: Column) -> Column:
-    """The value that T stays below with probability `p` > 0.5, by Newton steps.
+    """The value that T stays below with probability `p` > 0.5, to about 1e-12 of itself; null if `df` is.
 
-    They start at the normal quantile. The distribution is concave on the right of 0 and its tails are longer
-    than the normal ones, so the steps come from below and never overshoot.
+    Third-order steps start at the Cornish-Fisher expansion around the normal quantile, which no t quantile lies
+    below, and end as soon as one changes no more than CLOSE: a few do, more only in the long tails of few degrees
+    of freedom.
     """
     wanted = 2 * (1 - p)
     half = (df + 1) / 2
+    peak = _peak(df)
+    z = normal_quantile(F.lit(p))
+    expanded = z
+    for power, numerator in enumerate(_CORNISH_FISHER, 1):
+        expanded = expanded + z * _polynomial(numerator, z * z) / F.pow(df, F.lit(float(power)))
 
-    def step(x: Column, _: Column) -> Column:
-        density = _peak(df) * F.exp(-half * F.log1p(x * x / df))
-        return x + (t_two_sided(x, df) - wanted) / (2 * density)
+    def step(state: Column, _: Column) -> Column:
+        x = state["x"]
+        density = state["peak"] * F.exp(-half * F.log1p(x * x / df))
+        newton = (t_two_sided(x, df) - wanted) / (2 * density)
+        bend = F.greatest(1 - newton * half * x / (df + x * x), F.lit(0.5))
+        return F.struct(F.greatest(x + newton / bend, z).alias("x"), state["x"].alias("before"), state["peak"].alias("peak"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), normal_quantile(F.lit(p)), step)
+    def on(state: Column, k: Column) -> Column:
+        return F.when(F.abs(state["x"] - state["before"]) <= CLOSE * state["x"], state).otherwise(step(state, k))
+
+    start = F.struct(F.greatest(expanded, z).alias("x"), F.lit(0.0).alias("before"), peak.alias("peak"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), start, on, lambda state: state["x"])
+    return F.when(df.isNotNull(), found)
 
 
 def normal_upper(z: Column) -> Column:
@@ -103,6 +118,13 @@ def normal_upper(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+# Terms of the expansion of t by 1 / df, as z times polynomials in z * z.
+_CORNISH_FISHER = [
+    [1 / 4, 1 / 4],
+    [3 / 96, 16 / 96, 5 / 96],
+    [-15 / 384, 17 / 384, 19 / 384, 3 / 384],
+]
+
 # Rational approximation of the normal quantile (Wichura 1988, AS 241, PPND16).
 _CENTRE_NUM = [
     3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,

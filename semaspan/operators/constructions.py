@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semaspan.functions.tokens import anonymise_numerals, group_head, group_tail, has_digit, lemma_of
@@ -47,6 +47,48 @@ def plain_verbs(annotated: DataFrame, pairs: DataFrame, sentence: Sequence[str]
     )
 
 
+def _head_of(token: Column) -> Column:
+    """The lemma of a token's head in `annotated`: by place where ids number the tokens, else by its id."""
+    placed = F.get("annotated", (token["head"] - 1).cast("int"))
+    named = F.get(F.filter("annotated", lambda t: t["id"] == token["head"]), F.lit(0))["lemma"]
+    return F.when(placed["id"] == token["head"], placed["lemma"]).otherwise(named)
+
+
+def _objects(tokens: str = "annotated") -> Column:
+    return F.filter(tokens, lambda t: (t["upos"] == "NOUN") & (t["deprel"] == "obj"))
+
+
+def parsed_objects(parsed: DataFrame, pairs: DataFrame, sentence: Sequence[str] = ("file", "line_no"),
+                   max_pairs: int | None = None) -> DataFrame:
+    """What `object_constructions` gives, from one row a sentence with the array `annotated` of its tokens.
+
+    The head is found inside the row: the text is read once, and only listed constructions could move.
+    """
+
+    def hit(noun: Column) -> Column:
+        return F.struct(noun["id"].cast("long").alias("id"), _head_of(noun).alias("lv_lemma"), noun["lemma"].alias("noun_lemma"))
+
+    listed = pairs.select(lemma_of(F.col("lv_pos")).alias("lv_lemma"), lemma_of(F.col("nominal_pos")).alias("noun_lemma")).distinct()
+    found = parsed.select(*sentence, F.explode(F.transform(_objects(), hit)).alias("_hit")).select(*sentence, "_hit.*")
+    return lookup_join(found, listed, ["lv_lemma", "noun_lemma"], "left_semi", max_pairs, 8).select(
+        *sentence, "id",
+        F.concat("lv_lemma", F.lit("_VERB")).alias("lv"),
+        F.concat("noun_lemma", F.lit("_SUBST")).alias("nominal"),
+    )
+
+
+def parsed_verbs(parsed: DataFrame, pairs: DataFrame, sentence: Sequence[str] = ("file", "line_no"),
+                 max_pairs: int | None = None) -> DataFrame:
+    """What `plain_verbs` gives, from one row a sentence with the array `annotated` of its tokens."""
+    listed = pairs.select(lemma_of(F.col("fvc_pos")).alias("lemma")).distinct()
+    verbs = F.filter("annotated", lambda t: t["upos"] == "VERB")
+    hits = F.transform(verbs, lambda t: F.struct(t["id"].cast("long").alias("id"), t["lemma"].alias("lemma")))
+    found = parsed.select(*sentence, F.explode(hits).alias("_hit")).select(*sentence, "_hit.*")
+    return lookup_join(found, listed, "lemma", "left_semi", max_pairs, 8).select(
+        *sentence, "id", F.concat("lemma", F.lit("_VERB")).alias("fvc")
+    )
+
+
 def numeral_lexicon(annotated: DataFrame, file: str = "file") -> DataFrame:
     """(file, lemma): lemmas tagged as numerals in each file."""
     return annotated.filter("upos = 'NUM'").select(file, "lemma").distinct()
@@ -129,15 +171,13 @@ def sentence_hits(parsed: DataFrame, pairs: DataFrame, sentence: Sequence[str] =
     """
 
     def lvc(noun):
-        head = F.get(F.filter("annotated", lambda t: t["id"] == noun["head"]), F.lit(0))["lemma"]
-        return F.struct(F.concat(head, F.lit("_VERB_"), noun["lemma"], F.lit("_SUBST")).alias("construction"), F.lit("LVC").alias("kind"))
+        return F.struct(F.concat(_head_of(noun), F.lit("_VERB_"), noun["lemma"], F.lit("_SUBST")).alias("construction"), F.lit("LVC").alias("kind"))
 
     def fvc(verb):
         return F.struct(F.concat(verb["lemma"], F.lit("_VERB")).alias("construction"), F.lit("FVC").alias("kind"))
 
-    nouns = F.filter("annotated", lambda t: (t["upos"] == "NOUN") & (t["deprel"] == "obj"))
     verbs = F.filter("annotated", lambda t: t["upos"] == "VERB")
-    found = parsed.select(*sentence, tokens, F.explode(F.concat(F.transform(nouns, lvc), F.transform(verbs, fvc))).alias("_hit"))
+    found = parsed.select(*sentence, tokens, F.explode(F.concat(F.transform(_objects(), lvc), F.transform(verbs, fvc))).alias("_hit"))
     listed = pairs.select(F.concat_ws("_", "lv_pos", "nominal_pos").alias("construction"), F.lit("LVC").alias("kind")).unionByName(
         pairs.select(F.col("fvc_pos").alias("construction"), F.lit("FVC").alias("kind"))
     ).distinct()

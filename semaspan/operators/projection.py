@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semaspan.operators.principal import place, principal_scores
+from semaspan.operators.vectors import sparse_vectors
 from semaspan.plans.joins import lookup_join
 from semaspan.session import stored
 
@@ -117,7 +118,8 @@ def sentence_vectors(sentences: DataFrame, cells: DataFrame, words: DataFrame, k
                      tokens: str = "ws", value: str = "ppmi", max_words: int | None = None) -> DataFrame:
     """(keys, basis_index, value) summed over the tokens of each sentence, repeats included.
 
-    A sentence with an unknown token is dropped. A sentence without tokens has the zero vector: one
+    Tokens meet their words as one row each, which is opened after the join. A sentence with an unknown token
+    is dropped. A sentence without tokens has the zero vector: one
     row with a null dimension and value 0, which a sentence whose words all lack cells gets as well.
     """
     counted = _counted_tokens(sentences, keys, tokens)
@@ -125,7 +127,11 @@ def sentence_vectors(sentences: DataFrame, cells: DataFrame, words: DataFrame, k
     flagged = lookup_join(counted, known, "lemma_pos", "left", max_rows=max_words, salts=16)
     fine = F.bool_and(F.col("_known").isNotNull() | F.col("lemma_pos").isNull()).over(W.partitionBy(*keys))
     kept = flagged.withColumn("_fine", fine).filter("_fine").select(*keys, "lemma_pos", "_times")
-    spread = lookup_join(kept, cells, "lemma_pos", "left", salts=8)  # frequent words are in most sentences
+    met = lookup_join(kept, sparse_vectors(cells, value), "lemma_pos", "left", salts=8)  # frequent words are in most sentences
+    cell = F.explode_outer(F.arrays_zip("indices", "values"))
+    spread = met.select(*keys, "_times", cell.alias("_cell")).select(
+        *keys, "_times", F.col("_cell.indices").alias("basis_index"), F.col("_cell.values").alias(value)
+    )
     sums = spread.groupBy(*keys, "basis_index").agg(F.sum(F.col(value) * F.col("_times")).alias(value))
     # a null dimension only says something when the sentence has no other
     dims = F.count("basis_index").over(W.partitionBy(*keys))

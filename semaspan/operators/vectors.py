@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semaspan.functions.dense import COSINE_FLOOR
@@ -43,6 +43,38 @@ def subset_dimensions(cells: DataFrame, dimensions: DataFrame, max_basis: int |
     return kept.drop("basis_index").withColumnRenamed("new_index", "basis_index").select(cells.columns)
 
 
+def sparse_vectors(cells: DataFrame, value: str = "ppmi", key: str = "lemma_pos") -> DataFrame:
+    """(key, indices, values, square): one row a word, dimensions rising, and the sum of its squared values.
+
+    Repeated cells of a dimension are summed, null values left out. A row is no longer than the basis.
+    """
+    sums = cells.filter(F.col(value).isNotNull()).groupBy(key, "basis_index").agg(F.sum(value).cast("double").alias("x"))
+    packed = F.sort_array(F.collect_list(F.struct("basis_index", "x")))
+    rows = sums.groupBy(key).agg(packed.alias("_cells"), F.sum(F.col("x") * F.col("x")).alias("square"))
+    return rows.select(key, F.col("_cells.basis_index").alias("indices"), F.col("_cells.x").alias("values"), "square")
+
+
+def _merged(i1: str, x1: str, i2: str, x2: str) -> Column:
+    """(dot, far) of two sparse vectors: both are walked once, always on at the smaller dimension.
+
+    `far` is the squared distance, summed from differences, so that it is exact for equal vectors.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        p, q = F.get(i1, state["a"]), F.get(i2, state["b"])
+        first, second = p.isNotNull() & (q.isNull() | (p <= q)), q.isNotNull() & (p.isNull() | (q <= p))
+        x = F.when(first, F.get(x1, state["a"])).otherwise(0.0)
+        y = F.when(second, F.get(x2, state["b"])).otherwise(0.0)
+        return F.struct(
+            (state["a"] + first.cast("int")).alias("a"), (state["b"] + second.cast("int")).alias("b"),
+            (state["dot"] + x * y).alias("dot"), (state["far"] + (x - y) * (x - y)).alias("far"),
+        )
+
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("far"))
+    # from 0, as a sequence from 1 to 0 would fall; the step too many finds nothing
+    return F.aggregate(F.sequence(F.lit(0), F.size(i1) + F.size(i2)), start, step)
+
+
 def pair_measures(
     pairs: DataFrame,
     cells: DataFrame,
@@ -52,37 +84,36 @@ def pair_measures(
     right: str = "word2",
     floor: float = COSINE_FLOOR,
 ) -> DataFrame:
-    """dot, cosine and euclidean for each pair of words, in one pass over the different pairs' cells.
+    """dot, cosine and euclidean for each pair of words, from one row a word.
 
     Rows that list the same two words get the same numbers, whatever their key.
-    The two vectors of a pair are laid over each other by summing their cells per dimension, so a
-    cell that only one word has meets a zero. Words without cells count as zero vectors.
+    Only words of the pairs are packed into sparse vectors; a pair meets its two vectors and merges them in the
+    row, so no cell is joined or shuffled for a pair. Words without cells count as zero vectors.
     """
     words = [left, right]
-    sides = pairs.select(*words).distinct().select(*words, F.explode(F.array(
-        F.struct(F.col(left).alias("lemma_pos"), F.lit(True).alias("_first")),
-        F.struct(F.col(right).alias("lemma_pos"), F.lit(False).alias("_first")),
-    )).alias("_side")).select(*words, "_side.*")
-    laid = (
-        lookup_join(sides, cells, "lemma_pos", salts=8)
-        .groupBy(*words, "basis_index")
-        .agg(
-            F.sum(F.when(F.col("_first"), F.col(value))).alias("_a"),
-            F.sum(F.when(~F.col("_first"), F.col(value))).alias("_b"),
+    asked = pairs.select(*words).distinct()
+    used = asked.select(F.explode(F.array(*words)).alias("lemma_pos")).distinct()
+    vectors = sparse_vectors(cells.join(used, "lemma_pos", "left_semi"), value)
+    met = asked
+    for n, word in enumerate(words, 1):
+        side = vectors.select(
+            F.col("lemma_pos").alias(word), F.col("indices").alias(f"_i{n}"), F.col("values").alias(f"_x{n}"), F.col("square").alias(f"_s{n}")
         )
-        .na.fill(0.0, ["_a", "_b"])
-    )
-    a, b = F.col("_a"), F.col("_b")
-    sums = laid.groupBy(*words).agg(
-        F.sum(a * b).alias("_dot"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"),
-        F.sum((a - b) * (a - b)).alias("_dd"),
-    )
-    full = lookup_join(pairs, sums, words, "left", salts=8).na.fill(0.0, ["_dot", "_aa", "_bb", "_dd"])
+        met = lookup_join(met, side, word, "left", salts=8)
+    for n in (1, 2):
+        met = met.withColumns({
+            f"_i{n}": F.coalesce(f"_i{n}", F.array().cast(met.schema[f"_i{n}"].dataType)),
+            f"_x{n}": F.coalesce(f"_x{n}", F.array().cast("array<double>")),
+            f"_s{n}": F.coalesce(f"_s{n}", F.lit(0.0)),
+        })
+    sums = met.select(*words, _merged("_i1", "_x1", "_i2", "_x2").alias("_sums"), (F.sqrt("_s1") * F.sqrt("_s2")).alias("_norms"))
+    sums = sums.select(*words, F.col("_sums.dot").alias("_dot"), F.col("_sums.far").alias("_far"), "_norms")
+    full = lookup_join(pairs, sums, words, "left", salts=8).na.fill(0.0, ["_dot", "_far", "_norms"])
     return full.select(
         *pairs.columns,
         F.col("_dot").alias("dot"),
-        (F.col("_dot") / F.greatest(F.sqrt("_aa") * F.sqrt("_bb"), F.lit(floor))).alias("cosine"),
-        F.sqrt("_dd").alias("euclidean"),
+        (F.col("_dot") / F.greatest("_norms", F.lit(floor))).alias("cosine"),
+        F.sqrt("_far").alias("euclidean"),
     )
 
 

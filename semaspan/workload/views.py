@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from semaspan.operators.constructions import object_constructions, plain_verbs, sentence_hits
+from semaspan.operators.constructions import parsed_objects, parsed_verbs, sentence_hits
 from semaspan.operators.cooccurrence import cooccurrences
 from semaspan.operators.vocabulary import select_basis, target_words, token_frequencies
 from semaspan.operators.weighting import ppmi
@@ -230,11 +230,11 @@ class Space:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return object_constructions(annotated(self.spark, self.sf), self.pairs, SENTENCE, MAX_PAIRS)
+        return parsed_objects(parsed(self.spark, self.sf), self.pairs, SENTENCE, MAX_PAIRS)
 
     @cached_property
     def verbs(self) -> DataFrame:
-        return plain_verbs(annotated(self.spark, self.sf), self.pairs, SENTENCE, MAX_PAIRS)
+        return parsed_verbs(parsed(self.spark, self.sf), self.pairs, SENTENCE, MAX_PAIRS)
 
     @cached_property
     def hits(self) -> DataFrame:

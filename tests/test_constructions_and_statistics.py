@@ -47,6 +47,19 @@ def test_matches(annotated, pairs):
     assert rows(cons.corresponding_groups(groups, pairs), "lv_pos", "nominal_pos", "fvc_pos", "fvc_observed") == [("give_VERB", "kiss_SUBST", "kiss_VERB", True)]
 
 
+def test_sentences_as_arrays_match_as_rows_do(spark, annotated, pairs):
+    token = F.struct("id", "lemma", "upos", "deprel", "head")
+    for order in (token["id"], -token["id"]):  # heads lie at their place, or are looked up by their id
+        tokens = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("place"), token.alias("t")))), lambda x: x["t"])
+        parsed = annotated.groupBy("file", "line_no").agg(tokens.alias("annotated"))
+        objects = cons.parsed_objects(parsed, pairs)
+        assert rows(objects, *objects.columns) == rows(cons.object_constructions(annotated, pairs), *objects.columns) != []
+        verbs = cons.parsed_verbs(parsed, pairs)
+        assert rows(verbs, *verbs.columns) == rows(cons.plain_verbs(annotated, pairs), *verbs.columns) != []
+    nothing = parsed.withColumn("annotated", F.when(F.lit(False), F.col("annotated")))
+    assert cons.parsed_objects(nothing, pairs).count() == cons.parsed_verbs(parsed.limit(0), pairs).count() == 0
+
+
 def test_group_pairing(spark, pairs):
     groups = spark.createDataFrame([("give_VERB_kiss_SUBST",), ("give_VERB_hug_SUBST",), ("give_VERB_odd_SUBST",), ("kiss_VERB",), ("walk_VERB",)], "construction string")
     assert rows(cons.strict_pairs(groups, pairs), "fvc_pos", "lv_pos", "nominal_pos") == [("kiss_VERB", "give_VERB", "kiss_SUBST")]
@@ -255,6 +268,21 @@ def test_t_tails_at_any_df(spark):
     assert tuple(z) == pytest.approx([math.erfc(x / math.sqrt(2)) / 2 for x in (0.5, 1.0, 8.5, 20.0, -8.5, 38.0)], rel=1e-9)
 
 
+def test_t_quantiles_at_any_df(spark):
+    ps = (0.6, 0.9, 0.975, 0.9995)
+    one = {(p, 1.0): math.tan(math.pi * (p - 0.5)) for p in ps}
+    two = {(p, 2.0): (2 * p - 1) * math.sqrt(2 / (4 * p * (1 - p))) for p in ps}
+    dfs = (1.0, 1.3, 2.0, 3.0, 7.5, 30.0, 1e4, 1e8, 1e12)
+    frame = spark.createDataFrame([(df,) for df in dfs], "df double")
+    found = frame.select("df", *[t_quantile(p, F.col("df")).alias(str(p)) for p in ps])
+    tails = found.select("df", *[F.struct(F.col(f"`{p}`").alias("t"), t_two_sided(F.col(f"`{p}`"), F.col("df")).alias("p")).alias(str(p)) for p in ps])
+    for r in tails.collect():
+        for p in ps:
+            assert r[str(p)].p == pytest.approx(2 * (1 - p), rel=1e-9)
+            assert r[str(p)].t == pytest.approx({**one, **two}.get((p, r.df), r[str(p)].t), rel=1e-9)
+    assert spark.range(1).select(t_quantile(0.975, F.lit(None).cast("double")).alias("t")).first().t is None
+
+
 def test_shapiro_wilk_beyond_its_calibration_and_with_ties(spark, many_slices):
     values = [float(i % 7 if i % 10 < 3 else 3) for i in range(6000)]
     frame = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in values[:5000]], "g string, v double")

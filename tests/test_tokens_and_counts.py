@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from semaspan.functions import tokens as tk
 from semaspan.operators.cooccurrence import assemble_vectors, cooccurrences, vector_sum
 from semaspan.operators.sentences import all_known, anonymise_corpus, longer_than, tokenised, unique_tokens
-from semaspan.operators.vectors import pair_measures, subset_dimensions, to_long, to_nested
+from semaspan.operators.vectors import pair_measures, sparse_vectors, subset_dimensions, to_long, to_nested
 from semaspan.operators.vocabulary import fold_numerals, ranked_frequencies, select_basis, target_words, token_frequencies
 from semaspan.operators.weighting import marginals, ppmi
 
@@ -180,3 +181,33 @@ def test_pair_measures_with_missing_cells(spark):
     assert got[2] == pytest.approx((25.0, 1.0, 0.0))
     assert got[3] == pytest.approx((0.0, 0.0, 5.0))
     assert got[4] == pytest.approx((0.0, 0.0, 0.0))
+
+
+def test_pair_measures_against_dense_vectors(spark):
+    rng = random.Random(3)
+    # repeated cells add up, null cells say nothing, no cell of a word beyond the pairs is packed
+    cells = [(w, i, rng.choice([None, 0.0, rng.uniform(-3, 3)])) for w in "abcdef" for i in rng.choices(range(40), k=rng.choice([0, 3, 30]))]
+    pairs = [(x, y) for x in "abcdez" for y in "abcdez"]
+    dense = {w: [sum(x or 0.0 for v, i, x in cells if v == w and i == d) for d in range(40)] for w in "abcdefz"}
+    frame = spark.createDataFrame(cells, "lemma_pos string, basis_index int, ppmi double")
+    got = pair_measures(spark.createDataFrame(pairs, "word1 string, word2 string"), frame, ()).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        a, b = dense[r.word1], dense[r.word2]
+        dot, size = sum(x * y for x, y in zip(a, b)), math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))
+        assert r.dot == pytest.approx(dot, abs=1e-12) and r.euclidean == pytest.approx(math.dist(a, b), abs=1e-12)
+        assert r.cosine == pytest.approx(dot / size if size else 0.0, abs=1e-12)
+    assert pair_measures(spark.createDataFrame([], "word1 string, word2 string"), frame, ()).count() == 0
+
+
+def test_pairs_move_no_cells(spark):
+    cells = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "lemma_pos string, basis_index int, ppmi double")
+    pairs = spark.createDataFrame([("a", "b")], "word1 string, word2 string")
+    plan = pair_measures(pairs, cells, ())._jdf.queryExecution().optimizedPlan().toString()
+    # no row is grouped by pair and dimension: cells are grouped by word alone
+    assert re.search(r"Aggregate \[lemma_pos#\d+, basis_index", plan) and not re.search(r"Aggregate \[word1#[^]]*basis_index", plan), plan
+
+
+def test_sparse_vectors_hold_one_row_a_word(spark):
+    cells = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("a", 3, 4.0), ("a", 2, None), ("b", 9, None)], "lemma_pos string, basis_index int, ppmi double")
+    assert [tuple(r) for r in sparse_vectors(cells).collect()] == [("a", [1, 3], [2.0, 5.0], 29.0)]
