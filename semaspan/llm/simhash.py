@@ -1,13 +1,16 @@
 """SimHash near-duplicates with vantage-point trees.
 
 A text's fingerprint has a bit set if more than half of its shingles' 64-bit hashes have it set. Equal
-fingerprints are folded first, so copies cost one row. The different ones are parted by a vantage-point
-tree: at each node, by their Hamming distance from a pivot. Each fingerprint has one home shard, and visits
-all shards that a ball of the linking radius around it reaches, which the triangle bounds at the nodes tell.
-Inside a shard a second tree is searched by its visitors, pruned by the same bounds, so that all links are
-found. A shard gives back a star for each of its components, and stars are joined into components.
+fingerprints are folded first, so copies cost one row. The different ones are parted twice. First by equal
+blocks of bits: of five blocks, a difference of four bits leaves one equal, so linked fingerprints meet in the
+part that this block's first bits name, and each fingerprint stands in five parts however many there are.
+A part that still holds more than a shard may is then split by a vantage-point tree, by the Hamming distance
+from a pivot at each node: each fingerprint has one home shard, and visits all shards that a ball of the
+linking radius around it reaches, which the triangle bounds at the nodes tell. Inside a shard a tree of its own
+is searched by the visitors, pruned by the same bounds, so that all links are found. A shard gives back a
+star for each of its components, and stars are joined into components.
 
-Only the tree's pivots, fitted on a bounded sample, are sent to all tasks.
+Only the upper tree's pivots, fitted on a bounded sample, are sent to all tasks, and only if some part is too large.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like
 any other. Rows with equal texts, repeated doc_ids too, are in one component. The component of rows that
@@ -17,7 +20,7 @@ have no doc_id at all is null. Empty tables give no rows; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ from semaspan.session import stored
 WORDS, BITS = 4, 4  # words of a shingle, and how many bits linked fingerprints may differ in
 HASH_SEED = 42
 SAMPLE = 4_096  # fingerprints that the pivots are fitted on, at most
-SHARD = 400_000  # different fingerprints at home in one shard, about
-SPLIT = 16  # shards that a table of more than SMALL fingerprints is split into at least
-SMALL = 20_000
+SHARD = 400_000  # different fingerprints of a part above which a tree splits it
+HOME = 16_384  # different fingerprints that a part is meant to hold, as long as blocks have bits enough
+SMALL = 20_000  # different fingerprints that stay in one part
 LEAF = 192  # fingerprints of a shard that are compared one by one
 PAIRS_AT_ONCE = 2_000_000
 HASHES_AT_ONCE = 65_536
@@ -79,36 +82,49 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    """A pivot and the distance up to which fingerprints lie inside; leaves carry a number."""
+    """A pivot and the distance up to which fingerprints lie inside; nodes are numbered like a heap, from 1."""
 
-    def __init__(self, points: np.ndarray, depth: int, numbers: Iterator[int]):
-        self.leaf = None
+    def __init__(self, points: np.ndarray, depth: int, number: int = 1):
+        self.number, self.leaf = number, not depth
         if depth:
             self.pivot = points[len(points) // 2] if len(points) else np.uint64(0)
             far = hamming(points, self.pivot)
             self.radius = int(np.median(far)) if len(points) else 32
-            self.inside = Node(points[far <= self.radius], depth - 1, numbers)
-            self.outside = Node(points[far > self.radius], depth - 1, numbers)
-        else:
-            self.leaf = next(numbers)
-
-    def reached(self, points: np.ndarray, rows: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows) whose ball of `bits` reaches the leaf; 0 bits give each row its home."""
-        if self.leaf is not None:
-            yield self.leaf, rows
+            self.inside = Node(points[far <= self.radius], depth - 1, 2 * number)
+            self.outside = Node(points[far > self.radius], depth - 1, 2 * number + 1)
+
+    def reached(self, points: np.ndarray, rows: np.ndarray, bits: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, rows) for the nodes `depth` levels down that a ball of `bits` around a row reaches; 0 bits give its home."""
+        if self.leaf or not depth:
+            yield self.number, rows
             return
         far = hamming(points[rows], self.pivot)
-        yield from self.inside.reached(points, rows[far <= self.radius + bits], bits)
-        yield from self.outside.reached(points, rows[far + bits > self.radius], bits)
+        yield from self.inside.reached(points, rows[far <= self.radius + bits], bits, depth - 1)
+        yield from self.outside.reached(points, rows[far + bits > self.radius], bits, depth - 1)
 
 
-def shard_tree(prints: DataFrame) -> Node:
+def upper_tree(prints: DataFrame, depth: int) -> Node:
     """The upper tree over the rows with the smallest hashes of their fingerprints."""
-    n = prints.count()
     sample = [r["fp"] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    shards = max(n / SHARD, SPLIT if n > SMALL else 1)
-    points = np.array(sample, np.int64).view(np.uint64)
-    return Node(points, max(0, int(np.ceil(np.log2(shards)))), iter(range(1 << 30)))
+    return Node(np.array(sample, np.int64).view(np.uint64), depth)
+
+
+def block_masks(n: int, bits: int) -> list[int]:
+    """Masks of bits; fingerprints at most `bits` apart agree under one of them at least.
+
+    Of bits + e blocks, e are equal, so a mask takes the first bits of e blocks, as many as leave about HOME of
+    `n` fingerprints in a part. One equal block does, with bits + 1 masks, until whole blocks leave more than a
+    shard: four bits have five masks up to some 10^9 fingerprints, and fifteen of two blocks beyond.
+    """
+    if n <= SMALL:
+        return [0]
+    for equal in range(1, 5):
+        width = 64 // (bits + equal)
+        taken = min(width, int(np.ceil(np.log2(max(n / HOME, 1)) / equal)))
+        if n / 2.0 ** (taken * equal) <= SHARD:
+            break
+    blocks = [((1 << taken) - 1) << (i * width) for i in range(bits + equal)]
+    return sorted({sum(chosen) for chosen in combinations(blocks, equal)})
 
 
 def neighbours(homes: np.ndarray, guests: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,25 +187,48 @@ def link_shard(bits: int):
     return link
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): stars that connect the different fingerprints `prints` (fp) at most `bits` apart."""
-    shared = prints.sparkSession.sparkContext.broadcast(shard_tree(prints))
+def parted(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(mask, part, shard, fp, home): the different fingerprints `prints` (fp) in all shards they are compared in."""
+    masks = block_masks(prints.count(), bits)
+
+    def signed(mask: int) -> int:
+        return mask - (1 << 64) if mask >> 63 else mask
+
+    part = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("part")) for i, m in enumerate(masks)
+    ])).alias("_p")
+    parts = prints.select("fp", part).select("_p.mask", "_p.part", "fp")
+    sizes = parts.groupBy("mask", "part").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD)
+    depth = F.ceil(F.log2(F.col("n") / SHARD)).cast("int").alias("depth")
+    large = stored(sizes.select("mask", "part", depth))
+    deepest = large.agg(F.max("depth")).first()[0]
+    whole = parts.select("mask", "part", F.lit(1).cast("long").alias("shard"), "fp", F.lit(True).alias("home"))
+    if deepest is None:
+        return whole
+    tree = prints.sparkSession.sparkContext.broadcast(upper_tree(prints, min(deepest, int(np.log2(SAMPLE)))))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column("fp").to_numpy().view(np.uint64)
-            rows = np.arange(len(points))
-            home = np.zeros(len(points), np.int64)
-            for shard, at in shared.value.reached(points, rows, 0):
-                home[at] = shard
-            for shard, at in shared.value.reached(points, rows, bits):
-                if len(at):
-                    yield pa.RecordBatch.from_pydict(
-                        {"shard": pa.array(np.full(len(at), shard)), "fp": batch.column("fp").take(pa.array(at)), "home": pa.array(home[at] == shard)}
-                    )
-
-    placed = prints.select("fp").mapInArrow(sent, "shard long, fp long, home boolean")
-    return placed.groupBy("shard").applyInArrow(link_shard(bits), "a long, b long")
+            depths = batch.column("depth").to_numpy()
+            for depth in np.unique(depths).tolist():
+                rows = np.flatnonzero(depths == depth)
+                home = np.zeros(len(points), np.int64)
+                for shard, at in tree.value.reached(points, rows, 0, depth):
+                    home[at] = shard
+                for shard, at in tree.value.reached(points, rows, bits, depth):
+                    if len(at):
+                        taken = batch.take(pa.array(at))
+                        columns = [taken["mask"], taken["part"], pa.array(np.full(len(at), shard)), taken["fp"], pa.array(home[at] == shard)]
+                        yield pa.RecordBatch.from_arrays(columns, ["mask", "part", "shard", "fp", "home"])
+
+    split = parts.join(large, ["mask", "part"]).mapInArrow(sent, "mask int, part long, shard long, fp long, home boolean")
+    return whole.join(large, ["mask", "part"], "left_anti").unionByName(split)
+
+
+def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): stars that connect the different fingerprints `prints` (fp) at most `bits` apart."""
+    return parted(prints, bits).groupBy("mask", "part", "shard").applyInArrow(link_shard(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:

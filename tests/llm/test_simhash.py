@@ -34,6 +34,31 @@ def slow_fingerprint(text, words=4):
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
+def test_linked_fingerprints_agree_under_a_mask():
+    rng = random.Random(1)
+    for n, bits, masks in [(100, 4, 1), (10**6, 4, 5), (10**9, 4, 5), (10**10, 4, 15), (10**6, 8, 9)]:
+        found = sh.block_masks(n, bits)
+        assert len(found) == masks and n / 2 ** min(m.bit_count() for m in found) <= sh.SHARD
+        for _ in range(200):
+            change = sum(1 << b for b in rng.sample(range(64), bits))
+            assert any(change & m == 0 for m in found)
+
+
+def test_shards_are_bounded_and_copies_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(sh, "SMALL", 100)
+    monkeypatch.setattr(sh, "HOME", 64)
+    monkeypatch.setattr(sh, "SHARD", 150)
+    rng = random.Random(2)
+    for n in (1_000, 8_000):
+        frame = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(n)], "fp long").distinct()
+        shards = [r["count"] for r in sh.parted(frame).groupBy("mask", "part", "shard").count().collect()]
+        assert sum(shards) == 5 * n and max(shards) <= 150
+    # fingerprints that agree in one block make a part too large, which the tree splits
+    hot = spark.createDataFrame([(rng.getrandbits(50) << 13,) for _ in range(3_000)], "fp long").distinct()
+    split = sh.parted(hot).filter("part = 0 AND mask = 0").groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect()
+    assert len(split) > 16 and sum(r.homes for r in split) == 3_000 and max(r.homes for r in split) <= 450
+
+
 def test_fingerprints(spark):
     texts = ["", " \n", "One", "one TWO three", "a b c d", "É é a b c\x0bd e f g h", "x " * 500]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
@@ -43,9 +68,11 @@ def test_fingerprints(spark):
     assert int(sh.shingle_hashes("ab cd ef gh")[0]) == one % 2**64  # Spark's own hash has the same seed
 
 
-@pytest.mark.parametrize("small, leaf", [(20_000, 192), (50, 4)])
-def test_components_against_all_pairs(spark, monkeypatch, small, leaf):
+@pytest.mark.parametrize("small, home, shard, leaf", [(20_000, 16_384, 400_000, 192), (50, 60, 400_000, 4), (50, 60, 40, 5), (50, 500, 500, 6), (50, 1, 0.5, 7)])
+def test_components_against_all_pairs(spark, monkeypatch, small, home, shard, leaf):
     monkeypatch.setattr(sh, "SMALL", small)
+    monkeypatch.setattr(sh, "HOME", home)
+    monkeypatch.setattr(sh, "SHARD", shard)
     monkeypatch.setattr(sh, "LEAF", leaf)
     rng = random.Random(leaf)
     prints = [rng.getrandbits(64) for _ in range(300)]
