@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LOSS_ROLE = "assistant"
+PIECE = 64  # code points of a delta in a log made from turns
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
 
@@ -45,6 +46,32 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     )
 
 
+def turns_as_log(turns: DataFrame) -> DataFrame:
+    """Events of a table (conv_id, turn, role, text) as a chat service logs them, which `fold` makes the turns of again.
+
+    An answer is a draft of one delta and a follow-up to it, both taken back by a regeneration, then its text in
+    deltas of PIECE characters. Every other turn is a message with the first piece, then an edit with the whole
+    text. An empty or null text has no deltas after the regeneration.
+    """
+    ties = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = turns.select("conv_id", "turn", F.row_number().over(ties).alias("nth"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("pieces", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    start, nothing = F.coalesce(F.get("pieces", F.lit(0)), F.lit("")), F.lit(None).cast("string")
+
+    def event(part: int, kind: str, role: Column, text: Column) -> Column:
+        message = F.struct("turn", "nth", F.lit(part).alias("part"))
+        return F.struct(message.alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    draft = F.array(
+        event(0, "delta", F.col("role"), start), event(1, "message", F.lit("user"), start), event(0, "regenerate", nothing, nothing)
+    )
+    answer = F.concat(draft, F.transform("pieces", lambda piece: event(0, "delta", nothing, piece)))
+    other = F.array(event(0, "message", F.col("role"), start), event(0, "edit", nothing, F.col("text")))
+    log = F.when(F.col("role") == LOSS_ROLE, answer).otherwise(other)
+    steps = rows.select("conv_id", "turn", "nth", F.posexplode(log).alias("step", "event"))
+    return steps.select("conv_id", F.struct("turn", "nth", "step").alias("seq"), "event.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, seq, message, role, text): final messages; seq is where a message first appeared."""
     event = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -69,21 +96,27 @@ def fold(events: DataFrame) -> DataFrame:
 def taken_back(events: DataFrame) -> DataFrame:
     """(_conv, _message) of messages that a later regeneration of an earlier message takes back.
 
-    Only conversations with a regeneration are looked at. A message first seen at `first` goes if, among the
-    regenerations after it, the earliest target lies before it: a running minimum from the end.
+    Events are folded to one row a message first: where it was first seen, and its last regeneration, which
+    covers its earlier ones. Only conversations with a regeneration are looked at. A message first seen at
+    `first` goes if, among the regenerations after it, the earliest target lies before it: a running minimum from
+    the end, over two short rows a message and without texts.
     """
-    redone = events.filter("kind = 'regenerate'").select("conv_id").distinct()
-    marked = events.select(F.col("conv_id").alias("_conv"), F.col("message").alias("_message"), "seq", "kind").join(
-        redone, F.col("_conv").eqNullSafe(redone["conv_id"]), "left_semi"
+    place = F.struct("seq", "message")
+    seen = events.groupBy(F.col("conv_id").alias("_conv"), F.col("message").alias("_message")).agg(
+        F.min(place).alias("_first"), F.max(F.when(F.col("kind") == "regenerate", F.struct("seq"))).alias("_redone")
+    )
+    redone = seen.filter("_redone IS NOT NULL").select(F.col("_conv").alias("_its")).distinct()
+    seen = seen.join(redone, F.col("_conv").eqNullSafe(F.col("_its")), "left_semi")
+    target = F.when(F.lit(False), F.col("_first"))
+    marked = seen.select("_conv", "_message", "_first", F.col("_first.seq").alias("seq"), target.alias("_target")).unionByName(
+        seen.filter("_redone IS NOT NULL").select(
+            "_conv", "_message", target.alias("_first"), F.col("_redone.seq").alias("seq"), F.col("_first").alias("_target")
+        )
     )
-    place = F.struct("seq", "_message")
-    marked = marked.withColumn("_first", F.min(place).over(W.partitionBy("_conv", "_message")))
-    target = F.when(F.col("kind") == "regenerate", F.col("_first"))
     # in falling order, all rows of later sequence numbers come before
     later = W.partitionBy("_conv").orderBy(F.desc("seq")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    marked = marked.withColumn("_target", F.min(target).over(later))
-    gone = marked.filter((place == F.col("_first")) & (F.col("_target") < F.col("_first")))
-    return gone.select("_conv", "_message").distinct()
+    marked = marked.withColumn("_target", F.min("_target").over(later))
+    return marked.filter("_first IS NOT NULL AND _target < _first").select("_conv", "_message")
 
 
 def escaped(text: Column) -> Column:

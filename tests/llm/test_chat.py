@@ -54,10 +54,59 @@ def test_conversations_against_brute_force(spark):
     by = {}
     for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn)):
         by.setdefault(r.conv_id, []).append((r.role, r.text or ""))
-    got = chat.digests(chat.render(chat.fold(chat.turns_as_events(turns)))).collect()
+    got = chat.digests(chat.render(chat.fold(chat.turns_as_log(turns)))).collect()
     assert {r.conv_id for r in got} == set(by)
     for r in got:
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in by[r.conv_id]).encode()).hexdigest()
         loss = "".join(b for a, b in by[r.conv_id] if a == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert (r.n_turns, r.formatted_chars) == (len(by[r.conv_id]), sum(len(a) + len(b) + 33 for a, b in by[r.conv_id]))
+
+
+def slow_fold(events):
+    """(conv_id, message, role, text) by going through each log, event by event."""
+    state = {}
+    for conv, seq, message, kind, role, text in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        log = state.setdefault(conv, {})
+        if kind == "regenerate" and message in log:
+            for later in [m for m, x in log.items() if x["at"] > log[message]["at"]]:
+                log[later]["gone"] = True
+        entry = log.setdefault(message, {"at": (seq, message), "role": None, "text": "", "gone": False})
+        entry["role"] = role if entry["role"] is None else entry["role"]
+        entry["gone"] |= kind == "delete"
+        entry["text"] = "" if kind == "regenerate" else (entry["text"] if kind == "delta" else "") + (text or "")
+    return sorted((conv, m, x["role"] or "", x["text"]) for conv, log in state.items() for m, x in log.items() if not x["gone"])
+
+
+def test_random_logs_against_a_fold_event_by_event(spark):
+    import random
+
+    rng = random.Random(8)
+    events = []
+    for conv in range(40):
+        known = []
+        for seq in range(rng.randint(1, 25)):
+            if not known or rng.random() < 0.4:
+                known.append(f"m{len(known):02}")
+                events.append((conv, seq, known[-1], "message", rng.choice(["user", "assistant"]), f"t{seq}"))
+            else:
+                kind = rng.choice(["delta", "delta", "edit", "regenerate", "regenerate", "delete"])
+                events.append((conv, seq, rng.choice(known), kind, None, f"x{seq}"))
+    got = sorted(map(tuple, chat.fold(spark.createDataFrame(events, SCHEMA)).select("conv_id", "message", "role", "text").collect()))
+    assert got == slow_fold(events)
+
+
+def test_turns_go_through_deltas_edits_and_regenerations(spark):
+    long = "é𝄞<|" * 5_000
+    rows = [(1, 0, "user", "q", 1), (1, 1, "assistant", long, 2), (1, 2, "assistant", None, 3), (1, 2, "assistant", None, 3), (1, 3, None, long, 4),
+            (None, 0, "assistant", "", 5), (1, None, "user", "first", 6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long")
+    log = chat.turns_as_log(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.filter("kind = 'delta'").count() == 4 + -(-20_000 // chat.PIECE)
+    assert chat.taken_back(log).count() == 4  # the follow-up of each answer's draft
+    got = chat.fold(log).orderBy("conv_id", "seq", "message").collect()
+    assert [(r.conv_id, r.role, r.text) for r in got] == [
+        (None, "assistant", ""), (1, "user", "first"), (1, "user", "q"), (1, "assistant", long), (1, "assistant", ""), (1, "assistant", ""), (1, "", long),
+    ]
+    assert chat.digests(chat.render(chat.fold(chat.turns_as_log(turns.limit(0))))).count() == 0
