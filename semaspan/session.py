@@ -17,6 +17,8 @@ def local_session(cores: str | int = "*", name: str = "semaspan", memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # the call sites of columns are kept for messages only, and cost a good part of building a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
