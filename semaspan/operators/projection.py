@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semaspan.operators.principal import place, principal_scores
 from semaspan.operators.vectors import sparse_vectors
@@ -108,39 +111,121 @@ def missing_pair_words(pairs: DataFrame, words: DataFrame, max_words: int | None
     return lookup_join(roles, words.select("lemma_pos"), "lemma_pos", "left_anti", max_rows=max_words, salts=8)
 
 
-def _counted_tokens(sentences: DataFrame, keys: Sequence[str], tokens: str) -> DataFrame:
-    """(keys, lemma_pos, _times): repeats inside a sentence folded before anything moves."""
-    spelled = sentences.select(*keys, F.explode_outer(tokens).alias("lemma_pos"))
-    return spelled.groupBy(*keys, "lemma_pos").agg(F.count("*").alias("_times"))
-
-
 def sentence_vectors(sentences: DataFrame, cells: DataFrame, words: DataFrame, keys: Sequence[str],
                      tokens: str = "ws", value: str = "ppmi", max_words: int | None = None) -> DataFrame:
     """(keys, basis_index, value) summed over the tokens of each sentence, repeats included.
 
-    Tokens meet their words as one row each, which is opened after the join. A sentence with an unknown token
-    is dropped. A sentence without tokens has the zero vector: one
+    A sentence with an unknown token is dropped. A sentence without tokens has the zero vector: one
     row with a null dimension and value 0, which a sentence whose words all lack cells gets as well.
+
+    Sentences are dealt to blocks, and a word's vector goes to the blocks that use it, once each. So numbers of words
+    move and no cell of a sentence: its vector is summed in the block, and is opened after its last shuffle.
     """
-    counted = _counted_tokens(sentences, keys, tokens)
-    known = words.select("lemma_pos").withColumn("_known", F.lit(True))
-    flagged = lookup_join(counted, known, "lemma_pos", "left", max_rows=max_words, salts=16)
-    fine = F.bool_and(F.col("_known").isNotNull() | F.col("lemma_pos").isNull()).over(W.partitionBy(*keys))
-    kept = flagged.withColumn("_fine", fine).filter("_fine").select(*keys, "lemma_pos", "_times")
-    met = lookup_join(kept, sparse_vectors(cells, value), "lemma_pos", "left", salts=8)  # frequent words are in most sentences
-    cell = F.explode_outer(F.arrays_zip("indices", "values"))
-    spread = met.select(*keys, "_times", cell.alias("_cell")).select(
-        *keys, "_times", F.col("_cell.indices").alias("basis_index"), F.col("_cell.values").alias(value)
-    )
-    sums = spread.groupBy(*keys, "basis_index").agg(F.sum(F.col(value) * F.col("_times")).alias(value))
-    # a null dimension only says something when the sentence has no other
-    dims = F.count("basis_index").over(W.partitionBy(*keys))
-    return (
-        sums.withColumn("_dims", dims)
-        .filter(F.col("basis_index").isNotNull() | (F.col("_dims") == 0))
-        .drop("_dims")
-        .na.fill(0.0, [value])
-    )
+    vectors = words.select("lemma_pos").distinct().join(sparse_vectors(cells, value).drop("square"), "lemma_pos", "left")
+    vectors = stored(vectors.withColumn("_word", F.monotonically_increasing_id()))
+    spelled = sentences.select(*keys, F.explode_outer(tokens).alias("lemma_pos"))
+    met = lookup_join(spelled, vectors.select("lemma_pos", "_word"), "lemma_pos", "left", max_rows=max_words, salts=16)
+    fine = F.bool_and(F.col("_word").isNotNull() | F.col("lemma_pos").isNull())
+    known = met.groupBy(*keys).agg(fine.alias("_fine"), F.collect_list("_word").alias("_words"))
+    known = stored(known.filter("_fine").drop("_fine"))
+    asked = known.agg(F.sum(F.size("_words"))).first()[0] or 0
+    blocks = max(known.sparkSession.sparkContext.defaultParallelism, -(-asked // BLOCK_TOKENS))
+    dealt = known.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    used = dealt.select("_block", F.explode("_words").alias("_word")).distinct()
+    sent = used.join(vectors.filter(F.size("indices") > 0).select("_word", "indices", "values"), "_word")
+    sent = sent.select("_block", F.array("_word").alias("_words"), "indices", "values")
+    both = sent.unionByName(dealt, allowMissingColumns=True).select(*keys, "_block", "_words", "indices", "values")
+    # the vectors of a block come before its sentences
+    rows = both.repartition(blocks, "_block").sortWithinPartitions("_block", F.col("values").isNull())
+    schema = T.StructType([both.schema[k] for k in [*keys, "indices", "values"]])
+    cell = F.inline(F.arrays_zip("indices", "values")).alias("basis_index", value)
+    return rows.mapInArrow(_block_sums(list(keys)), schema).select(*keys, cell)
+
+
+BLOCK_TOKENS = 8_000_000  # tokens of a block, about; a task holds the vectors of their words
+CELLS_AT_ONCE = 2_000_000
+
+
+def _block_sums(keys: list[str]):
+    """From rows (keys, _block, _words, indices, values), a block's vectors before its sentences, to the sentences' sums."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, table = None, [], None
+        for batch in batches:
+            numbers = batch["_block"].to_numpy()
+            vector = batch["values"].is_valid().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((numbers[1:] != numbers[:-1]) | (vector[1:] != vector[:-1])) + 1
+            for a, b in zip([0, *turns], [*turns, len(numbers)]):
+                if a == b:
+                    continue
+                if numbers[a] != block:
+                    block, held, table = numbers[a], [], None
+                part = batch.slice(a, b - a)
+                if vector[a]:
+                    held.append(part.select(["_words", "indices", "values"]))
+                    continue
+                if table is None:
+                    table, held = _SparseTable(held, batch.schema), []
+                yield from _summed(part, keys, table)
+
+    return sums
+
+
+class _SparseTable:
+    """Vectors of words by number: where each one's cells start, how many there are, and the cells."""
+
+    def __init__(self, parts: list[pa.RecordBatch], schema: pa.Schema):
+        def joined(name: str) -> np.ndarray:
+            found = [p[name].flatten() for p in parts]
+            return pa.chunked_array(found, schema.field(name).type.value_type).to_numpy()
+
+        self.names = joined("_words")
+        counts = np.concatenate([np.zeros(0, np.int64), *[p["indices"].value_lengths().to_numpy() for p in parts]]).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        order = np.argsort(self.names, kind="stable")
+        self.names, self.starts, self.counts = self.names[order], starts[order], counts[order]
+        self.dims, self.cells = np.unique(joined("indices"), return_inverse=True)
+        self.values = joined("values")
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, count) of the cells of each word; none for a word without a vector."""
+        if not len(self.names):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.names, words), len(self.names) - 1)
+        return self.starts[at], np.where(self.names[at] == words, self.counts[at], 0)
+
+
+def _summed(part: pa.RecordBatch, keys: list[str], table: _SparseTable) -> Iterator[pa.RecordBatch]:
+    lengths = part["_words"].value_lengths().to_numpy().astype(np.int64)
+    starts, counts = table.find(part["_words"].flatten().to_numpy())
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    cells = np.bincount(owner, counts, len(lengths))
+    # few sentences at once, so that neither their words' cells nor their own sums are many
+    share = np.cumsum(np.maximum(cells, len(table.dims))) // CELLS_AT_ONCE
+    edges = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1), len(lengths)]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    for a, b in zip(edges[:-1], edges[1:]):
+        words = slice(ends[a], ends[b])
+        times, n = counts[words], b - a
+        first = np.repeat(starts[words] - (np.cumsum(times) - times), times)
+        place = first + np.arange(len(first))
+        key = np.repeat(owner[words] - a, times) * len(table.dims) + table.cells[place]
+        size = n * len(table.dims)
+        found = np.flatnonzero(np.bincount(key, minlength=size))
+        total = np.bincount(key, table.values[place], size)[found]
+        rows, dims = (found // len(table.dims), table.dims[found % len(table.dims)]) if size else (found, table.dims)
+        empty = np.setdiff1d(np.arange(n), rows)  # these have the zero vector: a null dimension
+        order = np.argsort(np.concatenate([rows, empty]), kind="stable")
+        null = np.concatenate([np.zeros(len(rows), bool), np.ones(len(empty), bool)])[order]
+        dims = np.concatenate([dims, np.zeros(len(empty), dims.dtype)])[order]
+        total = np.concatenate([total, np.zeros(len(empty))])[order]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([rows, empty]), minlength=n))]), pa.int32())
+        indices = pa.array(dims, part.schema.field("indices").type.value_type, mask=null)
+        chunk = part.slice(a, n)
+        yield pa.RecordBatch.from_arrays(
+            [*[chunk[k] for k in keys], pa.ListArray.from_arrays(offsets, indices), pa.ListArray.from_arrays(offsets, pa.array(total))],
+            [*keys, "indices", "values"],
+        )
 
 
 def sentence_projections(sentences: DataFrame, projections: DataFrame, keys: Sequence[str],

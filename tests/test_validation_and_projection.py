@@ -1,6 +1,7 @@
 """Rank correlation, coverage, scales and projections."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,37 @@ def test_sentences(spark, space):
     assert all(np.allclose(vectors[i], want[i]) for i in want)
 
 
+def test_sentence_vectors_move_no_cell_of_a_sentence(spark, space):
+    cells, _, words = space
+    sentences = spark.createDataFrame([(1, ["s1", "w", "w"]), (2, [])], "id int, ws array<string>")
+    plan = proj.sentence_vectors(sentences, cells, words, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "basis_index" in line]
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_sums_of_a_block_do_not_depend_on_its_chunks(monkeypatch):
+    monkeypatch.setattr(proj, "CELLS_AT_ONCE", 20)
+    rng = np.random.default_rng(3)
+    vectors = {w: {int(d): float(rng.normal()) for d in rng.choice(9, 4, replace=False)} for w in range(0, 30, 3)}
+    texts = [[int(w) for w in rng.integers(0, 30, n)] for n in (0, 5, 40, 1, 0, 7, 3)] + [[1]]
+    types = {"id": pa.int64(), "_block": pa.int32(), "_words": pa.list_(pa.int64()), "indices": pa.list_(pa.int32()), "values": pa.list_(pa.float64())}
+    rows = [(None, 0, [w], list(v), list(v.values())) for w, v in vectors.items()] + [(i, 0, t, None, None) for i, t in enumerate(texts)]
+    # a second block does not see the vectors of the first
+    rows.append((99, 1, [0, 3], None, None))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
+    got = {}
+    for out in proj._block_sums(["id"])(iter([batch.slice(0, 4), batch.slice(4, 9), batch.slice(13)])):
+        got |= {r["id"]: dict(zip(r["indices"], r["values"])) for r in out.to_pylist()}
+    want = {99: {None: 0.0}}
+    for i, text in enumerate(texts):
+        want[i] = {}
+        for w in text:
+            for d, x in vectors.get(w, {}).items():
+                want[i][d] = want[i].get(d, 0.0) + x
+        want[i] = want[i] or {None: 0.0}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(30, 4)) * [3, 2, 1, 0.5] + 7
