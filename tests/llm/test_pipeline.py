@@ -7,7 +7,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from semaspan.llm import mixing, secrets
+from semaspan.llm import mixing, near_copies, secrets, simhash
 from semaspan.session import stored
 
 SF = "/root/testdata/sf0.01"
@@ -59,5 +59,33 @@ def test_odd_rows(spark):
     assert stages[-1].count() <= 1
 
 
+def test_near_duplicates_by_fingerprint_and_by_shingles_are_one_group(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return ["".join(rng.choices("aeinorst", k=rng.randint(4, 8))) for _ in range(n)]
+
+    def bits(a, b):
+        return (simhash.fingerprint_of(a) ^ simhash.fingerprint_of(b)).bit_count() if a != b else 0
+
+    def alike(a, b):
+        return near_copies.similar(near_copies.shingle_set(a), near_copies.shingle_set(b))
+
+    # few differing bits, yet five-word shingles below the bound: only the fingerprint finds them
+    while True:
+        base = words(60)
+        near = " ".join([*base[:30], *words(4), *base[34:]])
+        if bits(" ".join(base), near) <= 4 and not alike(" ".join(base), near):
+            break
+    # a copy of the second one with many differing bits: only the shingles find it
+    while True:
+        far = " ".join([near, *words(5)])
+        if bits(near, far) > 4 and alike(near, far) and not alike(" ".join(base), far):
+            break
+    texts = [(7, " ".join(base)), (3, near), (5, far), (5, far), (None, " ".join(words(60))), (9, " ".join(words(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 3, 9]
+
+
 def test_run_gives_the_last_stage(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] > 50
