@@ -46,14 +46,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# In bytes; longer words are compared with none of them.
+LONGEST_TAGGED = max(len(w) for words in TAGGED_WORDS.values() for w in words)
+
+
+def has_leading_digit(word: Column) -> Column:
+    return (word >= "0") & (word < ":")  # in the order of bytes a colon follows 9
+
+
 def tag_of(word: Column) -> Column:
-    tag = F.when(word.rlike("^[0-9]"), "ADJ")
+    tag = F.when(has_leading_digit(word), "ADJ")
+    short = F.octet_length(word) <= LONGEST_TAGGED
     for name, words in TAGGED_WORDS.items():
-        tag = tag.when(word.isin(words), name)
+        tag = tag.when(short & word.isin(words), name)
     tag = tag.when(F.length(word) >= UNCLASSIFIED_FROM, "UNC")
-    for rest, name in enumerate(TAG_BY_LENGTH[:-1]):
-        tag = tag.when(F.length(word) % 4 == rest, name)
-    return tag.otherwise(TAG_BY_LENGTH[-1])
+    return tag.otherwise(F.get(F.array(*map(F.lit, TAG_BY_LENGTH)), F.length(word) % 4))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
