@@ -111,7 +111,7 @@ def brunner_munzel_permutation(scores: DataFrame, n_perm: int, seed: int = 1, pa
     cuts, and a row finds its own labels. Labels are counted per distinct value before the shuffle.
     """
     scores = scores.filter(F.col(score).isNotNull())
-    values = scores.select(pair, (F.col(score) + 0.0).alias("_value"), F.col(row).alias("_row"))
+    values = _dealt_by_draws(scores.select(pair, (F.col(score) + 0.0).alias("_value"), F.col(row).alias("_row")), n_perm)
     sums = _rank_statistics(_side_counts(scores, pair, kind, score), [pair], "_value")
     asked = settle(sums.withColumns(_brunner_munzel_columns()).select(
         pair, F.when((F.col("nx") >= 2) & (F.col("ny") >= 2), F.col("statistic")).alias("_seen"),
@@ -149,6 +149,15 @@ def brunner_munzel_permutation(scores: DataFrame, n_perm: int, seed: int = 1, pa
     )
 
 
+DRAWS_A_TASK = 1_000_000  # some seconds of work
+
+
+def _dealt_by_draws(values: DataFrame, n_perm: int) -> DataFrame:
+    """`values` in so many tasks that none makes many draws: a row makes one for each permutation, so small scans are long work."""
+    tasks = -(-values.count() * n_perm // DRAWS_A_TASK)
+    return values if tasks <= values.rdd.getNumPartitions() else values.repartition(tasks, "_row", "_value")
+
+
 def _permutation_cuts(values: DataFrame, tested: DataFrame, draw, n_perm: int, pair: str,
                       size: int) -> DataFrame:
     """(pair, _cuts): for each permutation the draw of the last row that becomes FVC.

@@ -317,3 +317,12 @@ def test_a_construction_is_tested_against_each_plain_verb_by_itself(spark):
         ("have_walk_walk", "FVC", 3.0), ("have_walk_walk", "LVC", 2.0), ("take_walk_stroll", "FVC", 4.0), ("take_walk_stroll", "LVC", 1.0),
         ("take_walk_walk", "FVC", 3.0), ("take_walk_walk", "LVC", 1.0),
     ]
+
+
+def test_tasks_of_a_permutation_test_grow_with_its_draws(spark, monkeypatch):
+    monkeypatch.setattr(hyp, "DRAWS_A_TASK", 1000)
+    values = spark.range(1000, numPartitions=2).selectExpr("'p' AS pair", "CAST(id AS double) AS _value", "id AS _row")
+    dealt = hyp._dealt_by_draws(values, 50)
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == 1000
+    assert max(dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 60
+    assert hyp._dealt_by_draws(values, 1).rdd.getNumPartitions() == 2
