@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from semaspan.functions.tokens import anonymise_numerals, group_head, group_tail, has_digit, lemma_of
 from semaspan.operators.sentences import all_known
 from semaspan.plans.joins import lookup_join
+from semaspan.session import stored
 
 
 def object_constructions(annotated: DataFrame, pairs: DataFrame, sentence: Sequence[str] = ("file", "line_no"),
@@ -190,14 +191,15 @@ def extract_sentences(parsed: DataFrame, pairs: DataFrame, words: DataFrame, sen
     """(construction, kind, sentence keys, sentence): the sentences of each group as they are used later.
 
     Numerals of a file are marked in its sentences, and a sentence stays if all its tokens are in `words` or
-    marks. The corpus is read for the occurrences and for the numerals; only sentences with an occurrence move.
+    marks. The corpus is read once for the occurrences and once for the numerals; only sentences with an occurrence
+    move, and they are stored before they are compared with `words`.
     """
     hits = sentence_hits(parsed, pairs, sentence, tokens, max_pairs)
     numerals = parsed.select(file, F.explode(F.filter("annotated", lambda t: t["upos"] == "NUM")).alias("_t"))
     # a file's number words; what has a digit is marked without a list
     numerals = numerals.filter(~has_digit(F.col("_t.lemma"))).groupBy(file).agg(F.collect_set("_t.lemma").alias("_numerals"))
     marked = lookup_join(hits, numerals, file, "left", salts=8)
-    marked = marked.withColumn(tokens, anonymise_numerals(F.col(tokens), F.col("_numerals"))).drop("_numerals")
+    marked = stored(marked.withColumn(tokens, anonymise_numerals(F.col(tokens), F.col("_numerals"))).drop("_numerals"))
     known = all_known(marked, words, list(sentence), tokens, max_words)
     return marked.join(known, list(sentence), "left_semi").select(
         "construction", "kind", *sentence, F.array_join(tokens, " ").alias("sentence")

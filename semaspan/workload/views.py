@@ -18,6 +18,7 @@ from semaspan.operators.vocabulary import select_basis, target_words, token_freq
 from semaspan.operators.weighting import ppmi
 from semaspan.plans.scans import spread
 from semaspan.session import settle, stored
+from semaspan.workload.tagging import annotated_udf, elements_udf, tagged_udf, words_udf
 
 FREQ_MIN = 10
 EXCLUDE_FIRST = 10
@@ -28,17 +29,6 @@ VOCABULARY = 50_000
 LIGHT_VERBS, NOMINALS, PLAIN_VERBS = 10, 40, 60
 MAX_PAIRS = LIGHT_VERBS * NOMINALS
 
-# The tag of some words; others are tagged by their length.
-TAGGED_WORDS = {
-    "ART": ["the", "a", "an"],
-    "PREP": ["of", "to", "in", "for", "on", "with", "by", "at", "as"],
-    "PRON": ["it", "that", "they"],
-    "CONJ": ["and", "or", "but"],
-    "INTERJ": ["ha", "haha"],
-}
-TAG_BY_LENGTH = ["SUBST", "VERB", "ADJ", "ADV"]
-UNCLASSIFIED_FROM = 16
-
 SENTENCE = ["doc_id", "line_no"]
 
 
@@ -46,23 +36,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# In bytes; longer words are compared with none of them.
-LONGEST_TAGGED = max(len(w) for words in TAGGED_WORDS.values() for w in words)
-
-
-def has_leading_digit(word: Column) -> Column:
-    return (word >= "0") & (word < ":")  # in the order of bytes a colon follows 9
-
-
-def tag_of(word: Column) -> Column:
-    tag = F.when(has_leading_digit(word), "ADJ")
-    short = F.octet_length(word) <= LONGEST_TAGGED
-    for name, words in TAGGED_WORDS.items():
-        tag = tag.when(short & word.isin(words), name)
-    tag = tag.when(F.length(word) >= UNCLASSIFIED_FROM, "UNC")
-    return tag.otherwise(F.get(F.array(*map(F.lit, TAG_BY_LENGTH)), F.length(word) % 4))
-
-
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, lang, line_no, line) of all documents."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
@@ -70,11 +43,15 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return split.withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def spelled(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
+    """(doc_id, source, lang, line_no) and columns made from `line` in lower case."""
+    keys = ["doc_id", "source", "lang", "line_no"]
+    return lines(spark, sf).select(*keys, F.lower("line").alias("line")).select(*keys, *[c.alias(n) for n, c in columns.items()])
+
+
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, lang, line_no, words, ws): plain and tagged tokens of each line."""
-    words = F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+|[0-9]+)"), 1)
-    spelled = lines(spark, sf).select("doc_id", "source", "lang", "line_no", words.alias("words"))
-    return spelled.withColumn("ws", F.transform("words", lambda w: F.concat(w, F.lit("_"), tag_of(w))))
+    return spelled(spark, sf, words=words_udf("line"), ws=tagged_udf("line"))
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,57 +62,21 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 def xml_rows(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, line_no, xml): the sentences as XML, some tokens marked as truncated."""
-
-    def element(w: Column, i: Column) -> Column:
-        word = F.concat(F.lit('<w c5="X" hw="'), w, F.lit('" pos="'), tag_of(w), F.lit('">'), w, F.lit(" </w>"))
-        return F.when(i % 50 == 49, F.concat(F.lit("<trunc>"), word, F.lit("</trunc>"))).otherwise(word)
-
-    body = F.array_join(F.transform("words", element), "")
     opening = F.concat(F.lit('<s n="'), F.col("line_no"), F.lit('">'))
-    xml = F.concat(opening, body, F.lit('<c c5="PUN">.</c></s>'))
-    return sentences(spark, sf).select(*SENTENCE, xml.alias("xml"))
+    xml = F.concat(opening, "body", F.lit('<c c5="PUN">.</c></s>'))
+    return spelled(spark, sf, body=elements_udf("line")).select(*SENTENCE, xml.alias("xml"))
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, line_no, id, lemma, upos, deprel, head) with objects up to three tokens after a verb."""
-    i = F.col("_i")
-
-    def verb_at(back: int) -> Column:
-        return F.when(F.get("ws", i - back).endswith("_VERB"), i - back + 1)
-
-    placed = sentences(spark, sf).select(*SENTENCE, "ws", F.posexplode("words").alias("_i", "lemma"))
-    token = F.get("ws", i)
-    number = F.col("lemma").rlike("^[0-9]") | ((F.col("lemma") == "on") & (F.col("line_no") == 0))
-    upos = F.when(number, "NUM").when(token.endswith("_SUBST"), "NOUN").when(token.endswith("_VERB"), "VERB").otherwise("X")
-    read = placed.select(
-        *SENTENCE, (i + 1).cast("long").alias("id"), "lemma", upos.alias("upos"),
-        F.coalesce(verb_at(1), verb_at(2), verb_at(3)).cast("long").alias("_verb"),
-    )
-    is_object = (F.col("upos") == "NOUN") & F.col("_verb").isNotNull()
-    return read.select(
-        *SENTENCE, "id", "lemma", "upos",
-        F.when(is_object, "obj").otherwise("dep").alias("deprel"),
-        F.when(is_object, F.col("_verb")).otherwise(F.lit(0)).cast("long").alias("head"),
-    )
+    read = spelled(spark, sf, annotated=annotated_udf("line", "line_no")).select(*SENTENCE, F.inline("annotated"))
+    return read.select(*SENTENCE, F.col("id").cast("long"), "lemma", "upos", "deprel", F.col("head").cast("long"))
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, line_no, ws, annotated): the tokens of `annotated` as one array for each sentence."""
-
-    def token(w: Column, i: Column) -> Column:
-        def verb_at(back: int) -> Column:
-            return F.when(F.get("ws", i - back).endswith("_VERB"), i - back + 1)
-
-        tag = F.get("ws", i)
-        number = w.rlike("^[0-9]") | ((w == "on") & (F.col("line_no") == 0))
-        upos = F.when(number, "NUM").when(tag.endswith("_SUBST"), "NOUN").when(tag.endswith("_VERB"), "VERB").otherwise("X")
-        head = F.when(upos == "NOUN", F.coalesce(verb_at(1), verb_at(2), verb_at(3)))
-        return F.struct(
-            (i + 1).alias("id"), w.alias("lemma"), upos.alias("upos"),
-            F.when(head.isNotNull(), "obj").otherwise("dep").alias("deprel"), F.coalesce(head, F.lit(0)).alias("head"),
-        )
-
-    return sentences(spark, sf).select(*SENTENCE, "ws", F.transform("words", token).alias("annotated"))
+    made = spelled(spark, sf, ws=tagged_udf("line"), annotated=annotated_udf("line", "line_no"))
+    return made.select(*SENTENCE, "ws", "annotated")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
