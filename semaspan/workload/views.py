@@ -18,6 +18,7 @@ from semaspan.operators.vocabulary import select_basis, target_words, token_freq
 from semaspan.operators.weighting import ppmi
 from semaspan.plans.scans import spread
 from semaspan.session import settle, stored
+from semaspan.workload.tagging import TAG_BY_LENGTH, TAGGED_WORDS, UNCLASSIFIED_FROM  # noqa: F401 (the SQL reads them here)
 from semaspan.workload.tagging import annotated_udf, elements_udf, tagged_udf, words_udf
 
 FREQ_MIN = 10
