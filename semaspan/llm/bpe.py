@@ -162,12 +162,21 @@ class Vocabulary:
         return known
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The tables of a rank file, once per worker."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return Vocabulary(ranks, pattern)
+    return Vocabulary(ranks_of(path), pattern)
+
+
+@lru_cache(maxsize=2)
+def spellings(path: str) -> dict[int, bytes]:
+    """The bytes of each token: all that decoding needs, so its workers hold no automata."""
+    return {rank: token for token, rank in ranks_of(path).items()}
 
 
 def encode(text: Column | str, path: str, pattern: str) -> Column:
@@ -189,19 +198,24 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
     return encoded(text)
 
 
+def spelled_out(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
+    """The bytes of each list of token ids, ROWS_AT_ONCE lists at once."""
+    table = spellings(path)
+    for batch in batches:
+        for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
+            ends = part.offsets.to_numpy()
+            first = ends[0]
+            flat = part.values.slice(first, ends[-1] - first).to_numpy().tolist()
+            filled = zip((ends[:-1] - first).tolist(), (ends[1:] - first).tolist())
+            yield pa.array([b"".join(map(table.__getitem__, flat[a:b])) for a, b in filled], pa.binary())
+
+
 def decode(ids: Column | str, path: str, pattern: str) -> Column:
     """The bytes of an array of token ids (binary); null and empty arrays give no bytes."""
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = vocabulary(path, pattern).bytes_of
-        for batch in batches:
-            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
-                ends = part.offsets.to_numpy()
-                first = ends[0]
-                flat = part.values.slice(first, ends[-1] - first).to_numpy().tolist()
-                filled = zip((ends[:-1] - first).tolist(), (ends[1:] - first).tolist())
-                yield pa.array([b"".join(map(table.__getitem__, flat[a:b])) for a, b in filled], pa.binary())
+        yield from spelled_out(batches, path)
 
     return decoded(ids)
 

@@ -2,6 +2,7 @@ import base64
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -51,3 +52,13 @@ def test_odd_rows_and_columns(spark):
     got = sorted(((r.doc_id or 0, len(r.token_ids), bytes(r.b).decode()) for r in back.collect()))
     assert [g[0] for g in got] == [0, 1, 2, 2] and [g[2] for g in got] == ["<|endoftext|> é", "", "", ""]
     assert bpe.with_tokens(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_decoding_needs_no_automata(monkeypatch):
+    monkeypatch.setattr(bpe, "Vocabulary", lambda *a: pytest.fail("decoding builds the encoder's tables"))
+    bpe.vocabulary.cache_clear()
+    ids = [KNOWN.ids(t).tolist() for t in ("one text", "", "éa 1")] * 400
+    lists = pa.array(ids, pa.list_(pa.int32())).slice(1)
+    parts = list(bpe.spelled_out(iter([lists]), RANKS))
+    assert max(map(len, parts)) <= bpe.ROWS_AT_ONCE
+    assert [b.decode() for p in parts for b in p.to_pylist()] == (["one text", "", "éa 1"] * 400)[1:]
