@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from semaspan.sources import sinks, tables
 from semaspan.sources.corpus import read_corpus, read_group_values, read_groups, read_numbered_corpus
 from semaspan.sources.group_files import write_group_files
 from semaspan.sources.xml import (
-    SPOKEN_2014, WRITTEN_AND_SPOKEN, kept_tokens, prepare_corpus, read_xml_sentences, rendered_tokens, sentence_tokens,
+    SPOKEN_2014, WRITTEN_AND_SPOKEN, _Reader, kept_tokens, prepare_corpus, read_xml_sentences, rendered_tokens, sentence_tokens,
 )
 from semaspan.streaming.incremental import accumulated_counts, count_new_files
 
@@ -170,6 +171,32 @@ def test_xml_tokens_keep_order_and_survive_missing_attributes(spark, tmp_path):
     assert got[2] == [("p", None, None, ",", False), ("w", "INTERJ", "oh", "Oh ", True), ("w", "ADV", "yes", "yes", False)]
 
 
+ODD = [
+    '<s><w hw="a<w>b" pos="X">one</w><w hw="c">two</s>', "<s><w hw='' pos=\"Y\"/><corr n='1'>x</corr><c>!</c><w>z</s>",
+    '<s><!-- <trunc> <w> --><trunc r="1"><c>,</c><w hw="\u00e9&amp;" pos="A\nB">\u2003&lt;y\u00a0</w></trunc><w hw="q"', None, "",
+]
+ODD_TOKENS = [
+    [("w", "X", "a<w>b", "one", False), ("w", None, "c", "two", False)],
+    [("w", "Y", "", "", False), ("p", None, None, "!", False), ("w", None, None, "z", False)],
+    [("p", None, None, ",", False), ("w", None, "\u00e9&", "\u2003<y\u00a0", True)], None, [],
+]
+
+
+def test_elements_are_read_in_batches_and_once(spark, monkeypatch):
+    monkeypatch.setattr("semaspan.sources.xml.REMEMBERED_ELEMENTS", 3)  # the driver's reader only
+    rows = spark.createDataFrame(list(enumerate(ODD * 3)), "i int, xml string").withColumn("t", sentence_tokens(F.col("xml")))
+    got = [r.t if r.t is None else [(t.kind[0], t.pos, t.lemma, t.text, t.truncated) for t in r.t] for r in rows.orderBy("i").collect()]
+    assert got == ODD_TOKENS * 3
+    reader = _Reader(WRITTEN_AND_SPOKEN)
+    for _ in range(2):
+        found = reader.tokens(pa.array(ODD, pa.string()).slice(1)).to_pylist()
+        assert [x and len(x) for x in found] == [3, 2, None, []]
+    stripped = rows.filter("i = 2").select(rendered_tokens(F.col("t"), lemmatise=False, pos_tags=False)).first()[0]
+    assert stripped == [",", "<y"]
+    plan = rows.select(F.posexplode(kept_tokens(F.col("t")))).filter("pos > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("read(") == 1 and "regexp_extract" not in plan
+
+
 def test_second_dialect(spark, tmp_path):
     got = tokens_of(spark, put(tmp_path, "a.xml", SPOKEN), SPOKEN_2014)
     assert [(t[0], t[1], t[2], t[4]) for t in got[0]] == [
