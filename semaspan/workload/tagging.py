@@ -29,6 +29,7 @@ ANNOTATED = T.ArrayType(
     T.StructType().add("id", T.IntegerType()).add("lemma", T.StringType()).add("upos", T.StringType())
     .add("deprel", T.StringType()).add("head", T.IntegerType())
 )
+PARSED = T.StructType().add("ws", WORDS).add("annotated", ANNOTATED)
 
 _TAG = {word: tag for tag, words in TAGGED_WORDS.items() for word in words}
 _UPOS = pa.array(["NUM", "NOUN", "VERB", "X"])
@@ -94,10 +95,13 @@ def words(lines: pa.Array) -> pa.Array:
     return words_of(lines)
 
 
+def _tagged(t: _Tokens) -> pa.ListArray:
+    return t.lists(t.spelled([f"{w}_{tag}" for w, tag in zip(t.words, t.tags)]))
+
+
 def tagged(lines: pa.Array) -> pa.Array:
     """word_TAG of each word."""
-    t = _Tokens(lines)
-    return t.lists(t.spelled([f"{w}_{tag}" for w, tag in zip(t.words, t.tags)]))
+    return _tagged(_Tokens(lines))
 
 
 def elements(lines: pa.Array) -> pa.Array:
@@ -111,7 +115,16 @@ def elements(lines: pa.Array) -> pa.Array:
 
 def annotated(lines: pa.Array, numbers: pa.Array) -> pa.Array:
     """(id, lemma, upos, deprel, head) of each word; objects stand up to three tokens after a verb."""
+    return _annotated(_Tokens(lines), numbers)
+
+
+def parsed(lines: pa.Array, numbers: pa.Array) -> pa.Array:
+    """(ws, annotated): what `tagged` and `annotated` give, with the words of a line taken once."""
     t = _Tokens(lines)
+    return pa.StructArray.from_arrays([_tagged(t), _annotated(t, numbers)], PARSED.names)
+
+
+def _annotated(t: _Tokens, numbers: pa.Array) -> pa.ListArray:
     kinds = {"SUBST": 1, "VERB": 2}
     tag = np.array([kinds.get(x, 3) for x in t.tags], np.int8)[t.codes]
     digits = np.array(["0" <= w[0] <= "9" for w in t.words], bool)[t.codes]
@@ -139,3 +152,4 @@ words_udf = F.arrow_udf(words, WORDS).asNondeterministic()
 tagged_udf = F.arrow_udf(tagged, WORDS).asNondeterministic()
 elements_udf = F.arrow_udf(elements, T.StringType()).asNondeterministic()
 annotated_udf = F.arrow_udf(annotated, ANNOTATED).asNondeterministic()
+parsed_udf = F.arrow_udf(parsed, PARSED).asNondeterministic()

@@ -19,7 +19,7 @@ from semaspan.operators.weighting import ppmi
 from semaspan.plans.scans import spread
 from semaspan.session import settle, stored
 from semaspan.workload.tagging import TAG_BY_LENGTH, TAGGED_WORDS, UNCLASSIFIED_FROM  # noqa: F401 (the SQL reads them here)
-from semaspan.workload.tagging import annotated_udf, elements_udf, tagged_udf, words_udf
+from semaspan.workload.tagging import annotated_udf, elements_udf, parsed_udf, tagged_udf, words_udf
 
 FREQ_MIN = 10
 EXCLUDE_FIRST = 10
@@ -80,6 +80,11 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(*SENTENCE, "ws", "annotated")
 
 
+def parsed_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """`parsed` for readers of both its arrays: they are made together, so neither is left out where it is not read."""
+    return spelled(spark, sf, parsed=parsed_udf("line", "line_no")).select(*SENTENCE, "parsed.ws", "parsed.annotated")
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(pair, kind, row, score) from all events."""
     events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
@@ -188,7 +193,7 @@ class Space:
     @cached_property
     def hits(self) -> DataFrame:
         """(doc_id, line_no, ws, construction, kind): all occurrences with their sentences, from one pass, stored."""
-        return stored(sentence_hits(parsed(self.spark, self.sf), self.pairs, SENTENCE, "ws", MAX_PAIRS))
+        return stored(sentence_hits(parsed_whole(self.spark, self.sf), self.pairs, SENTENCE, "ws", MAX_PAIRS))
 
     @cached_property
     def groups(self) -> DataFrame:

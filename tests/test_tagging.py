@@ -34,6 +34,15 @@ def test_heads_stand_in_the_same_line():
     assert found[3] is None
 
 
+def test_words_of_a_parsed_line_are_taken_once(monkeypatch):
+    taken = []
+    monkeypatch.setattr(tagging, "words_of", lambda lines, f=tagging.words_of: taken.append(1) or f(lines))
+    lines, numbers = pa.array(LINES, pa.string()), pa.array(range(len(LINES)), pa.int64())
+    both = tagging.parsed(lines, numbers)
+    assert len(taken) == 1
+    assert both.field("ws").equals(tagging.tagged(lines)) and both.field("annotated").equals(tagging.annotated(lines, numbers))
+
+
 def test_every_fiftieth_element_is_truncated():
     body = tagging.elements(pa.array(["ab " * 101, ""])).to_pylist()
     assert body[0].count("<trunc>") == 2 and body[0].count("<w ") == 101 and body[1] == ""
