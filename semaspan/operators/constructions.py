@@ -51,7 +51,8 @@ def plain_verbs(annotated: DataFrame, pairs: DataFrame, sentence: Sequence[str]
 def _head_of(token: Column) -> Column:
     """The lemma of a token's head in `annotated`: by place where ids number the tokens, else by its id."""
     placed = F.get("annotated", (token["head"] - 1).cast("int"))
-    named = F.get(F.filter("annotated", lambda t: t["id"] == token["head"]), F.lit(0))["lemma"]
+    # no function of its own for each token: Spark compiles what has none
+    named = F.get("annotated.lemma", F.array_position("annotated.id", token["head"]).cast("int") - 1)
     return F.when(placed["id"] == token["head"], placed["lemma"]).otherwise(named)
 
 
@@ -171,19 +172,20 @@ def sentence_hits(parsed: DataFrame, pairs: DataFrame, sentence: Sequence[str] =
     a sentence. Heads are found inside the row, so no token is joined with another.
     """
 
-    def lvc(noun):
-        return F.struct(F.concat(_head_of(noun), F.lit("_VERB_"), noun["lemma"], F.lit("_SUBST")).alias("construction"), F.lit("LVC").alias("kind"))
-
-    def fvc(verb):
-        return F.struct(F.concat(verb["lemma"], F.lit("_VERB")).alias("construction"), F.lit("FVC").alias("kind"))
-
-    verbs = F.filter("annotated", lambda t: t["upos"] == "VERB")
-    found = parsed.select(*sentence, tokens, F.explode(F.concat(F.transform(_objects(), lvc), F.transform(verbs, fvc))).alias("_hit"))
+    token = F.col("_t")
+    is_verb = token["upos"] == "VERB"
+    fvc = F.concat(token["lemma"], F.lit("_VERB"))
+    lvc = F.concat(_head_of(token), F.lit("_VERB_"), token["lemma"], F.lit("_SUBST"))
+    # rows of tokens end in one compiled loop with the lookup, so sentences are copied for what is listed only
+    rows = parsed.select(*sentence, tokens, "annotated", F.explode("annotated").alias("_t"))
+    found = rows.filter(is_verb | ((token["upos"] == "NOUN") & (token["deprel"] == "obj"))).select(
+        *sentence, tokens, F.when(is_verb, fvc).otherwise(lvc).alias("construction"), F.when(is_verb, "FVC").otherwise("LVC").alias("kind")
+    )
     listed = pairs.select(F.concat_ws("_", "lv_pos", "nominal_pos").alias("construction"), F.lit("LVC").alias("kind")).unionByName(
         pairs.select(F.col("fvc_pos").alias("construction"), F.lit("FVC").alias("kind"))
     ).distinct()
     bound = None if max_pairs is None else 2 * max_pairs
-    return lookup_join(found.select(*sentence, tokens, "_hit.*"), listed, ["construction", "kind"], "left_semi", bound, 8)
+    return lookup_join(found, listed, ["construction", "kind"], "left_semi", bound, 8)
 
 
 def extract_sentences(parsed: DataFrame, pairs: DataFrame, words: DataFrame, sentence: Sequence[str] = ("file", "line_no"),

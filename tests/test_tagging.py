@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from semaspan.operators.constructions import extract_sentences
+from semaspan.operators.constructions import extract_sentences, sentence_hits
 from semaspan.workload import tagging, views
 
 LINES = ["", " -- ", None, "a1b2 3c", "--x__y--", "on 5 abcde the abcd on", "the " * 60, "ΐé ½ ٣٤ 日本12", "y" * 16, "abcde abcdefgh abcd ab abcd"]
@@ -72,3 +72,20 @@ def test_extraction_reads_the_corpus_before_it_compares_words(spark, corpus):
         ("abcde_VERB_abcd_SUBST", "LVC", 1, 0, "abcde_VERB abcd_SUBST"),
         ("abcde_VERB_abcd_SUBST", "LVC", 1, 1, "abcd_SUBST --anonnumeral_ADJ abcde_VERB abcd_SUBST"),
     ]
+
+
+def test_hits_are_found_by_id_in_compiled_code(spark):
+    """Heads are taken by id where ids do not number the tokens; the first of equal ids counts, and no lambda runs for each token."""
+    rows = [
+        (1, ["x"], [(7, "take", "VERB", "dep", 0), (7, "give", "VERB", "dep", 0), (3, "walk", "NOUN", "obj", 7), (4, "walk", "NOUN", "obj", 9)]),
+        (2, ["y"], [(1, "take", "VERB", "dep", 0), (2, "walk", "NOUN", "obj", 1), (3, "walk", "NOUN", "obj", None), (4, None, None, None, 1)]),
+        (3, ["z"], None), (4, None, []),
+    ]
+    parsed = spark.createDataFrame(
+        rows, "line_no long, ws array<string>, annotated array<struct<id: int, lemma: string, upos: string, deprel: string, head: int>>"
+    )
+    pairs = spark.createDataFrame([("take_VERB", "walk_SUBST", "give_VERB")], "lv_pos string, nominal_pos string, fvc_pos string")
+    hits = sentence_hits(parsed, pairs, ["line_no"], "ws", 10)
+    got = sorted((r.line_no, r.ws, r.construction, r.kind) for r in hits.collect())
+    assert got == [(1, ["x"], "give_VERB", "FVC"), (1, ["x"], "take_VERB_walk_SUBST", "LVC"), (2, ["y"], "take_VERB_walk_SUBST", "LVC")]
+    assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()
