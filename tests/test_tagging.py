@@ -1,6 +1,8 @@
 """Words, tags and parses of whole batches of lines, against plain Python."""
 
+import random
 import re
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -89,3 +91,18 @@ def test_hits_are_found_by_id_in_compiled_code(spark):
     got = sorted((r.line_no, r.ws, r.construction, r.kind) for r in hits.collect())
     assert got == [(1, ["x"], "give_VERB", "FVC"), (1, ["x"], "take_VERB_walk_SUBST", "LVC"), (2, ["y"], "take_VERB_walk_SUBST", "LVC")]
     assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_and_tags_of_odd_characters_stay_in_arrow():
+    rng = random.Random(5)
+    pool = [chr(c) for c in (0x41, 0x61, 0x31, 0x20, 0x2D, 0xE9, 0x301, 0x663, 0x65E5, 0x1F600, 0x10400, 0x1D7CE, 0x2160, 0xAA, 0xFFFD)]
+    odd = [None if rng.random() < 0.1 else "".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(2_000)]
+
+    def runs(line):
+        kind = ["d" if "0" <= c <= "9" else "l" if unicodedata.category(c)[0] == "L" else " " for c in line]
+        return [line[m.start():m.end()] for m in re.finditer("d+|l+", "".join(kind))]
+
+    lines = pa.array(["x", *odd], pa.string())[1:]  # a slice, as its bytes do not start at the first
+    assert tagging.words(lines).to_pylist() == [None if x is None else runs(x) for x in odd]
+    tokens = tagging._Tokens(lines)
+    assert isinstance(tokens.words, pa.Array) and len(tokens.tags) == len(tokens.words)
