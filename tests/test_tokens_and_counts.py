@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from semaspan.functions import tokens as tk
+from semaspan.operators import cooccurrence
 from semaspan.operators.cooccurrence import assemble_vectors, cooccurrences, vector_sum
 from semaspan.operators.sentences import all_known, anonymise_corpus, longer_than, tokenised, unique_tokens
 from semaspan.operators.vectors import pair_measures, sparse_vectors, subset_dimensions, to_long, to_nested
@@ -211,3 +213,41 @@ def test_pairs_move_no_cells(spark):
 def test_sparse_vectors_hold_one_row_a_word(spark):
     cells = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("a", 3, 4.0), ("a", 2, None), ("b", 9, None)], "lemma_pos string, basis_index int, ppmi double")
     assert [tuple(r) for r in sparse_vectors(cells).collect()] == [("a", [1, 3], [2.0, 5.0], 29.0)]
+
+
+def test_bounded_vocabularies_are_counted_in_the_task(spark):
+    rows = [("de", ["a", "b", "a", None, "c"]), (None, ["a", "b", "c"]), ("de", None), ("de", []), (None, ["b"])]
+    df = spark.createDataFrame(rows, "lang string, ws array<string>")
+    t = spark.createDataFrame([(7, "a"), (5, "c")], "voc_index int, lemma_pos string")
+    b = spark.createDataFrame([(0, "b"), (3, "a"), (1, None)], "basis_index int, lemma_pos string")
+    cells = cooccurrences(df, t, b, 2, 2, keys=["lang"])
+    want = {("de", "a", 0): 2, ("de", "c", 3): 1, (None, "a", 0): 1, (None, "c", 0): 1, (None, "c", 3): 1}
+    assert {(r.lang, r.lemma_pos, r.basis_index): r.n for r in cells.collect()} == want
+    # no row a token or a pair: tokens leave the task as folded cells alone
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    # a word that is listed twice keeps both its numbers
+    twice = t.unionByName(spark.createDataFrame([(9, "a")], "voc_index int, lemma_pos string"))
+    assert cooccurrences(df, twice, b, 2, 2).filter("lemma_pos = 'a'").agg({"n": "sum"}).first()[0] == 6
+    with pytest.raises(Exception, match="at most 1 rows was promised"):
+        cooccurrences(df, t, b, 2, 2, max_targets=1).collect()
+
+
+def test_tasks_give_their_cells_in_parts(monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    sentences = [[rng.choice(words) for _ in range(rng.randrange(40))] for _ in range(300)]
+    targets, basis = {w: i for i, w in enumerate(words[:20])}, {w: i for i, w in enumerate(words[10:])}
+    t = pa.table({"lemma_pos": list(targets), "voc_index": pa.array(targets.values(), pa.int32())})
+    b = pa.table({"lemma_pos": list(basis), "basis_index": pa.array(basis.values(), pa.int32())})
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 for i in range(300)]), pa.array(sentences)], ["k", "ws"])
+    want = Counter()
+    for k in range(3):
+        want.update({(k, targets[w], d): n for (w, d), n in brute_force(sentences[k::3], targets, basis, 4, 5).items()})
+    for held in (60, 700, 1 << 20):
+        monkeypatch.setattr(cooccurrence, "HELD", held)
+        got = Counter()
+        for part in cooccurrence.task_cells(iter([batch.slice(0, 130), batch.slice(130)]), t, b, 4, 5):
+            for r in part.to_pylist():
+                got[(r["k"], r["voc_index"], r["basis_index"])] += r["n"]
+        assert got == want
