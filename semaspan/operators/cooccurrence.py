@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ def cooccurrences(
     keys: Sequence[str] = (),
     max_targets: int | None = 50_000,
     max_basis: int | None = 2_000,
+    tokenise: Callable[[pa.Array], pa.Array] | None = None,
 ) -> DataFrame:
     """(keys, lemma_pos, basis_index, n): how often a context word stands near a target word.
 
@@ -34,15 +35,21 @@ def cooccurrences(
     word. The window is symmetric, so it is opened around the context words: they are the smaller share
     of a corpus, as the basis leaves out the most frequent words. Bounded vocabularies go to every task, which counts
     whole batches of sentences and folds their cells before anything moves; others are joined, each context
-    word with its own neighbourhood of at most 2 * window + 1 tokens.
+    word with its own neighbourhood of at most 2 * window + 1 tokens. `tokenise` makes the arrays of tokens of a
+    batch from the lines that `tokens` names, of strings or of places in a dictionary without repeats; they are
+    counted where they are made.
     """
     voc, dims = targets.select("lemma_pos", "voc_index"), basis.select("lemma_pos", "basis_index")
     listed = [_listed(table, rows) for table, rows in ((voc, max_targets), (dims, max_basis))]
     if any(table is None for table in listed):
+        if tokenise is not None:
+            spelled = pa.list_(pa.string())
+            made = F.arrow_udf(lambda lines: tokenise(lines).cast(spelled), T.ArrayType(T.StringType())).asNondeterministic()
+            sentences = sentences.select(*keys, made(tokens).alias(tokens))
         pairs = _joined_pairs(sentences, voc, dims, window, min_length, tokens, keys, max_targets, max_basis)
         parts = pairs.withColumn("n", F.lit(1))
     else:
-        parts = _counted_pairs(sentences.select(*keys, tokens), *listed, voc.schema, dims.schema, window, min_length)
+        parts = _counted_pairs(sentences.select(*keys, tokens), *listed, voc.schema, dims.schema, window, min_length, tokenise)
     cells = parts.groupBy(*keys, "voc_index", "basis_index").agg(F.sum("n").alias("n"))
     return lookup_join(cells, voc, "voc_index", max_rows=max_targets, salts=16).select(
         *keys, "lemma_pos", "basis_index", "n"
@@ -73,14 +80,14 @@ def _listed(table: DataFrame, max_rows: int | None) -> pa.Table | None:
     return listed if len(pc.unique(listed["lemma_pos"])) == len(listed) else None
 
 
-def _counted_pairs(sentences, words, contexts, word_schema, context_schema, window, min_length) -> DataFrame:
+def _counted_pairs(sentences, words, contexts, word_schema, context_schema, window, min_length, tokenise) -> DataFrame:
     """(keys, voc_index, basis_index, n): the pairs of a task, folded, in several parts if there are many."""
     schema = T.StructType([
         *sentences.schema[:-1], word_schema["voc_index"], context_schema["basis_index"], T.StructField("n", T.LongType()),
     ])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return task_cells(batches, words, contexts, window, min_length)
+        return task_cells(_with_tokens(batches, tokenise), words, contexts, window, min_length)
 
     return sentences.mapInArrow(count, schema)
 
@@ -106,6 +113,14 @@ def task_cells(batches: Iterator[pa.RecordBatch], words: pa.Table, contexts: pa.
         yield from _cell_rows(held, groups, schema, words, contexts)
 
 
+def _with_tokens(batches: Iterator[pa.RecordBatch], tokenise: Callable[[pa.Array], pa.Array] | None) -> Iterator[pa.RecordBatch]:
+    """The batches with tokens made of their last column."""
+    for batch in batches:
+        if tokenise is not None:
+            batch = pa.RecordBatch.from_arrays([*batch.columns[:-1], tokenise(batch.columns[-1])], batch.schema.names)
+        yield batch
+
+
 def _sizes(lists: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +15,24 @@ from semaspan.plans.joins import lookup_join
 from semaspan.plans.ordered import global_rank, top_ranked
 
 
-def token_frequencies(lines: DataFrame, value: str = "value", tokens: str | None = None) -> DataFrame:
+# A task that counts holds about this many different tokens of a batch or of several.
+HELD = 1 << 20
+
+
+def token_frequencies(lines: DataFrame, value: str = "value", tokens: str | None = None,
+                      tokenise: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
     """(lemma_pos, freq) over all lines, or over arrays of tokens if `tokens` names them.
 
-    Partial counts are taken before the shuffle.
+    Partial counts are taken before the shuffle. `tokenise` makes the arrays of a batch of lines, of strings or of
+    places in a dictionary without repeats; they are counted where they are made and never become rows.
     """
+    if tokenise is not None:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return task_counts((tokenise(batch.column(0)) for batch in batches))
+
+        parts = lines.select(value).mapInArrow(count, "lemma_pos string, n long")
+        return parts.groupBy("lemma_pos").agg(F.sum("n").alias("freq"))
     spelled = counted_tokens(F.col(value)) if tokens is None else F.col(tokens)
     return (
         lines.select(F.explode(spelled).alias("lemma_pos"))
@@ -23,6 +41,31 @@ def token_frequencies(lines: DataFrame, value: str = "value", tokens: str | None
     )
 
 
+def task_counts(lists: Iterator[pa.ListArray]) -> Iterator[pa.RecordBatch]:
+    """(lemma_pos, n) of arrays of token lists, in several parts if there are many different tokens."""
+    held, size = [], 0
+
+    def folded() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("lemma_pos", use_threads=False).aggregate([("n", "sum")])
+        return sums.rename_columns({"n_sum": "n"}).select(["lemma_pos", "n"])
+
+    for array in lists:
+        encoded = array.flatten().dictionary_encode()
+        codes = pc.fill_null(encoded.indices, len(encoded.dictionary)).to_numpy(zero_copy_only=False)
+        n = np.bincount(codes, minlength=len(encoded.dictionary) + 1)
+        words = pa.concat_arrays([encoded.dictionary, pa.nulls(1, encoded.dictionary.type)])
+        held.append(pa.table({"lemma_pos": words, "n": n}).filter(pa.array(n > 0)))
+        size += len(held[-1])
+        if size > HELD:
+            held = [folded()]
+            size = len(held[0])
+            if size > HELD // 2:
+                yield from held[0].to_batches(max_chunksize=100_000)
+                held, size = [], 0
+    if held:
+        yield from folded().to_batches(max_chunksize=100_000)
+
+
 def most_frequent_first(freqs: DataFrame) -> list[Column]:
     """The order of a frequency list: its own rank, else frequency and then token, both falling."""
     if "rank" in freqs.columns:

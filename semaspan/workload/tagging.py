@@ -155,6 +155,13 @@ def tagged(lines: pa.Array) -> pa.Array:
     return _tagged(_Tokens(lines))
 
 
+def tagged_places(lines: pa.Array) -> pa.Array:
+    """What `tagged` gives, as places in the list of the different words of the batch."""
+    t = _Tokens(lines)
+    forms = pc.binary_join_element_wise(t.words, t.tag_names(), "_")
+    return t.lists(pa.DictionaryArray.from_arrays(pa.array(t.codes.astype(np.int32)), forms))
+
+
 def elements(lines: pa.Array) -> pa.Array:
     """The words as XML elements, some of them truncated."""
     t = _Tokens(lines)

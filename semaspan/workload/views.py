@@ -19,7 +19,7 @@ from semaspan.operators.weighting import ppmi
 from semaspan.plans.scans import spread
 from semaspan.session import settle, stored
 from semaspan.workload.tagging import TAG_BY_LENGTH, TAGGED_WORDS, UNCLASSIFIED_FROM  # noqa: F401 (the SQL reads them here)
-from semaspan.workload.tagging import annotated_udf, elements_udf, parsed_udf, tagged_udf, words_udf
+from semaspan.workload.tagging import annotated_udf, elements_udf, parsed_udf, tagged_places, tagged_udf, words_udf
 
 FREQ_MIN = 10
 EXCLUDE_FIRST = 10
@@ -116,9 +116,14 @@ class Space:
     def sentences(self) -> DataFrame:
         return sentences(self.spark, self.sf)
 
+    @cached_property
+    def untagged(self) -> DataFrame:
+        """(doc_id, source, lang, line_no, line): for operators that tag the words of a line and count them at once."""
+        return spelled(self.spark, self.sf, line=F.col("line"))
+
     @cached_property
     def freqs(self) -> DataFrame:
-        return settle(token_frequencies(self.sentences, tokens="ws"))
+        return settle(token_frequencies(self.untagged, "line", tokenise=tagged_places))
 
     @cached_property
     def basis(self) -> DataFrame:
@@ -130,8 +135,8 @@ class Space:
 
     def count(self, keys: tuple[str, ...] = ()) -> DataFrame:
         return cooccurrences(
-            self.sentences, self.targets, self.basis, WINDOW, MIN_LENGTH,
-            keys=keys, max_targets=VOCABULARY, max_basis=DIMENSION,
+            self.untagged, self.targets, self.basis, WINDOW, MIN_LENGTH, "line",
+            keys=keys, max_targets=VOCABULARY, max_basis=DIMENSION, tokenise=tagged_places,
         )
 
     @cached_property

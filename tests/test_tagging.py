@@ -28,6 +28,14 @@ def test_tags_come_from_digits_lists_and_lengths():
     assert tagged == [["5_ADJ", "on_PREP", "the_ART", "on_PREP", "ab_ADJ", "abcd_SUBST", "abcde_VERB", "z" * 16 + "_UNC"], None, []]
 
 
+def test_tagged_places_spell_the_tagged_words():
+    lines = pa.array(LINES, pa.string())
+    places = tagging.tagged_places(lines)
+    assert places.to_pylist() == tagging.tagged(lines).to_pylist()
+    assert places.cast(pa.list_(pa.string())).equals(tagging.tagged(lines))
+    assert len(places.values.dictionary.unique()) == len(places.values.dictionary) < len(places.values)
+
+
 def test_heads_stand_in_the_same_line():
     lines = pa.array(["abcde", "abcd", "abcde abcde of abcd of ab abcd on", None])
     found = tagging.annotated(lines, pa.array([0, 1, 2, 3])).to_pylist()

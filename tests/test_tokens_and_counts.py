@@ -6,11 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from semaspan.functions import tokens as tk
-from semaspan.operators import cooccurrence
+from semaspan.operators import cooccurrence, vocabulary
 from semaspan.operators.cooccurrence import assemble_vectors, cooccurrences, vector_sum
 from semaspan.operators.sentences import all_known, anonymise_corpus, longer_than, tokenised, unique_tokens
 from semaspan.operators.vectors import pair_measures, sparse_vectors, subset_dimensions, to_long, to_nested
@@ -251,3 +252,29 @@ def test_tasks_give_their_cells_in_parts(monkeypatch):
             for r in part.to_pylist():
                 got[(r["k"], r["voc_index"], r["basis_index"])] += r["n"]
         assert got == want
+
+
+def test_tokens_are_counted_where_they_are_made(spark, monkeypatch):
+    rows = [("a b a c",), (None,), ("b a c",), ("c",)]
+    lines = spark.createDataFrame(rows, "line string").repartition(3)
+    freqs = token_frequencies(lines, "line", tokenise=lambda x: pc.split_pattern(x, " "))
+    assert {r.lemma_pos: r.freq for r in freqs.collect()} == {"a": 3, "b": 2, "c": 3}
+    t = spark.createDataFrame([(0, "a"), (1, "c")], "voc_index int, lemma_pos string")
+    b = spark.createDataFrame([(0, "b"), (1, "a")], "basis_index int, lemma_pos string")
+    plans = []
+    for bounds in ({}, {"max_targets": None, "max_basis": None}):
+        cells = cooccurrences(lines, t, b, 2, 2, "line", tokenise=lambda x: pc.split_pattern(x, " "), **bounds)
+        assert {(r.lemma_pos, r.basis_index): r.n for r in cells.collect()} == {("a", 0): 3, ("c", 1): 2, ("c", 0): 2}
+        plans.append(cells._jdf.queryExecution().optimizedPlan().toString())
+    plans.append(freqs._jdf.queryExecution().optimizedPlan().toString())
+    assert ["Generate" in p for p in plans] == [False, True, False]
+    # few different tokens are held at once, and no count is lost when a part is given out
+    lists = [pa.array([[f"w{i * j % 41}" for j in range(i)], None, [None]], pa.list_(pa.string())) for i in range(60)]
+    want = Counter(w for x in lists for ws in x.to_pylist() for w in ws or [])
+    for held in (5, 60, 10_000):
+        monkeypatch.setattr(vocabulary, "HELD", held)
+        got = Counter()
+        for part in vocabulary.task_counts(iter(lists)):
+            for r in part.to_pylist():
+                got[r["lemma_pos"]] += r["n"]
+        assert got == want
