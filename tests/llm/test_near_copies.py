@@ -91,3 +91,28 @@ def test_sets_of_a_batch_are_not_held_at_once():
         parts = list(udf.func(iter([texts])))
         assert len(parts) > 2 and sum(map(len, parts)) == len(texts)
         assert max(map(len, parts)) <= nc.TEXTS_AT_ONCE
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Without MinHash bands the stage still drops what SimHash links, if it is alike; what is not alike stays."""
+    calls, original = [], pipeline.simhash.near_duplicates
+    monkeypatch.setattr(pipeline.simhash, "near_duplicates", lambda *a: calls.append(a) or original(*a))
+    texts = planted(random.Random(3), 20)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    linked = {r.doc_id: r.component_id for r in original(docs).collect()}
+    near = {i for i in linked if linked[i] != i and jaccard(texts[i], texts[linked[i]]) >= 0.8}
+    assert near
+    monkeypatch.setattr(nc, "band_members", lambda sets, members=nc.band_members: members(sets).filter("band < 0"))
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert calls and not kept & near and kept >= set(want(texts))
+
+
+def test_proposed_candidates_are_compared_exactly(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    other = ["".join(rng.choices("klmnop", k=6)) for _ in range(200)]
+    texts = [" ".join(other), " ".join(words), " ".join([*words[:199], "x"]), None, " ".join(other)]
+    docs = spark.createDataFrame([*enumerate(texts), (4, texts[4]), (None, texts[2])], "doc_id long, text string")
+    proposed = docs.select("doc_id", (docs["doc_id"] * 0).alias("key"))
+    got = {(r.doc_id, r.component_id) for r in nc.near_copies(docs, proposed).collect()}
+    assert got == {(0, 0), (1, 1), (2, 1), (None, 1), (3, 3), (4, 0)}
