@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspan.plans.joins import BROADCAST_ROWS, at_most, lookup_join
+from semaspan.plans.joins import listed, lookup_join
 
 # A task that counts holds about this many cells, key values and neighbours of context words at once.
 HELD = 1 << 22
@@ -40,8 +40,8 @@ def cooccurrences(
     counted where they are made.
     """
     voc, dims = targets.select("lemma_pos", "voc_index"), basis.select("lemma_pos", "basis_index")
-    listed = [_listed(table, rows) for table, rows in ((voc, max_targets), (dims, max_basis))]
-    if any(table is None for table in listed):
+    bounded = [listed(table, rows) for table, rows in ((voc, max_targets), (dims, max_basis))]
+    if any(table is None for table in bounded):
         if tokenise is not None:
             spelled = pa.list_(pa.string())
             made = F.arrow_udf(lambda lines: tokenise(lines).cast(spelled), T.ArrayType(T.StringType())).asNondeterministic()
@@ -49,7 +49,7 @@ def cooccurrences(
         pairs = _joined_pairs(sentences, voc, dims, window, min_length, tokens, keys, max_targets, max_basis)
         parts = pairs.withColumn("n", F.lit(1))
     else:
-        parts = _counted_pairs(sentences.select(*keys, tokens), *listed, voc.schema, dims.schema, window, min_length, tokenise)
+        parts = _counted_pairs(sentences.select(*keys, tokens), *bounded, voc.schema, dims.schema, window, min_length, tokenise)
     cells = parts.groupBy(*keys, "voc_index", "basis_index").agg(F.sum("n").alias("n"))
     return lookup_join(cells, voc, "voc_index", max_rows=max_targets, salts=16).select(
         *keys, "lemma_pos", "basis_index", "n"
@@ -72,14 +72,6 @@ def _joined_pairs(sentences, voc, dims, window, min_length, tokens, keys, max_ta
     return lookup_join(pairs, voc, "lemma_pos", max_rows=max_targets, salts=16).select(*keys, "voc_index", "basis_index")
 
 
-def _listed(table: DataFrame, max_rows: int | None) -> pa.Table | None:
-    """A vocabulary whose bound can be promised, as it is sent to the tasks; none if a word is listed twice."""
-    if max_rows is None or max_rows > BROADCAST_ROWS:
-        return None
-    listed = at_most(table, max_rows).toArrow().filter(pc.field("lemma_pos").is_valid()).combine_chunks()
-    return listed if len(pc.unique(listed["lemma_pos"])) == len(listed) else None
-
-
 def _counted_pairs(sentences, words, contexts, word_schema, context_schema, window, min_length, tokenise) -> DataFrame:
     """(keys, voc_index, basis_index, n): the pairs of a task, folded, in several parts if there are many."""
     schema = T.StructType([

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from semaspan.operators.principal import place, principal_scores
 from semaspan.operators.vectors import sparse_vectors
-from semaspan.plans.joins import lookup_join
+from semaspan.plans.joins import listed, lookup_join
 from semaspan.session import stored
 
 
@@ -228,24 +229,57 @@ def _summed(part: pa.RecordBatch, keys: list[str], table: _SparseTable) -> Itera
         )
 
 
-def sentence_projections(sentences: DataFrame, projections: DataFrame, keys: Sequence[str],
-                         tokens: str = "ws", max_words: int | None = None) -> DataFrame:
+def sentence_projections(sentences: DataFrame, projections: DataFrame, keys: Sequence[str], tokens: str = "ws",
+                         max_words: int | None = None, tokenise: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
     """(keys, projection) of the sentences whose tokens all have a vector.
 
     Sums the projections of the words instead of projecting the summed vectors. A sentence without
-    tokens scores 0.
+    tokens scores 0; rows with equal keys are one sentence. Words of a promised number go to every task, which sums a
+    sentence where it is read, so no token becomes a row; others are joined. `tokenise` makes the arrays of tokens of a batch
+    from the lines that `tokens` names, as in `cooccurrences`.
     """
-    spelled = sentences.select(*keys, F.explode_outer(tokens).alias("lemma_pos"))
-    scored = lookup_join(spelled, projections, "lemma_pos", "left", max_rows=max_words, salts=16)
-    fine = F.col("projection").isNotNull() | F.col("lemma_pos").isNull()
+    words = listed(projections.select("lemma_pos", "projection"), max_words)
+    if words is not None:
+        score = F.arrow_udf(lambda batch: token_sums(batch if tokenise is None else tokenise(batch), words), _SCORE).asNondeterministic()
+        scored = sentences.select(*keys, score(tokens).alias("_s")).select(*keys, F.col("_s.fine").alias("_known"), F.col("_s.projection"))
+    else:
+        if tokenise is not None:
+            made = F.arrow_udf(lambda lines: tokenise(lines).cast(pa.list_(pa.string())), T.ArrayType(T.StringType())).asNondeterministic()
+            sentences = sentences.select(*keys, made(tokens).alias(tokens))
+        spelled = sentences.select(*keys, F.explode_outer(tokens).alias("lemma_pos"))
+        scored = lookup_join(spelled, projections, "lemma_pos", "left", max_rows=max_words, salts=16)
+        scored = scored.withColumn("_known", F.col("projection").isNotNull() | F.col("lemma_pos").isNull())
     return (
         scored.groupBy(*keys)
-        .agg(F.bool_and(fine).alias("_fine"), F.coalesce(F.sum("projection"), F.lit(0.0)).alias("projection"))
+        .agg(F.bool_and("_known").alias("_fine"), F.coalesce(F.sum("projection"), F.lit(0.0)).alias("projection"))
         .filter("_fine")
         .drop("_fine")
     )
 
 
+_SCORE = T.StructType().add("fine", T.BooleanType()).add("projection", T.DoubleType())
+
+
+def token_sums(lists: pa.ListArray, words: pa.Table) -> pa.StructArray:
+    """(fine, projection) of arrays of tokens, of strings or of places in a dictionary: whether all have a projection, and their sum.
+
+    A null token adds nothing, nor does a null array.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    encoded = flat if pa.types.is_dictionary(flat.type) else flat.dictionary_encode()
+    # of each different token, and of null behind them
+    at = pc.index_in(encoded.dictionary, words["lemma_pos"].combine_chunks())
+    found = words["projection"].combine_chunks().cast(pa.float64()).take(at)
+    unknown = np.append(found.is_null().to_numpy(zero_copy_only=False), False)
+    value = np.append(pc.fill_null(found, 0.0).to_numpy(zero_copy_only=False), 0.0)
+    codes = pc.fill_null(encoded.indices, len(found)).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    fine = np.bincount(owner, unknown[codes], len(sizes)) == 0
+    total = np.bincount(owner, value[codes], len(sizes)).astype(np.float64)
+    return pa.StructArray.from_arrays([pa.array(fine), pa.array(total)], _SCORE.names)
+
+
 def scale_endpoints(means: DataFrame, scale: DataFrame, max_basis: int | None = 2_000) -> DataFrame:
     """(category, projection): the two category means on their own scale."""
     return project_cells(means, scale, "category", "mean", max_basis)

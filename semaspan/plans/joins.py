@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,11 @@ def at_most(table: DataFrame, max_rows: int) -> DataFrame:
     row = F.monotonically_increasing_id()
     broken = F.raise_error(F.lit(f"a table of at most {max_rows} rows was promised, and it holds more"))
     return table.limit(max_rows + 1).coalesce(1).filter(F.when(row < max_rows, True).otherwise(broken.cast("boolean")))
+
+
+def listed(table: DataFrame, max_rows: int | None, key: str = "lemma_pos") -> pa.Table | None:
+    """A table whose bound can be promised, as it is sent to the tasks; none if a key is listed twice."""
+    if max_rows is None or max_rows > BROADCAST_ROWS:
+        return None
+    rows = at_most(table, max_rows).toArrow().filter(pc.field(key).is_valid()).combine_chunks()
+    return rows if len(pc.unique(rows[key])) == len(rows) else None

@@ -202,8 +202,9 @@ class Space:
 
     @cached_property
     def groups(self) -> DataFrame:
-        """(doc_id, line_no, construction, kind) of all occurrences."""
-        return self.hits.select(*SENTENCE, "construction", "kind")
+        """(doc_id, line_no, construction, kind) of all occurrences, from one pass, stored without their sentences."""
+        found = sentence_hits(parsed(self.spark, self.sf), self.pairs, SENTENCE, "ws", MAX_PAIRS)
+        return stored(found.select(*SENTENCE, "construction", "kind"))
 
     @cached_property
     def grouped_sentences(self) -> DataFrame:

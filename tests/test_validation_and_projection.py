@@ -9,6 +9,8 @@ from semaspan.functions import dense
 from semaspan.operators import projection as proj
 from semaspan.operators import validation as val
 from semaspan.operators.vectors import norms
+from semaspan.workload import views
+from semaspan.workload.queries import QUERIES
 
 CELLS = [("s1", 0, 2.0), ("s1", 1, 1.0), ("s2", 0, 4.0), ("l1", 2, 3.0), ("w", 0, 1.0), ("w", 2, 2.0), ("v", 1, 5.0)]
 
@@ -183,3 +185,37 @@ def test_dense_measures(spark):
     a, b = F.col("a"), F.col("b")
     rows = df.select(dense.dot(a, b), dense.cosine(a, b), dense.euclidean(a, b)).collect()
     assert tuple(rows[0]) == pytest.approx((24.0, 0.96, 2**0.5)) and tuple(rows[1]) == pytest.approx((0.0, 0.0, 2**0.5))
+
+
+def test_sentences_are_scored_where_they_are_read(spark):
+    projections = spark.createDataFrame([("w", 2.0), ("v", 0.5), ("gap", None), (None, 9.0)], "lemma_pos string, projection double")
+    rows = [(1, ["w", "v", "w"]), (2, ["w", "nope"]), (3, []), (4, None), (5, ["w", None]), (6, ["gap"]), (7, ["w"]), (7, ["v"]), (8, ["v"]), (8, ["nope"]), (None, ["v"])]
+    sentences = spark.createDataFrame(rows, "id long, ws array<string>").repartition(3)
+    want = {1: 4.5, 3: 0.0, 4: 0.0, 5: 2.0, 7: 2.5, None: 0.5}
+    for bound in (None, 4):
+        scored = proj.sentence_projections(sentences, projections, ["id"], max_words=bound)
+        assert {r.id: r.projection for r in scored.collect()} == want
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # tokens become no rows
+    lines = spark.createDataFrame([(1, "w v w"), (2, "nope"), (3, "")], "id long, line string")
+
+    def placed(texts):
+        made = pa.array([t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
+        flat = made.flatten().dictionary_encode()
+        return pa.ListArray.from_arrays(made.offsets, flat)
+
+    for bound in (None, 4):
+        scored = proj.sentence_projections(lines, projections, ["id"], "line", bound, placed)
+        assert {r.id: r.projection for r in scored.collect()} == {1: 4.5, 3: 0.0}
+    with pytest.raises(Exception, match="promised"):
+        proj.sentence_projections(sentences, projections, ["id"], max_words=3).collect()
+
+
+def test_no_sentence_of_a_group_moves(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(views, "stored", lambda df, keep=views.stored: stored.append(df.columns) or keep(df))
+    found = QUERIES["group_projection"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert stored and all("ws" not in columns for columns in stored) and "ws#" not in plan and "SortAggregate" not in plan
+    keys = [r[:4] for r in found.collect()]
+    assert len(keys) == len(set(keys)) > 0
