@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semaspan.llm.workers import remembers, tidied
+
 # Pieces that a worker remembers in each of its two generations; a bound on memory, not on results.
 REMEMBERED_PIECES = 150_000
 REMEMBERED_PAIRS = 400_000
@@ -179,6 +181,14 @@ def spellings(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in ranks_of(path).items()}
 
 
+def forget() -> None:
+    vocabulary.cache_clear()
+    spellings.cache_clear()
+
+
+remembers("bpe", forget)
+
+
 def encode(text: Column | str, path: str, pattern: str) -> Column:
     """Token ids of a whole text (array of int), without special tokens.
 
@@ -188,7 +198,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in tidied(batches, "bpe"):
             for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
                 ids = [known.ids(value.as_py() or "") for value in part]
                 ends = np.zeros(len(ids) + 1, np.int32)
@@ -201,7 +211,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
 def spelled_out(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
     """The bytes of each list of token ids, ROWS_AT_ONCE lists at once."""
     table = spellings(path)
-    for batch in batches:
+    for batch in tidied(batches, "bpe"):
         for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, len(batch), ROWS_AT_ONCE)):
             ends = part.offsets.to_numpy()
             first = ends[0]

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semaspan.llm.components import connected
+from semaspan.llm.workers import tidied
 from semaspan.session import stored
 
 WORDS, BITS = 4, 4  # words of a shingle, and how many bits linked fingerprints may differ in
@@ -71,7 +72,7 @@ def fingerprint(text: Column | str, words: int = WORDS) -> Column:
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidied(batches, "simhash"):
             yield pa.array([fingerprint_of(t.as_py() or "", words) for t in batch], pa.int64())
 
     return prints(text)

@@ -5,7 +5,9 @@ import pyarrow as pa
 
 import corpus_pipeline as pipeline
 
+from semaspan.llm import bpe, workers
 from semaspan.llm import near_copies as nc
+from semaspan.llm.queries import RANKS
 
 
 def jaccard(a, b):
@@ -116,3 +118,14 @@ def test_proposed_candidates_are_compared_exactly(spark):
     proposed = docs.select("doc_id", (docs["doc_id"] * 0).alias("key"))
     got = {(r.doc_id, r.component_id) for r in nc.near_copies(docs, proposed).collect()}
     assert got == {(0, 0), (1, 1), (2, 1), (None, 1), (3, 3), (4, 0)}
+
+
+def test_workers_forget_other_operators_and_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(workers, "give_back", lambda back=workers.give_back: calls.append(back()))
+    table = bpe.spellings(RANKS)
+    assert list(workers.tidied(iter([1, 2]), "bpe")) == [1, 2] and bpe.spellings(RANKS) is table and len(calls) == 2
+    for udf in (nc._signed, nc._named_set):
+        assert sum(map(len, udf.func(iter([pa.array(["a b c"] * 7)])))) == 7
+    assert len(calls) == 6 and bpe.spellings.cache_info().currsize == 0
+    assert bpe.spellings(RANKS) == table
